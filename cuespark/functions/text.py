@@ -58,6 +58,11 @@ def _accent_table() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _accent_table()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at either end."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))
@@ -89,12 +94,14 @@ def snippet(c: Column, n: int = 160) -> Column:
 
 
 def normalize_tone(c: Column) -> Column:
-    s = squeeze(F.translate(F.lower(strip_accents(F.coalesce(c, F.lit("")))), "_-", "  "))
-    picked = None
-    for needle, tone in [(t, t) for t in TONES] + list(TONE_ALIASES):
-        hit = s.contains(needle)
-        picked = F.when(hit, tone) if picked is None else picked.when(hit, tone)
-    return picked.otherwise(DEFAULT_TONE)
+    def choose(s: Column) -> Column:
+        picked = None
+        for needle, tone in [(t, t) for t in TONES] + list(TONE_ALIASES):
+            hit = s.contains(needle)
+            picked = F.when(hit, tone) if picked is None else picked.when(hit, tone)
+        return picked.otherwise(DEFAULT_TONE)
+
+    return let(squeeze(F.translate(F.lower(strip_accents(F.coalesce(c, F.lit("")))), "_-", "  ")), choose)
 
 
 def normalize_certainty(c: Column) -> Column:
@@ -118,38 +125,45 @@ def missing_marks(c: Column, language: Column, target: str = "vi", marked: str =
 
 def truncate_words(c: Column, limit: Column) -> Column:
     """Longest token prefix within the word limit, cut back to a late punctuation mark, closed by a full stop."""
-    toks = tokens(c)
-    # words are counted on the text up to each token's end, so a token of several words is dropped as a whole
-    sizes = F.transform(toks, count_words)
-    keep = F.aggregate(
-        sizes, F.struct(F.lit(0).alias("words"), F.lit(0).alias("kept")),
-        lambda acc, n: F.when(acc["words"] + n <= limit, F.struct((acc["words"] + n).alias("words"), (acc["kept"] + 1).alias("kept")))
-        .otherwise(F.struct((acc["words"] + n).alias("words"), acc["kept"].alias("kept"))),
-        lambda acc: acc["kept"],
-    )
-    cut = F.array_join(F.slice(toks, F.lit(1), keep), " ")
-    upto_mark = F.regexp_extract(cut, r"(?s)^(.*[.!?…,;:])", 1)
-    cut = F.when(F.length(upto_mark) >= F.greatest(F.length(cut) * F.lit(0.6), F.lit(1)), upto_mark).otherwise(cut)
-    cut = F.regexp_replace(cut, "[ ,;:-]+$", "")
-    return F.when(cut.rlike("[.!?…]$"), cut).otherwise(F.concat(cut, F.lit(".")))
+    # words are counted token by token, so a token of several words is dropped as a whole
+    def prefix(toks: Column) -> Column:
+        kept = F.aggregate(
+            toks, F.struct(F.lit(0).alias("words"), F.lit(0).alias("kept")),
+            lambda acc, w: let(acc["words"] + count_words(w), lambda n: F.struct(
+                n.alias("words"), (acc["kept"] + F.when(n <= limit, 1).otherwise(0)).alias("kept"))),
+            lambda acc: acc["kept"])
+        return F.array_join(F.slice(toks, F.lit(1), kept), " ")
+
+    def back_to_mark(cut: Column) -> Column:
+        upto = F.regexp_extract(cut, r"(?s)^(.*[.!?…,;:])", 1)
+        late = F.length(upto) >= F.greatest(F.length(cut) * F.lit(0.6), F.lit(1))
+        return F.regexp_replace(F.when(late, upto).otherwise(cut), "[ ,;:-]+$", "")
+
+    closed = lambda cut: F.when(cut.rlike("[.!?…]$"), cut).otherwise(F.concat(cut, F.lit(".")))
+    return let(let(let(tokens(c), prefix), back_to_mark), closed)
 
 
 def wrap_two_lines(c: Column, max_chars: int = 42) -> Column:
     """At most two lines: the longest token prefix that fits (one token at least), then everything else."""
-    toks = tokens(c)
-    fit = F.aggregate(
-        toks, F.struct(F.lit(0).alias("chars"), F.lit(0).alias("kept"), F.lit(True).alias("open")),
-        lambda acc, w: F.when(
-            acc["open"] & ((acc["kept"] == 0) | (acc["chars"] + 1 + F.length(w) <= max_chars)),
-            F.struct((acc["chars"] + F.when(acc["kept"] > 0, 1).otherwise(0) + F.length(w)).alias("chars"),
-                     (acc["kept"] + 1).alias("kept"), F.lit(True).alias("open")),
-        ).otherwise(F.struct(acc["chars"].alias("chars"), acc["kept"].alias("kept"), F.lit(False).alias("open"))),
-        lambda acc: acc["kept"],
-    )
-    n = F.size(toks)
-    rest = F.array_join(F.slice(toks, fit + 1, F.greatest(n - fit, F.lit(0))), " ")
-    first = F.array_join(F.slice(toks, F.lit(1), fit), " ")
-    return F.when(n == 0, c).when(fit < n, F.concat(first, F.lit("\n"), rest)).otherwise(first)
+    def fitting(toks: Column) -> Column:
+        # width: characters of the first line so far; -1 once a token did not fit
+        return F.aggregate(
+            toks, F.struct(F.lit(0).alias("width"), F.lit(0).alias("kept")),
+            lambda acc, w: F.when(acc["kept"] == 0, F.struct(F.length(w).alias("width"), F.lit(1).alias("kept")))
+            .when((acc["width"] >= 0) & (acc["width"] + 1 + F.length(w) <= max_chars),
+                  F.struct((acc["width"] + 1 + F.length(w)).alias("width"), (acc["kept"] + 1).alias("kept")))
+            .otherwise(F.struct(F.lit(-1).alias("width"), acc["kept"].alias("kept"))),
+            lambda acc: acc["kept"])
+
+    def laid_out(toks: Column) -> Column:
+        def lines(fit: Column) -> Column:
+            n = F.size(toks)
+            first = F.array_join(F.slice(toks, F.lit(1), fit), " ")
+            rest = F.array_join(F.slice(toks, fit + 1, F.greatest(n - fit, F.lit(0))), " ")
+            return F.when(fit < n, F.concat(first, F.lit("\n"), rest)).otherwise(first)
+        return F.when(F.size(toks) == 0, c).otherwise(let(fitting(toks), lines))
+
+    return let(tokens(c), laid_out)
 
 
 def content_key(text: Column, voice: Column, engine: Column, prosody: Column) -> Column:

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS
+from .text import WS, let
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def parse_timestamp(c: Column) -> Column:
     """Seconds from ``[[H:]M:]S`` (comma or point); null for anything invalid or negative."""
-    s = F.translate(F.regexp_replace(c, f"^{WS}+|{WS}+$", ""), ",", ".")
-    parts = F.transform(F.split(s, ":"), lambda p: F.trim(p))
-    ok = (F.size(parts) <= 3) & F.forall(parts, lambda p: p.rlike(NUMBER))
-    seconds = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double"))
-    return F.when(ok & (seconds >= 0), seconds)
+    text = F.translate(F.regexp_replace(c, f"^{WS}+|{WS}+$", ""), ",", ".")
+
+    def seconds(parts: Column) -> Column:
+        ok = (F.size(parts) <= 3) & F.forall(parts, lambda p: p.rlike(NUMBER))
+        return F.when(ok, F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double")))
+
+    total = let(F.transform(F.split(text, ":"), lambda p: F.trim(p)), seconds)
+    return let(total, lambda t: F.when(t >= 0, t))
 
 
 def millis(sec: Column) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import DEFAULT_SLAB_SEC, Axis, Lag, RunMax, RunSum, scan
+from .scan import DEFAULT_SLAB_SEC, SLAB, Axis, RunLast, scan
 
 BUCKET = "__bucket"
 
@@ -42,36 +42,87 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, lspan: tuple[str, s
     return a.join(b, on).drop(BUCKET, "__rkey", "__rbucket")
 
 
-def number_islands(df: DataFrame, key: str, order: tuple[str, ...], starts: Column, name: str = "island",
-                   width: float = DEFAULT_SLAB_SEC) -> DataFrame:
-    """Running count of rows for which ``starts`` holds."""
-    return scan(df, Axis.time(key, order, width), RunSum(name, F.when(starts, 1).otherwise(0).cast("long")))
-
-
-def merge_ranges(df: DataFrame, key: str, start: str = "start_sec", end: str = "end_sec", gap: float = 0.0,
-                 extra: dict[str, Column] | None = None, width: float = DEFAULT_SLAB_SEC) -> DataFrame:
-    """Union of ranges; two are joined when the next start minus the running end is below ``gap`` (strictly)."""
-    extra = extra or {}
-    axis = Axis.time(key, (start, end), width)
-    reach = scan(df, axis, RunMax("__reach", end, inclusive=False))
-    opens = F.col("__reach").isNull() | (F.col(start) - F.col("__reach") >= F.lit(gap))
-    marked = number_islands(reach, key, (start, end), opens, "__island", width)
-    return (
-        marked.groupBy(key, "__island")
-        .agg(F.min(start).alias(start), F.max(end).alias(end), *[c.alias(n) for n, c in extra.items()])
-        .drop("__island")
-    )
-
-
-def split_chains(df: DataFrame, key: str, start: str, end: str, order: tuple[str, ...], slack: float = 0.0,
-                 width: float = DEFAULT_SLAB_SEC) -> DataFrame:
-    """Adds ``chain``: rows of different chains of a key cannot overlap, so a fold may run per (key, chain)."""
-    reach = scan(df, Axis.time(key, order, width), RunMax("__reach", end, inclusive=False))
-    opens = F.col("__reach").isNull() | (F.col(start) >= F.col("__reach") - F.lit(slack))
-    return number_islands(reach, key, order, opens, "chain", width).drop("__reach")
-
-
-def runs_of_flag(df: DataFrame, key: str, order: tuple[str, ...], flag: str, width: float = DEFAULT_SLAB_SEC) -> DataFrame:
-    """Adds ``run``: a number per maximal stretch of rows with an equal flag."""
-    prev = scan(df, Axis.time(key, order, width), Lag("__prev_flag", flag))
-    return number_islands(prev, key, order, ~F.col("__prev_flag").eqNullSafe(F.col(flag)), "run", width).drop("__prev_flag")
+def asof(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload: list[str],
+         width: float = DEFAULT_SLAB_SEC) -> DataFrame:
+    """For each point the latest mark at or before it (null if none): one ordered scan over both, no join on the key."""
+    kinds = {c: points.schema[c].dataType for c in points.columns}
+    mark = F.struct(*payload)
+    m = marks.select(key, F.col(at).cast("double").alias("__t"), F.lit(0).alias("__kind"), mark.alias("__mark"))
+    row = F.struct(*[F.col(c) for c in points.columns])
+    p = points.select(key, F.col(t).cast("double").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row"))
+    both = m.unionByName(p, allowMissingColumns=True)
+    found = scan(both, Axis.time(key, ("__t", "__kind"), width), RunLast("__found", "__mark"))
+    rows = found.filter(F.col("__kind") == 1)
+    return rows.select(*[F.col(f"__row.{c}").alias(c) for c in kinds], *[F.col(f"__found.{c}").alias(c) for c in payload])
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """Adds per-key facts (one row per key) to many rows.  Both sides carry a salt, so a hot key is split ``salts`` ways."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str = "chain") -> DataFrame:
+    """Adds ``name``: the row that opens the chain of overlapping ranges a row belongs to (as a struct of the order columns).
+
+    ``opens(start, reach)`` says whether a range starts a new chain given the furthest end before it; it must stay true
+    for any later start.  One pass: inside a slab the latest local opener is the true one unless what reaches in from
+    earlier slabs covers it, and then every earlier opener of that slab is covered too."""
+    keys = list(axis.keys)
+    w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.struct(*axis.order, F.col(start).alias("__s"))
+    local = df.withColumn(SLAB, axis.slab).withColumn("__reach", F.max(end).over(before))
+    local = local.withColumn("__open", F.when(F.col("__reach").isNull() | opens(F.col(start), F.col("__reach")), mark))
+    summary = local.groupBy(*keys, SLAB).agg(F.max(end).alias("__end"), F.max("__open").alias("__last"))
+    sw = Window.partitionBy(*keys).orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("__into", F.max("__end").over(sw))
+    true_last = F.when(F.col("__into").isNull() | opens(F.col("__last.__s"), F.col("__into")), F.col("__last"))
+    carried = carried.withColumn("__true", true_last).select(
+        *keys, SLAB, "__into", F.last("__true", ignorenulls=True).over(sw).alias("__carried"))
+    rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__reach", "__open")
+    own = F.col("__into").isNull() | opens(F.col("__mine.__s"), F.col("__into"))
+    picked = F.when(own, F.col("__mine")).otherwise(F.col("__carried"))
+    return rows.join(carried, [*keys, SLAB]).select(*df.columns, F.struct(*[picked[o].alias(o) for o in axis.order]).alias(name))
+
+
+def reset_ids(df: DataFrame, axis: Axis, needs: list[str], resets, name: str = "chain", prev_as: dict[str, str] | None = None) -> DataFrame:
+    """Adds ``name``: the latest row (order columns) at or before each row that ``resets(cur, prev)`` picks, where both
+    arguments give a column of the row or of the row before it; the first row of a key always resets.  One pass.
+
+    ``prev_as`` also delivers columns of the previous row under new names."""
+    keys = list(axis.keys)
+    w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    order, seen = F.struct(*axis.order), F.struct(*needs)
+    local = df.withColumn(SLAB, axis.slab).withColumn("__prev", F.lag(seen).over(w))
+    cur = F.col
+    hit = F.col("__prev").isNull() | F.coalesce(resets(cur, lambda c: F.col("__prev")[c]), F.lit(False))
+    local = local.withColumn("__open", F.when(hit, order))
+    summary = local.groupBy(*keys, SLAB).agg(
+        F.min_by(seen, order).alias("__f"), F.max_by(seen, order).alias("__l"), F.min(order).alias("__fo"), F.max("__open").alias("__last"))
+    sw = Window.partitionBy(*keys).orderBy(SLAB)
+    carried = summary.withColumn("__cprev", F.lag("__l").over(sw))
+    carried = carried.withColumn("__fhit", F.col("__cprev").isNull() | F.coalesce(
+        resets(lambda c: F.col("__f")[c], lambda c: F.col("__cprev")[c]), F.lit(False)))
+    carried = carried.withColumn("__true", F.when((F.col("__last") != F.col("__fo")) | F.col("__fhit"), F.col("__last")))
+    carried = carried.select(*keys, SLAB, "__cprev", "__fhit", "__fo", F.last("__true", ignorenulls=True).over(
+        sw.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
+    rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__open")
+    picked = F.when((F.col("__mine") != F.col("__fo")) | F.col("__fhit"), F.col("__mine")).otherwise(F.col("__carried"))
+    before = F.coalesce("__prev", "__cprev")
+    extra = [before[c].alias(n) for c, n in (prev_as or {}).items()]
+    return rows.join(carried, [*keys, SLAB]).select(*df.columns, *extra, picked.alias(name))
+
+
+def merge_ranges(df: DataFrame, key: str | tuple[str, ...], start: str = "start_sec", end: str = "end_sec", gap: float = 0.0,
+                 extra: dict[str, Column] | None = None, width: float = DEFAULT_SLAB_SEC, tie: str | None = None) -> DataFrame:
+    """Union of ranges; two are joined when the next start minus the running end is below ``gap`` (strictly).
+
+    Ranges equal in start, end and ``tie`` are interchangeable, so their mutual order does not matter."""
+    keys = [key] if isinstance(key, str) else list(key)
+    order = (start, end) if tie is None else (start, end, tie)
+    chained = chain_ids(df, Axis.time(key, order, width), start, end, lambda s, reach: s - reach >= F.lit(gap), "__chain")
+    aggs = [F.min(start).alias(start), F.max(end).alias(end), *[c.alias(n) for n, c in (extra or {}).items()]]
+    return chained.groupBy(*keys, "__chain").agg(*aggs).drop("__chain")

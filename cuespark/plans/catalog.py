@@ -1,6 +1,6 @@
 """Imports every area so that the registry is complete."""
 
-from . import scalars  # noqa: F401
+from . import ingest, scalars, script  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
