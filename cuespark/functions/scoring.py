@@ -10,6 +10,12 @@ CRITERIA_WEIGHTS = {"story_value": 0.35, "visual_quality": 0.25, "context_value"
 REDUNDANCY_WEIGHT = 0.30
 
 
+def r6(c: Column | str) -> Column:
+    """Six decimals, half to even."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.rint(c * 1e6) / 1e6
+
+
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

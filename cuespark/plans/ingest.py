@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.segments import coerce_segments
 from ..sources import logs, media, scripts
 from .carriers import oracle, table, v_formats, v_frames, v_lines, v_media_json, v_segments, v_series
+from ..functions.scoring import r6
 from .registry import gate
 from .scalars import certainty_sql, clean_sql, clock_sql, tone_sql
 
@@ -15,12 +16,12 @@ from .scalars import certainty_sql, clean_sql, clock_sql, tone_sql
 SELECT p_partkey AS video_id, dur AS duration_sec, CAST(round_even(dur * 1000, 0) AS BIGINT) AS duration_ms,
     p_partkey % 17 = 0 OR p_partkey % 3 <> 0 AS has_audio,
     CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_size * 40 END AS width, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_size * 20 END AS height,
-    CASE WHEN p_partkey % 17 = 0 OR p_partkey % 11 = 0 THEN 25 WHEN p_partkey % 11 = 1 THEN round(30000 / 1001::DOUBLE, 6) ELSE p_size::DOUBLE END AS fps,
+    CASE WHEN p_partkey % 17 = 0 OR p_partkey % 11 = 0 THEN 25 WHEN p_partkey % 11 = 1 THEN round_even((30000 / 1001::DOUBLE) * 1000000::DOUBLE, 0) / 1000000::DOUBLE ELSE p_size::DOUBLE END AS fps,
     CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_brand END AS codec,
     CASE WHEN p_partkey % 17 = 0 THEN 'no video stream' END AS reason
 FROM (SELECT *, CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice WHEN p_partkey % 17 <> 0 THEN 7.25::DOUBLE END AS dur FROM part)""")
 def media_catalog(spark, d):
-    return media.media_catalog(v_media_json(spark, d)).withColumn("fps", F.round("fps", 6))
+    return media.media_catalog(v_media_json(spark, d)).withColumn("fps", r6("fps"))
 
 
 def rendered_documents(spark, d):

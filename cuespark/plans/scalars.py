@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text, timecode, voices
 from ..params import ScriptParams
 from .carriers import WS_SQL, oracle, table, v_candidates, v_segments, v_series
+from ..functions.scoring import r6
 from .registry import gate
 
 CLOCK_SQL = """printf('%02d:%02d:%02d{sep}%03d', {ms} // 3600000, {ms} % 3600000 // 60000, {ms} % 60000 // 1000, {ms} % 1000)"""
@@ -123,7 +124,7 @@ PROSODY_SQL = "(VALUES ('vui ve','+5%','+3Hz','+0%'),('hao hung','+10%','+6Hz','
 
 
 @gate("tone_prosody", oracle("v_segments", f"""
-SELECT video_id, id, rate, pitch, volume, round(factor, 6) AS rate_factor,
+SELECT video_id, id, rate, pitch, volume, round_even((factor) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS rate_factor,
     greatest(0.7::DOUBLE, least(1.2::DOUBLE, round_even(factor * 100, 0) / 100::DOUBLE)) AS speed
 FROM (SELECT s.*, p.*, 1 + CAST(replace(rate, '%', '') AS DOUBLE) / 100::DOUBLE AS factor
       FROM (SELECT video_id, id, {tone_sql('tone')} AS tone_name FROM v_segments) s JOIN {PROSODY_SQL} USING (tone_name))"""))
@@ -132,7 +133,7 @@ def tone_prosody(spark, d):
     return (
         v_segments(spark, d).withColumn("tone_name", text.normalize_tone(F.col("tone")))
         .select("video_id", "id", rate.alias("rate"), pitch.alias("pitch"), volume.alias("volume"))
-        .withColumn("rate_factor", F.round(voices.rate_factor(F.col("rate")), 6))
+        .withColumn("rate_factor", r6(voices.rate_factor(F.col("rate"))))
         .withColumn("speed", voices.engine_speed(F.col("rate")))
     )
 
@@ -160,14 +161,14 @@ def voice_pick(spark, d):
 
 
 @gate("missing_diacritics", f"""
-SELECT doc_id, letters, round(marked / nullif(letters, 0), 6) AS marked_share,
+SELECT doc_id, letters, round_even((marked / nullif(letters, 0)) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS marked_share,
     coalesce(letters >= 6 AND marked / nullif(letters, 0) < 0.08::DOUBLE, false) AS missing
 FROM (SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^\\p{{L}}]+', '', 'g')) AS INTEGER) AS letters,
     length(regexp_replace(lower(text), '[^{text.VI_MARKED}]+', '', 'g')) AS marked FROM documents)""")
 def missing_diacritics(spark, d):
     letters, share = text.marked_share(F.col("text"))
     return table(spark, d, "documents").select(
-        "doc_id", letters.alias("letters"), F.round(share, 6).alias("marked_share"),
+        "doc_id", letters.alias("letters"), r6(share).alias("marked_share"),
         text.missing_marks(F.col("text"), F.lit("vi")).alias("missing"))
 
 
@@ -236,6 +237,6 @@ COMPOSITE_SQL = """CASE WHEN ord % 10 = 0 THEN 5.0::DOUBLE WHEN ord % 10 = 1 THE
     + 0.15::DOUBLE * (k * 13 % 100 / 100::DOUBLE) + 0.15::DOUBLE * (k * 29 % 100 / 100::DOUBLE) - 0.3::DOUBLE * (k * 3 % 100 / 200::DOUBLE)) * 10 END"""
 
 
-@gate("composite_score", oracle("v_candidates", f"SELECT video_id, ord, round({COMPOSITE_SQL}, 6) AS score FROM v_candidates"))
+@gate("composite_score", oracle("v_candidates", f"SELECT video_id, ord, round_even(({COMPOSITE_SQL}) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS score FROM v_candidates"))
 def composite_score(spark, d):
-    return raw_criteria(v_candidates(spark, d)).select("video_id", "ord", F.round(composite(None), 6).alias("score"))
+    return raw_criteria(v_candidates(spark, d)).select("video_id", "ord", r6(composite(None)).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import segments as ops
 from ..params import ScriptParams
 from .carriers import VIEWS, DEPENDS, oracle, v_segments
+from ..functions.scoring import r6
 from .registry import gate
 from .scalars import LIMIT_SQL, certainty_sql, clean_sql, tone_sql, truncated_ctes, words_sql
 
@@ -85,10 +86,10 @@ def repair_timeline(spark, d):
 
 @gate("word_budget", oracle("v_segments", f"""
 SELECT video_id, id, CAST({words_sql('text')} AS INTEGER) AS words, {LIMIT_SQL.format(wps='2.0')} AS max_words,
-    {words_sql('text')} > {LIMIT_SQL.format(wps='2.0')} AS over_budget, round({words_sql('text')} / (end_sec - start_sec), 6) AS words_per_sec FROM v_segments"""))
+    {words_sql('text')} > {LIMIT_SQL.format(wps='2.0')} AS over_budget, round_even(({words_sql('text')} / (end_sec - start_sec)) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS words_per_sec FROM v_segments"""))
 def word_budget(spark, d):
     return ops.word_budget(v_segments(spark, d)).select(
-        "video_id", "id", "words", "max_words", "over_budget", F.round("words_per_sec", 6).alias("words_per_sec"))
+        "video_id", "id", "words", "max_words", "over_budget", r6("words_per_sec").alias("words_per_sec"))
 
 
 # three rewrite rows per segment: a third of the text, the first two words (kept only for even ids), and one with an unusable id
@@ -139,9 +140,9 @@ def enforce_budget(spark, d):
 
 @gate("coverage", oracle("v_segments seg_media", """
 SELECT video_id, sum(end_sec - start_sec) AS covered_sec, count(*) AS segments, any_value(duration_sec) AS duration_sec,
-    round(sum(end_sec - start_sec) / any_value(duration_sec), 6) AS share FROM v_segments JOIN seg_media USING (video_id) GROUP BY video_id"""))
+    round_even((sum(end_sec - start_sec) / any_value(duration_sec)) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS share FROM v_segments JOIN seg_media USING (video_id) GROUP BY video_id"""))
 def coverage(spark, d):
-    return ops.coverage(v_segments(spark, d), seg_media(spark, d)).withColumn("share", F.round("share", 6))
+    return ops.coverage(v_segments(spark, d), seg_media(spark, d)).withColumn("share", r6("share"))
 
 
 @gate("certainty_audit", oracle("v_segments", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cuespark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -36,3 +36,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = named or tempfile.mkdtemp(prefix="cuespark-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table to the checkpoint folder and reads on from there.
+
+    An ordered scan reads its input twice, so a chain of scans would read the source 2^n times; a stage between them
+    keeps that linear, and lost executors resume from the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
