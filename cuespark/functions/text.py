@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Unicode white space (also the four ASCII separators), markdown and emoji character classes.
@@ -63,6 +63,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later filters and projections read as values.  (A plain projection is merged into whatever
+    uses it, so a costly expression would be evaluated again for every use.)"""
+    values = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(values)))
+
+
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at either end."""
     return F.trim(F.regexp_replace(c, WS + "+", " "))

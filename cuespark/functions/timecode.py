@@ -5,21 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, let
+from .text import WS
 
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+TIME_CODE = rf"^{WS}*{NUMBER}{WS}*(?::{WS}*{NUMBER}{WS}*){{0,2}}$"
 
 
 def parse_timestamp(c: Column) -> Column:
     """Seconds from ``[[H:]M:]S`` (comma or point); null for anything invalid or negative."""
-    text = F.translate(F.regexp_replace(c, f"^{WS}+|{WS}+$", ""), ",", ".")
-
-    def seconds(parts: Column) -> Column:
-        ok = (F.size(parts) <= 3) & F.forall(parts, lambda p: p.rlike(NUMBER))
-        return F.when(ok, F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double")))
-
-    total = let(F.transform(F.split(text, ":"), lambda p: F.trim(p)), seconds)
-    return let(total, lambda t: F.when(t >= 0, t))
+    text = F.translate(c, ",", ".")
+    parts = F.split(F.when(text.rlike(TIME_CODE), F.regexp_replace(text, WS + "+", "")), ":")
+    return F.aggregate(parts, F.lit(0.0), lambda acc, p: acc * 60 + p.try_cast("double"), lambda t: F.when(t >= 0, t))
 
 
 def millis(sec: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
+from ..functions.text import once
 from ..functions.timecode import parse_timestamp
 from ..params import HighlightParams
 from ..session import stage
@@ -18,7 +19,7 @@ FOLD_LIMIT = 2000
 
 def coerce_highlights(raw: DataFrame, score: Column, t0: Column, t1: Column, start: str = "start_time", end: str = "end_time") -> DataFrame:
     """Candidates clamped to [t0, t1] with their score in [1, 10]; ``reason`` is null for accepted rows."""
-    timed = raw.withColumns({"__s": parse_timestamp(F.col(start)), "__e": parse_timestamp(F.col(end)), "__score": score})
+    timed = once(raw, {"__s": parse_timestamp(F.col(start)), "__e": parse_timestamp(F.col(end)), "__score": score})
     s, e = F.greatest("__s", t0), F.least("__e", t1)
     bad = F.col("__s").isNull() | F.col("__e").isNull() | F.col("__score").isNull()
     reason = F.when(bad, "bad time or score").when(F.col("__e") <= F.col("__s"), "end before start").when(e <= s, "outside the window")

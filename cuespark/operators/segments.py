@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import word_limit
 from ..functions.text import (CERTAINTY_LEVELS, clean_text, count_words, missing_marks, normalize_certainty,
-                              normalize_tone, truncate_words)
+                              normalize_tone, once, truncate_words)
 from ..functions.timecode import parse_timestamp
 from ..params import ScriptParams
 from ..sources.scripts import RAW_SCHEMA
@@ -19,19 +19,17 @@ KEY = "video_id"
 
 def coerce_segments(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """Typed segments from raw JSON rows; ``reason`` is null for accepted rows."""
-    r = rows.withColumn("__r", F.from_json(raw, RAW_SCHEMA))
-    start = parse_timestamp(F.coalesce("__r.start_time", "__r.start"))
-    end = parse_timestamp(F.coalesce("__r.end_time", "__r.end"))
-    body = clean_text(F.col("__r.text"))
+    r = once(rows, {"__r": F.from_json(raw, RAW_SCHEMA)})
     number = F.when(F.col("__r.id").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim("__r.id").try_cast("long"))
-    return r.select(
-        *[c for c in rows.columns if c != raw], F.coalesce(number, F.lit(0)).alias("id"),
-        start.alias("start_sec"), end.alias("end_sec"), body.alias("text"),
-        normalize_tone(F.coalesce("__r.tone", "__r.emotion")).alias("tone"),
-        normalize_certainty(F.col("__r.certainty")).alias("certainty"),
-        F.when(F.col("__r").isNull(), "not an object").when(start.isNull() | end.isNull(), "bad time")
-        .when(body == "", "empty text").when(end <= start, "end before start").alias("reason"),
-    )
+    typed = once(r, {
+        "id": F.coalesce(number, F.lit(0)), "start_sec": parse_timestamp(F.coalesce("__r.start_time", "__r.start")),
+        "end_sec": parse_timestamp(F.coalesce("__r.end_time", "__r.end")), "text": clean_text(F.col("__r.text")),
+        "tone": normalize_tone(F.coalesce("__r.tone", "__r.emotion")), "certainty": normalize_certainty(F.col("__r.certainty"))})
+    reason = (
+        F.when(F.col("__r").isNull(), "not an object").when(F.col("start_sec").isNull() | F.col("end_sec").isNull(), "bad time")
+        .when(F.col("text") == "", "empty text").when(F.col("end_sec") <= F.col("start_sec"), "end before start"))
+    kept = [c for c in rows.columns if c != raw]
+    return typed.select(*kept, "id", "start_sec", "end_sec", "text", "tone", "certainty", reason.alias("reason"))
 
 
 def clip_to_windows(segments: DataFrame, windows: DataFrame, width: float = 60.0) -> DataFrame:
