@@ -42,18 +42,26 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, lspan: tuple[str, s
     return a.join(b, on).drop(BUCKET, "__rkey", "__rbucket")
 
 
-def asof(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload: list[str],
-         width: float = DEFAULT_SLAB_SEC) -> DataFrame:
-    """For each point the latest mark at or before it (null if none): one ordered scan over both, no join on the key."""
-    kinds = {c: points.schema[c].dataType for c in points.columns}
-    mark = F.struct(*payload)
-    m = marks.select(key, F.col(at).cast("double").alias("__t"), F.lit(0).alias("__kind"), mark.alias("__mark"))
+def neighbours(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload: list[str],
+               ahead: bool = True, width: float = DEFAULT_SLAB_SEC) -> DataFrame:
+    """For each point the latest mark at or before it (``prev_`` columns) and the first one after it (``next_``), null if
+    none: one ordered scan over both tables, no join on the key."""
+    m = marks.select(key, F.col(at).cast("double").alias("__t"), F.lit(0).alias("__kind"), F.struct(*payload).alias("__mark"))
     row = F.struct(*[F.col(c) for c in points.columns])
     p = points.select(key, F.col(t).cast("double").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row"))
     both = m.unionByName(p, allowMissingColumns=True)
-    found = scan(both, Axis.time(key, ("__t", "__kind"), width), RunLast("__found", "__mark"))
-    rows = found.filter(F.col("__kind") == 1)
-    return rows.select(*[F.col(f"__row.{c}").alias(c) for c in kinds], *[F.col(f"__found.{c}").alias(c) for c in payload])
+    specs = [RunLast("__prev", "__mark")] + ([RunLast("__next", "__mark", ahead=True)] if ahead else [])
+    found = scan(both, Axis.time(key, ("__t", "__kind"), width), *specs).filter(F.col("__kind") == 1)
+    sides = ["prev", "next"] if ahead else ["prev"]
+    return found.select(*[F.col(f"__row.{c}").alias(c) for c in points.columns],
+                        *[F.col(f"__{side}.{c}").alias(f"{side}_{c}") for side in sides for c in payload])
+
+
+def asof(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload: list[str],
+         width: float = DEFAULT_SLAB_SEC) -> DataFrame:
+    """For each point the latest mark at or before it."""
+    found = neighbours(points, marks, key, t, at, payload, ahead=False, width=width)
+    return found.withColumnsRenamed({f"prev_{c}": c for c in payload})
 
 
 def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
