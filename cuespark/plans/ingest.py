@@ -49,19 +49,23 @@ def script_scan(spark, d):
     return good.select("video_id", "pos", F.col("id").cast("long").alias("id"), "start_sec", "end_sec", "text", "tone", "certainty")
 
 
-@gate("silence_log_scan", oracle("v_series", """
-SELECT video_id, ord AS line_no, greatest(opened, 0::DOUBLE) AS start_sec, t_sec AS end_sec
-FROM (SELECT *, lag(CASE WHEN ord % 4 = 0 THEN t_sec - 2 END) OVER (PARTITION BY video_id ORDER BY ord) AS opened
-      FROM v_series WHERE ord % 4 IN (0, 1)) WHERE ord % 4 = 1 AND opened IS NOT NULL"""))
-def silence_log_scan(spark, d):
+def log_lines(series):
+    """The level series written as lines of a detection log: starts, ends and other lines."""
     kind, t = F.col("ord") % 4, F.col("t_sec")
     line = (
         F.when(kind == 0, F.concat(F.lit("[detect @ 0x1] silence_start: "), F.format_string("%.3f", t - 2)))
         .when(kind == 1, F.concat(F.lit("[detect @ 0x1] silence_end: "), F.format_string("%.3f", t), F.lit(" | silence_duration: 2")))
         .otherwise(F.lit("frame=1 fps=0"))
     )
-    lines = v_series(spark, d).select("video_id", F.col("ord").alias("line_no"), line.alias("line"))
-    return logs.silences_from_log(lines, "video_id")
+    return series.select("video_id", F.col("ord").alias("line_no"), line.alias("line"))
+
+
+@gate("silence_log_scan", oracle("v_series", """
+SELECT video_id, ord AS line_no, greatest(opened, 0::DOUBLE) AS start_sec, t_sec AS end_sec
+FROM (SELECT *, lag(CASE WHEN ord % 4 = 0 THEN t_sec - 2 END) OVER (PARTITION BY video_id ORDER BY ord) AS opened
+      FROM v_series WHERE ord % 4 IN (0, 1)) WHERE ord % 4 = 1 AND opened IS NOT NULL"""))
+def silence_log_scan(spark, d):
+    return logs.silences_from_log(log_lines(v_series(spark, d)), "video_id")
 
 
 @gate("frame_listing", oracle("v_frames", """SELECT video_id, idx AS frame_index, idx * 100 / 1000::DOUBLE AS timestamp_sec
