@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Unicode white space (also the four ASCII separators), markdown and emoji character classes.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+NOT_SPACE = WS.replace(r"\x20", r"\x1f")
+WS_RUN = f"{NOT_SPACE}{WS}*| {WS}+"  # any run but a single space
 MARKDOWN = r"[*_`#>~]+"
 SPEECH_MARKDOWN = r"[*_`#<>~]+"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
@@ -72,7 +74,7 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def squeeze(c: Column) -> Column:
     """White space runs become one space, none at either end."""
-    return F.trim(F.regexp_replace(c, WS + "+", " "))
+    return F.trim(F.regexp_replace(c, WS_RUN, " "))
 
 
 def tokens(c: Column) -> Column:
@@ -120,7 +122,7 @@ def marked_share(c: Column, marked: str = VI_MARKED) -> tuple[Column, Column]:
     """(number of letters, share of them that belong to ``marked``)."""
     low = F.lower(c)
     letters = F.length(F.regexp_replace(low, r"[^\p{L}]+", ""))
-    hits = F.length(F.regexp_replace(low, f"[^{marked}]+", ""))
+    hits = F.length(low) - F.length(F.translate(low, marked, ""))
     return letters, hits / F.nullif(letters, F.lit(0))
 
 

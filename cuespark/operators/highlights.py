@@ -10,11 +10,10 @@ from ..functions.text import once
 from ..functions.timecode import parse_timestamp
 from ..params import HighlightParams
 from ..session import stage
-from .ranges import asof, attach, chain_ids, spread
+from .ranges import FOLD_LIMIT, asof, attach, chain_ids, split_by_size, spread
 from .scan import Axis, RunSum, scan
 
 KEY = "video_id"
-FOLD_LIMIT = 2000
 
 
 def coerce_highlights(raw: DataFrame, score: Column, t0: Column, t1: Column, start: str = "start_time", end: str = "end_time") -> DataFrame:
@@ -37,11 +36,9 @@ def best_disjoint(cands: DataFrame, slack: float, fold_limit: int = FOLD_LIMIT)
     chained = chain_ids(cands.select(*cols), Axis.time(KEY, ("start_sec", "end_sec", "ord")), "start_sec", "end_sec",
                         lambda s, reach: s >= reach - slack)
     chained = stage(chained)
-    big = chained.groupBy(KEY, "chain").count().filter(F.col("count") > fold_limit).select(KEY, "chain")
-    if big.isEmpty():
-        return _by_fold(chained, slack)
-    small = _by_fold(chained.join(big, [KEY, "chain"], "left_anti"), slack)
-    return small.unionByName(_by_rounds(chained.join(big, [KEY, "chain"], "left_semi").select(*cols), slack))
+    small, large = split_by_size(chained, [KEY], fold_limit)
+    kept = _by_fold(small, slack)
+    return kept if large is None else kept.unionByName(_by_rounds(large.select(*cols), slack))
 
 
 def _by_fold(chained: DataFrame, slack: float) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .scan import DEFAULT_SLAB_SEC, SLAB, Axis, RunLast, scan
 
 BUCKET = "__bucket"
+FOLD_LIMIT = 2000  # rows of one chain up to which a fold in a single task is used
 
 
 def bucket_of(t: Column, width: float) -> Column:
@@ -42,16 +44,19 @@ def overlapping(left: DataFrame, right: DataFrame, key: str, lspan: tuple[str, s
     return a.join(b, on).drop(BUCKET, "__rkey", "__rbucket")
 
 
-def neighbours(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload: list[str],
-               ahead: bool = True, width: float = DEFAULT_SLAB_SEC) -> DataFrame:
+def neighbours(points: DataFrame, marks: DataFrame, key: str | tuple[str, ...], t: str, at: str, payload: list[str],
+               ahead: bool = True, width: float = DEFAULT_SLAB_SEC, level_first: bool = True) -> DataFrame:
     """For each point the latest mark at or before it (``prev_`` columns) and the first one after it (``next_``), null if
-    none: one ordered scan over both tables, no join on the key."""
-    m = marks.select(key, F.col(at).cast("double").alias("__t"), F.lit(0).alias("__kind"), F.struct(*payload).alias("__mark"))
+    none: one ordered scan over both tables, no join on the key.  With ``level_first=False`` a mark at the very time of a
+    point counts as after it."""
+    keys = [key] if isinstance(key, str) else list(key)
+    kinds = (0, 1) if level_first else (1, 0)
+    m = marks.select(*keys, F.col(at).cast("double").alias("__t"), F.lit(kinds[0]).alias("__kind"), F.struct(*payload).alias("__mark"))
     row = F.struct(*[F.col(c) for c in points.columns])
-    p = points.select(key, F.col(t).cast("double").alias("__t"), F.lit(1).alias("__kind"), row.alias("__row"))
+    p = points.select(*keys, F.col(t).cast("double").alias("__t"), F.lit(kinds[1]).alias("__kind"), row.alias("__row"))
     both = m.unionByName(p, allowMissingColumns=True)
     specs = [RunLast("__prev", "__mark")] + ([RunLast("__next", "__mark", ahead=True)] if ahead else [])
-    found = scan(both, Axis.time(key, ("__t", "__kind"), width), *specs).filter(F.col("__kind") == 1)
+    found = scan(both, Axis.time(keys, ("__t", "__kind"), width), *specs).filter(F.col("__kind") == kinds[1])
     sides = ["prev", "next"] if ahead else ["prev"]
     return found.select(*[F.col(f"__row.{c}").alias(c) for c in points.columns],
                         *[F.col(f"__{side}.{c}").alias(f"{side}_{c}") for side in sides for c in payload])
@@ -64,24 +69,25 @@ def asof(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload
     return found.withColumnsRenamed({f"prev_{c}": c for c in payload})
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", salts: int = 16) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
     """Adds per-key facts (one row per key) to many rows.  Both sides carry a salt, so a hot key is split ``salts`` ways."""
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 
-def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str = "chain") -> DataFrame:
+def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str = "chain", reach_as: str | None = None) -> DataFrame:
     """Adds ``name``: the row that opens the chain of overlapping ranges a row belongs to (as a struct of the order columns).
 
     ``opens(start, reach)`` says whether a range starts a new chain given the furthest end before it; it must stay true
     for any later start.  One pass: inside a slab the latest local opener is the true one unless what reaches in from
-    earlier slabs covers it, and then every earlier opener of that slab is covered too."""
+    earlier slabs covers it, and then every earlier opener of that slab is covered too.  ``reach_as`` also delivers the
+    furthest end before each row."""
     keys = list(axis.keys)
     w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     mark = F.struct(*axis.order, F.col(start).alias("__s"))
-    local = df.withColumn(SLAB, axis.slab).withColumn("__reach", F.max(end).over(before))
+    local = axis.cut(df).withColumn("__reach", F.max(end).over(before))
     local = local.withColumn("__open", F.when(F.col("__reach").isNull() | opens(F.col(start), F.col("__reach")), mark))
     summary = local.groupBy(*keys, SLAB).agg(F.max(end).alias("__end"), F.max("__open").alias("__last"))
     sw = Window.partitionBy(*keys).orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)
@@ -89,10 +95,11 @@ def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str
     true_last = F.when(F.col("__into").isNull() | opens(F.col("__last.__s"), F.col("__into")), F.col("__last"))
     carried = carried.withColumn("__true", true_last).select(
         *keys, SLAB, "__into", F.last("__true", ignorenulls=True).over(sw).alias("__carried"))
-    rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__reach", "__open")
+    rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__open")
     own = F.col("__into").isNull() | opens(F.col("__mine.__s"), F.col("__into"))
     picked = F.when(own, F.col("__mine")).otherwise(F.col("__carried"))
-    return rows.join(carried, [*keys, SLAB]).select(*df.columns, F.struct(*[picked[o].alias(o) for o in axis.order]).alias(name))
+    reach = [F.greatest("__reach", "__into").alias(reach_as)] if reach_as else []
+    return rows.join(carried, [*keys, SLAB]).select(*df.columns, *reach, F.struct(*[picked[o].alias(o) for o in axis.order]).alias(name))
 
 
 def reset_ids(df: DataFrame, axis: Axis, needs: list[str], resets, name: str = "chain", prev_as: dict[str, str] | None = None) -> DataFrame:
@@ -104,7 +111,7 @@ def reset_ids(df: DataFrame, axis: Axis, needs: list[str], resets, name: str = "
     w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     order, seen = F.struct(*axis.order), F.struct(*needs)
-    local = df.withColumn(SLAB, axis.slab).withColumn("__prev", F.lag(seen).over(w))
+    local = axis.cut(df).withColumn("__prev", F.lag(seen).over(w))
     cur = F.col
     hit = F.col("__prev").isNull() | F.coalesce(resets(cur, lambda c: F.col("__prev")[c]), F.lit(False))
     local = local.withColumn("__open", F.when(hit, order))
@@ -134,3 +141,29 @@ def merge_ranges(df: DataFrame, key: str | tuple[str, ...], start: str = "start_
     chained = chain_ids(df, Axis.time(key, order, width), start, end, lambda s, reach: s - reach >= F.lit(gap), "__chain")
     aggs = [F.min(start).alias(start), F.max(end).alias(end), *[c.alias(n) for n, c in (extra or {}).items()]]
     return chained.groupBy(*keys, "__chain").agg(*aggs).drop("__chain")
+
+
+def split_by_size(chained: DataFrame, keys: list[str], limit: int, name: str = "chain") -> tuple[DataFrame, DataFrame | None]:
+    """(rows of groups of at most ``limit`` rows, the other rows or None if there are none)."""
+    big = chained.groupBy(*keys, name).count().filter(F.col("count") > limit).select(*keys, name)
+    if big.isEmpty():
+        return chained, None
+    on = [*keys, name]
+    return chained.join(big, on, "left_anti"), chained.join(big, on, "left_semi")
+
+
+def follow(links: DataFrame, keys: list[str], node: str, after: str) -> DataFrame:
+    """Nodes visited from the first node of every group along ``node`` -> ``after`` (null at the end).
+
+    The path is doubled in every round: with the first 2^k nodes and the 2^k-fold jump at hand, one join gives the next
+    2^k nodes and one the longer jump.  All joins are on (group, node), which no group can overload."""
+    jump = stage(links.select(*keys, node, after))
+    visited = stage(jump.groupBy(*keys).agg(F.min(node).alias(node)))
+    while True:
+        jump = jump.filter(F.col(after).isNotNull())
+        reached = stage(visited.join(jump, [*keys, node]).select(*keys, F.col(after).alias(node)))
+        if reached.isEmpty():
+            return visited
+        visited = visited.unionByName(reached)
+        jump = stage(jump.join(jump.select(*keys, F.col(node).alias(after), F.col(after).alias("__far")), [*keys, after]).select(
+            *keys, node, F.col("__far").alias(after)))

@@ -4,6 +4,9 @@ A plain ``Window.partitionBy(key).orderBy(t)`` sends every row of a key to one t
 into *slabs* (``floor(t / width)``): the window runs per (key, slab), each slab is reduced to one row by a map-side
 combined aggregate, a window over those few rows yields what enters each slab from before (or after), and an equi join
 on (key, slab) adds it.  The rows are shuffled once, on (key, slab), so a hot key spreads over all its slabs.
+
+Where the rows of a single slab may be too many for one task, set ``cuespark.scan.slabRows`` in the session: slabs above
+that many rows are then found by one counting pass and cut further.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLAB = "__slab"
-DEFAULT_SLAB_SEC = 10.0
+DEFAULT_SLAB_SEC = 2.0
+SLAB_ROWS_CONF = "cuespark.scan.slabRows"
 
 
 @dataclass(frozen=True)
@@ -26,6 +30,24 @@ class Axis:
     order: tuple[str, ...]
     slab: Column
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` with its slab column."""
+        limit = int(df.sparkSession.conf.get(SLAB_ROWS_CONF, "0"))
+        whole = df.withColumn(SLAB, F.struct(self.slab.alias("i"), F.lit(0).cast("long").alias("sub")))
+        if limit <= 0:
+            return df.withColumn(SLAB, self.slab)
+        # At most (rows / limit) slabs can be above the limit, so this list stays small however the rows are spread.
+        first = F.col(self.order[0]).cast("double")
+        heavy = whole.groupBy(*self.keys, F.col(f"{SLAB}.i").alias("__i")).agg(
+            F.count("*").alias("__n"), F.min(first).alias("__lo"), F.max(first).alias("__hi")).filter(F.col("__n") > limit)
+        if heavy.isEmpty():
+            return df.withColumn(SLAB, self.slab)
+        parts = F.ceil(F.col("__n") / limit)
+        share = (first - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
+        marked = whole.withColumn("__i", F.col(f"{SLAB}.i")).join(heavy, [*self.keys, "__i"], "left")
+        sub = F.coalesce(F.least(F.floor(share * parts), parts - 1), F.lit(0)).cast("long")
+        return marked.withColumn(SLAB, F.struct(F.col("__i").alias("i"), sub.alias("sub"))).drop("__i", "__n", "__lo", "__hi")
+
     @staticmethod
     def time(keys: str | Sequence[str], order: str | Sequence[str], width: float = DEFAULT_SLAB_SEC) -> Axis:
         keys = (keys,) if isinstance(keys, str) else tuple(keys)
@@ -147,7 +169,7 @@ class Total:
 def scan(df: DataFrame, axis: Axis, *specs) -> DataFrame:
     """Adds one column per spec; every other column of ``df`` is kept."""
     keys = list(axis.keys)
-    based = df.withColumn(SLAB, axis.slab)
+    based = axis.cut(df)
     order = F.struct(*axis.order)
     local_w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
     slab_w = Window.partitionBy(*keys).orderBy(SLAB)

@@ -11,8 +11,9 @@ from ..functions.text import (CERTAINTY_LEVELS, clean_text, count_words, missing
 from ..functions.timecode import parse_timestamp
 from ..params import ScriptParams
 from ..sources.scripts import RAW_SCHEMA
-from .ranges import asof, attach, chain_ids, overlapping
-from .scan import Axis, RowNumber, RunSum, Total, scan
+from ..session import stage
+from .ranges import FOLD_LIMIT, asof, attach, chain_ids, follow, neighbours, overlapping, split_by_size
+from .scan import Axis, Lag, RowNumber, scan
 
 KEY = "video_id"
 
@@ -40,16 +41,30 @@ def clip_to_windows(segments: DataFrame, windows: DataFrame, width: float = 60.0
         "start_sec": F.greatest("start_sec", "w_start"), "end_sec": F.least("end_sec", "w_end")}).drop("w_start", "w_end")
 
 
-def _repaired_chains(segments: DataFrame, keys: tuple[str, ...], low: Column | None, high: Column | None, params: ScriptParams) -> DataFrame:
-    """Kept rows with the chain they belong to; a chain that loses all its rows leaves one row of nulls."""
+def _repaired_chains(segments: DataFrame, keys: tuple[str, ...], low: Column | None, high: Column | None, params: ScriptParams,
+                     fold_limit: int) -> DataFrame:
+    """Kept rows with the chain they belong to.
+
+    Three kinds of rows cannot be kept whatever happens before them and go first: too short ones, copies of a span (only
+    the first counts), and rows that end before the end of an earlier row."""
     low = F.lit(0.0) if low is None else low
     s = segments.withColumns({
         "src_start": F.col("start_sec"), "src_id": F.col("id"), "start_sec": F.greatest(low, F.col("start_sec")),
         "end_sec": F.col("end_sec") if high is None else F.least(high, F.col("end_sec"))})
     order = ("src_start", "src_id")
-    chained = chain_ids(s, Axis.time(keys, order), "start_sec", "end_sec", lambda at, reach: at >= reach - 1e-3)
     payload = [c for c in segments.columns if c not in (*keys, "start_sec", "end_sec", "id")]
-    row = F.struct(*order, "start_sec", "end_sec", *payload)
+    spans = [*keys, "src_start", "start_sec", "end_sec"]
+    s = s.filter(F.col("end_sec") - F.col("start_sec") >= params.min_segment_sec)
+    s = s.groupBy(*spans).agg(F.min_by(F.struct("src_id", *payload), "src_id").alias("first")).select(*spans, "first.*")
+    chained = chain_ids(s, Axis.time(keys, order), "start_sec", "end_sec", lambda at, reach: at >= reach - 1e-3, reach_as="reach")
+    chained = chained.filter(F.col("reach").isNull() | (F.col("end_sec") > F.col("reach") - 1e-3))
+    short, long = split_by_size(stage(chained), list(keys), fold_limit)
+    kept = _repair_by_fold(short, keys, payload, segments, params.min_segment_sec)
+    return kept if long is None else kept.unionByName(_repair_long_chains(long, keys, payload, params.min_segment_sec))
+
+
+def _repair_by_fold(chained: DataFrame, keys: tuple[str, ...], payload: list[str], segments: DataFrame, min_sec: float) -> DataFrame:
+    row = F.struct("src_start", "src_id", "start_sec", "end_sec", *payload)
     groups = chained.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     fields = "".join(f",`{c}`:" + segments.schema[c].dataType.simpleString() for c in payload)
     kind = f"array<struct<src_start:double,src_id:bigint,start_sec:double,end_sec:double{fields}>>"
@@ -58,37 +73,70 @@ def _repaired_chains(segments: DataFrame, keys: tuple[str, ...], low: Column | N
         start = F.when(x["start_sec"] < acc["prev_end"] - 1e-3, acc["prev_end"]).otherwise(x["start_sec"])
         moved = F.struct(x["src_start"].alias("src_start"), x["src_id"].cast("long").alias("src_id"), start.alias("start_sec"),
                          x["end_sec"].alias("end_sec"), *[x[c].alias(c) for c in payload])
-        return F.when(x["end_sec"] - start < params.min_segment_sec, acc).otherwise(
+        return F.when(x["end_sec"] - start < min_sec, acc).otherwise(
             F.struct(x["end_sec"].alias("prev_end"), F.concat(acc["out"], F.array(moved)).alias("out")))
 
     zero = F.struct(F.lit(float("-inf")).alias("prev_end"), F.array().cast(kind).alias("out"))
-    kept = groups.select(*keys, F.col("chain")["src_start"].alias("chain_start"), F.col("chain")["src_id"].alias("chain_id"),
-                         F.aggregate("rows", zero, step, lambda a: a["out"]).alias("out"))
-    return kept.select(*keys, "chain_start", "chain_id", F.inline_outer("out"))
+    kept = groups.select(*keys, F.aggregate("rows", zero, step, lambda a: a["out"]).alias("out"))
+    return kept.select(*keys, F.inline("out"))
+
+
+def _repair_long_chains(chained: DataFrame, keys: tuple[str, ...], payload: list[str], min_sec: float) -> DataFrame:
+    """The same by following, from each row, the first later row that would be kept after it: one that starts no earlier
+    than its end, or that ends late enough beyond it.  Starts never fall along the order; ends are looked up among the
+    rows that end later than all before them."""
+    hair = 1e-9
+    group = ("chain_start", "chain_id")
+    at = F.struct("src_start", "src_id")
+    rows = stage(chained.select(*keys, F.col("chain.src_start").alias("chain_start"), F.col("chain.src_id").alias("chain_id"), at.alias("at"),
+                                "start_sec", "end_sec", "reach", *payload))
+    owner = F.struct(*group)
+    # of rows with one start the first counts
+    starts = rows.groupBy(*keys, *group, F.col("start_sec").alias("s")).agg(F.min("at").alias("mark")).withColumn("owner", owner)
+    ends = rows.filter(F.col("reach").isNull() | (F.col("end_sec") > F.col("reach"))).select(*keys, F.col("end_sec").alias("e"), F.col("at").alias("mark"), owner.alias("owner"))
+
+    def look_up(df: DataFrame, marks: DataFrame, by: str, goal: Column, name: str) -> DataFrame:
+        found = neighbours(df.withColumn("__goal", goal), marks, keys, "__goal", by, [by, "mark", "owner"], level_first=False)
+        mine = F.col("next_owner") == owner
+        return stage(found.select(*df.columns, F.when(mine, F.col("next_mark")).alias(name), F.when(mine, F.col(f"next_{by}")).alias(f"{name}_{by}")))
+
+    nodes = rows.select(*keys, *group, "at", "end_sec")
+    nodes = look_up(nodes, starts, "s", F.col("end_sec") - 1e-3, "clear")
+    nodes = look_up(nodes, ends, "e", F.col("end_sec") + (min_sec - hair), "low")
+    nodes = look_up(nodes, ends, "e", F.col("end_sec") + (min_sec + hair), "high")
+    longer = F.when(F.col("low_e") - F.col("end_sec") >= min_sec, F.col("low")).otherwise(F.col("high"))
+    links = nodes.select(*keys, *group, "at", F.least("clear", longer).alias("after"))
+    kept = follow(links, [*keys, *group], "at", "after")
+    chosen = stage(rows.join(kept, [*keys, *group, "at"], "left_semi").select(*keys, *group, "at.src_start", "at.src_id", "start_sec", "end_sec", *payload))
+    timed = scan(chosen, Axis.time((*keys, *group), ("src_start", "src_id")), Lag("__prev", "end_sec"))
+    moved = F.when(F.col("start_sec") < F.col("__prev") - 1e-3, F.col("__prev")).otherwise(F.col("start_sec"))
+    return timed.withColumn("start_sec", moved).select(*keys, "src_start", "src_id", "start_sec", "end_sec", *payload)
 
 
 def _numbered(kept: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    is_row = F.col("src_id").isNotNull().cast("long")
-    return scan(kept, Axis.time(keys, ("chain_start", "chain_id", "start_sec", "src_id")), RunSum("id", is_row), Total("__kept", is_row))
+    return scan(kept, Axis.time(keys, ("start_sec", "src_start", "src_id"), 60.0), RowNumber("id"))
 
 
 def repair_timeline(segments: DataFrame, keys: tuple[str, ...] = (KEY,), low: Column | None = None, high: Column | None = None,
-                    params: ScriptParams = ScriptParams()) -> DataFrame:
+                    params: ScriptParams = ScriptParams(), fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Clamps, moves overlapping starts to the previous end, drops what becomes too short, renumbers from 1.
 
     A segment that starts at or after every earlier end does not depend on what was kept before, so the sequential rule
-    runs per chain of overlapping segments and a long video is never held in one task."""
-    done = _numbered(_repaired_chains(segments, keys, low, high, params), keys)
-    return done.filter(F.col("src_id").isNotNull()).drop("chain_start", "chain_id", "src_start", "__kept")
+    runs per chain of overlapping segments and a long video is never held in one task: chains of up to ``fold_limit``
+    rows by a fold, longer ones by following the path of kept rows."""
+    return _numbered(_repaired_chains(segments, keys, low, high, params, fold_limit), keys).drop("src_start")
 
 
 def repair_with_errors(segments: DataFrame, keys: tuple[str, ...] = (KEY,), low: Column | None = None, high: Column | None = None,
                        params: ScriptParams = ScriptParams()) -> DataFrame:
-    """As ``repair_timeline`` with a ``reason`` column and one error row per script of which nothing is left."""
-    done = _numbered(_repaired_chains(segments, keys, low, high, params), keys)
-    empty = done.filter((F.col("__kept") == 0)).select(*keys, F.lit("empty script").alias("reason")).distinct()
-    rows = done.filter(F.col("src_id").isNotNull()).withColumn("reason", F.lit(None).cast("string"))
-    return rows.drop("chain_start", "chain_id", "src_start", "__kept").unionByName(empty, allowMissingColumns=True)
+    """As ``repair_timeline`` with a ``reason`` column and one error row per script of which nothing is left: one without
+    any row that is long enough inside the bounds."""
+    start = F.greatest(F.lit(0.0) if low is None else low, F.col("start_sec"))
+    end = F.col("end_sec") if high is None else F.least(high, F.col("end_sec"))
+    usable = end - start >= params.min_segment_sec
+    empty = segments.groupBy(*keys).agg(F.bool_or(usable).alias("any")).filter(~F.col("any")).select(*keys, F.lit("empty script").alias("reason"))
+    rows = repair_timeline(segments, keys, low, high, params).withColumn("reason", F.lit(None).cast("string"))
+    return rows.unionByName(empty, allowMissingColumns=True)
 
 
 def word_budget(segments: DataFrame, params: ScriptParams = ScriptParams()) -> DataFrame:

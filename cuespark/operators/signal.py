@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..params import SilenceParams, WindowParams
 from ..session import stage
-from .ranges import merge_ranges, reset_ids
+from .ranges import FOLD_LIMIT, follow, merge_ranges, neighbours, reset_ids, split_by_size
 from .scan import Axis, Lag, scan
 
 KEY = "video_id"
@@ -57,17 +57,36 @@ def frame_distances(frames: DataFrame, step: int = 1) -> DataFrame:
         KEY, "idx", "t_sec", histogram_distance(F.col("prev_hist"), F.col("hist")).alias("distance"))
 
 
-def spaced_times(events: DataFrame, min_gap: float) -> DataFrame:
+def spaced_times(events: DataFrame, min_gap: float, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Greedy thinning: keep an event that lies at least ``min_gap`` after the last kept one.
 
-    An event that far behind the event before it is kept whatever happened earlier, so the rule runs per chain."""
+    An event that far behind the event before it is kept whatever happened earlier, so the rule runs per chain of close
+    events: short chains by a fold, long ones by following the path from each event to the next one it allows."""
     chained = reset_ids(events, Axis.time(KEY, ("t_sec", "idx")), ["t_sec"],
                         lambda cur, prev: cur("t_sec") - prev("t_sec") >= min_gap)
-    times = chained.groupBy(KEY, "chain").agg(F.sort_array(F.collect_list("t_sec")).alias("times"))
+    short, long = split_by_size(stage(chained), [KEY], fold_limit)
+    times = short.groupBy(KEY, "chain").agg(F.sort_array(F.collect_list("t_sec")).alias("times"))
     zero = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<double>").alias("out"))
     kept = F.aggregate("times", zero, lambda acc, t: F.when(
         t - acc["last"] >= min_gap, F.struct(t.alias("last"), F.concat(acc["out"], F.array(t)).alias("out"))).otherwise(acc), lambda a: a["out"])
-    return times.select(KEY, F.explode(kept).alias("t_sec"))
+    done = times.select(KEY, F.explode(kept).alias("t_sec"))
+    return done if long is None else done.unionByName(_spaced_in_long_chains(long, min_gap))
+
+
+def _spaced_in_long_chains(events: DataFrame, min_gap: float) -> DataFrame:
+    """Only the distinct times of a chain matter.  The next time is looked up with a hair's breadth on either side, and
+    the difference itself decides between the two, as it does in the fold."""
+    times = stage(events.select(KEY, "chain", "t_sec").distinct())
+    hair = 1e-9
+    marks = times.select(KEY, F.col("chain").alias("c"), F.col("t_sec").alias("t"))
+    found = times.withColumn("goal", F.col("t_sec") + (min_gap - hair))
+    found = neighbours(found, marks, KEY, "goal", "t", ["c", "t"], level_first=False).drop("prev_c", "prev_t").withColumnsRenamed({"next_c": "c1", "next_t": "t1"})
+    found = stage(found.withColumn("goal", F.col("t_sec") + (min_gap + hair)))
+    found = neighbours(found, marks, KEY, "goal", "t", ["c", "t"], level_first=False)
+    first = F.when((F.col("c1") == F.col("chain")) & (F.col("t1") - F.col("t_sec") >= min_gap), F.col("t1"))
+    nxt = F.coalesce(first, F.when(F.col("next_c") == F.col("chain"), F.col("next_t")))
+    links = found.select(KEY, F.col("chain.t_sec").alias("chain_t"), F.col("chain.idx").alias("chain_idx"), "t_sec", nxt.alias("after"))
+    return follow(links, [KEY, "chain_t", "chain_idx"], "t_sec", "after").select(KEY, "t_sec")
 
 
 def scene_cuts(frames: DataFrame, params: WindowParams = WindowParams(), step: int = 1) -> DataFrame:

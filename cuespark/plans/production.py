@@ -51,13 +51,12 @@ SELECT video_id, sample_no, {six('CASE WHEN peak > 32767 * 0.97::DOUBLE THEN mix
   SELECT *, max(abs(mix)) OVER (PARTITION BY video_id) AS peak FROM (
     SELECT video_id, ord AS sample_no, CASE WHEN 20 * log10(sqrt(avg(a * a) OVER (PARTITION BY video_id)) / 32768) >= -65 THEN a * gain ELSE 0 END
       + CASE WHEN ord % 3 = 0 THEN level * 75 * 1.4125375446227544::DOUBLE ELSE 0 END AS mix, n
-    FROM (SELECT *, CASE WHEN video_id % 10 = 0 THEN level / 1000 ELSE level * 100 END AS a, max(ord) OVER () - 100 AS n FROM gains)) WHERE sample_no < n)"""))
+    FROM (SELECT *, CASE WHEN video_id % 10 = 0 THEN level / 1000 ELSE level * 100 END AS a, max(ord) OVER (PARTITION BY video_id) AS n FROM gains)) WHERE sample_no < n)"""))
 def duck_mix(spark, d):
     g = stage(gains(spark, d))
     bgm = g.select("video_id", F.col("ord").alias("sample_no"), F.when(F.col("video_id") % 10 == 0, F.col("level") / 1000).otherwise(F.col("level") * 100).alias("amplitude"), "gain")
     voice = v_series(spark, d).filter(F.col("ord") % 3 == 0).select("video_id", F.col("ord").alias("sample_no"), (F.col("level") * 75).alias("amplitude"))
-    top = g.agg((F.max("ord") - 100).alias("n"))
-    lengths = g.select("video_id").distinct().join(top)
+    lengths = g.groupBy("video_id").agg(F.max("ord").alias("n"))  # the last sample lies beyond the end
     return mix.duck_mix(bgm, voice, lengths, MixParams(voice_gain_db=3.0)).withColumn("mix", r6("mix"))
 
 

@@ -167,9 +167,9 @@ FROM (SELECT doc_id, CAST(length(regexp_replace(lower(text), '[^\\p{{L}}]+', '',
     length(regexp_replace(lower(text), '[^{text.VI_MARKED}]+', '', 'g')) AS marked FROM documents)""")
 def missing_diacritics(spark, d):
     letters, share = text.marked_share(F.col("text"))
-    return table(spark, d, "documents").select(
-        "doc_id", letters.alias("letters"), r6(share).alias("marked_share"),
-        text.missing_marks(F.col("text"), F.lit("vi")).alias("missing"))
+    measured = text.once(table(spark, d, "documents").select("doc_id", "text"), {"m": F.struct(letters.alias("letters"), share.alias("share"))})
+    low = F.coalesce((F.col("m.letters") >= 6) & (F.col("m.share") < 0.08), F.lit(False))
+    return measured.select("doc_id", "m.letters", r6("m.share").alias("marked_share"), low.alias("missing"))
 
 
 @gate("truncate_words", oracle("v_segments", "SELECT video_id, id, short_text FROM truncated",

@@ -22,7 +22,7 @@ def fraction(c: Column) -> Column:
 
 def media_catalog(probes: DataFrame, key: str = "video_id", probe: str = "probe") -> DataFrame:
     """One row per probe; ``reason`` tells why a row is no usable video (null when it is)."""
-    p = probes.select(key, F.from_json(probe, PROBE_SCHEMA).alias("p"))
+    p = probes.select(key, F.when(F.try_parse_json(probe).isNotNull(), F.from_json(probe, PROBE_SCHEMA)).alias("p"))
     video = F.get(F.filter("p.streams", lambda s: s["codec_type"] == "video"), F.lit(0))
     p = p.select(key, "p", video.alias("v"))
     positive = lambda c: F.when(c.try_cast("double") > 0, c.try_cast("double"))

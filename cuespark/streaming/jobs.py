@@ -117,11 +117,11 @@ def settle_batch(snapshots: DataFrame, stable_sec: float, timeout: float, delay_
     stops = marked.filter(F.col("state").isNotNull()).groupBy("request_id").agg(F.min(F.struct("t_sec", "ord", F.col("state").alias("outcome"), "text")).alias("e"))
     # the snapshot a total timeout reports is the last one within the time
     within = s.filter(waited < total_limit).groupBy("request_id").agg(F.max(F.struct("t_sec", "ord", "text")).alias("w"))
-    top = snapshots.agg((F.floor(F.max("t_sec") * 1000) / 1000 - delay_sec).alias("watermark"))  # one row
-    r = first.join(ended, "request_id", "left").join(stops.withColumnRenamed("e", "e2"), "request_id", "left").join(within, "request_id").join(F.broadcast(top))
+    watermark = snapshots.agg(F.floor(F.max("t_sec") * 1000) / 1000 - delay_sec).scalar()
+    r = first.join(ended, "request_id", "left").join(stops.withColumnRenamed("e", "e2"), "request_id", "left").join(within, "request_id")
     e = F.coalesce("e", "e2")
     late = F.col("e").isNull() & (F.col("e2").isNull() | (F.col("e2.outcome") == "timed_out"))
-    open_ = F.col("e").isNull() & F.col("e2").isNull() & (F.col("start") + total_limit > F.col("watermark"))
+    open_ = F.col("e").isNull() & F.col("e2").isNull() & (F.col("start") + total_limit > watermark)
     return r.filter(~open_).select(
         "request_id", F.when(late, "timed_out").otherwise(e["outcome"]).alias("outcome"),
         F.when(late, F.col("w.t_sec")).otherwise(e["t_sec"]).alias("at_sec"), F.when(late, F.col("w.text")).otherwise(e["text"]).alias("text"))
