@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from ..functions.scoring import seeded_uniform
 from ..functions.timecode import millis
 from ..params import FitParams, PauseParams
 from ..session import stage
-from .ranges import attach, reset_ids
+from .ranges import FOLD_LIMIT, attach, reset_ids, split_by_size
 from .scan import Axis, Lead, RowNumber, scan
 
 KEY = "video_id"
 DRIFT_TOLERANCE_MS = 10
+BLOCK_CLIPS = 5000
 PLACED = ("id", "planned_start_ms", "planned_end_ms", "placed_start_ms", "placed_end_ms", "audio_len_ms", "start_drift_ms",
           "overrun_ms", "clipped_ms", "pause_shrink_ms", "speed", "status")
 SUMMARY = ("segments", "start_drift_over_tolerance", "overruns", "clipped", "overlaps", "pause_shrunk_segments")
@@ -73,11 +76,11 @@ def place_clips(clips: DataFrame, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
     return _placed(_slots(clips, keys), F.lit(0), keys)
 
 
-def place_with_pauses(clips: DataFrame, params: PauseParams, keys: tuple[str, ...] = (KEY,)) -> DataFrame:
+def place_with_pauses(clips: DataFrame, params: PauseParams, keys: tuple[str, ...] = (KEY,), fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Clips moved earlier by at most ``max_advance_sec`` so that pauses follow a seeded draw; shifts never add up.
 
     A clip depends on the one before only where that clip's own shift could change its pause; elsewhere a chain starts,
-    and the sequential rule runs per chain."""
+    and the sequential rule runs per chain: by a fold, or for long chains block by block."""
     if params.max_advance_ms == 0:
         return place_clips(clips, keys)
     cap = params.max_advance_ms
@@ -93,6 +96,14 @@ def place_with_pauses(clips: DataFrame, params: PauseParams, keys: tuple[str, ..
         return (gap - cur("pause") > cap) | (gap + cap <= 0) | (gap + cap - cur("pause") <= 0)
 
     chained = reset_ids(slots, Axis.time(keys, ("start_sec", "id"), 60.0), ["pos", "end0", "pause"], settled, prev_as={"end0": "prev_end0"})
+    short, long = split_by_size(stage(chained), list(keys), fold_limit)
+    shrinks = _shrinks_by_fold(short, keys, cap)
+    if long is not None:
+        shrinks = shrinks.unionByName(_shrinks_in_long_chains(long, keys, cap))
+    return _placed(slots.join(shrinks, [*keys, "id"]), F.col("shrink"), keys)
+
+
+def _shrinks_by_fold(chained: DataFrame, keys: tuple[str, ...], cap: int) -> DataFrame:
     row = F.struct("start_sec", "id", "pos", "audio_len_ms", "limit", "pause", "free", "prev_end0")
     lists = chained.groupBy(*keys, "chain").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     zero = F.struct(F.lit(None).cast("long").alias("prev_end"), F.array().cast("array<struct<id:bigint,shrink:bigint>>").alias("out"))
@@ -106,8 +117,54 @@ def place_with_pauses(clips: DataFrame, params: PauseParams, keys: tuple[str, ..
         return F.struct(end.alias("prev_end"), F.concat(acc["out"], F.array(F.struct(
             x["id"].cast("long").alias("id"), shrink.alias("shrink")))).alias("out"))
 
-    shrinks = lists.select(*keys, F.inline(F.aggregate("rows", zero, step, lambda a: a["out"])))
-    return _placed(slots.join(shrinks, [*keys, "id"]), F.col("shrink"), keys)
+    return lists.select(*keys, F.inline(F.aggregate("rows", zero, step, lambda a: a["out"])))
+
+
+def _shift_states(block: pd.DataFrame, early: np.ndarray, cap: int) -> tuple[np.ndarray, list]:
+    """Runs a block for several states at once: ``early`` is how much earlier than unshifted the clip before ended."""
+    shifts = []
+    for r in block.itertuples(index=False):
+        if pd.isna(r.prev_end0):
+            shrink = np.zeros_like(early)
+        else:
+            gap = r.pos - int(r.prev_end0) + early
+            want = np.maximum(0, gap - r.pause)
+            shrink = np.where(gap > 0, np.where(want <= cap, want, r.free), 0)
+        start = r.pos - shrink
+        early = r.end0 - np.minimum(start + r.audio_len_ms, np.maximum(r.limit, start))
+        shifts.append(shrink)
+    return early, shifts
+
+
+def _shrinks_in_long_chains(chained: DataFrame, keys: tuple[str, ...], cap: int) -> DataFrame:
+    """A block of clips maps how early the clip before it ended (0..cap ms) to how early its own last clip ends.  The maps
+    of all blocks are made side by side, chained per video (one small array per block), and the blocks run once more."""
+    group = ("chain_start", "chain_id")
+    flat = chained.select(*keys, F.col("chain.start_sec").alias("chain_start"), F.col("chain.id").alias("chain_id"), "start_sec", F.col("id").cast("long").alias("id"),
+                          "pos", "audio_len_ms", "limit", "pause", "free", "end0", "prev_end0")
+    numbered = stage(scan(flat, Axis.time((*keys, *group), ("start_sec", "id"), 60.0), RowNumber("__n")).withColumn(
+        "block", F.floor((F.col("__n") - 1) / BLOCK_CLIPS).cast("long")).drop("__n"))
+    by = [*keys, *group, "block"]
+    key_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*by).schema)
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, _ = _shift_states(pdf.sort_values(["start_sec", "id"]), np.arange(cap + 1, dtype="int64"), cap)
+        return pdf.head(1)[by].assign(ends=[out.tolist()])
+
+    maps = numbered.groupBy(*by).applyInPandas(table, f"{key_type}, ends array<bigint>")
+    lists = maps.groupBy(*keys, *group).agg(F.sort_array(F.collect_list(F.struct("block", "ends"))).alias("maps"))
+    zero = F.struct(F.lit(0).cast("long").alias("early"), F.array().cast("array<struct<block:bigint,early:bigint>>").alias("out"))
+    entries = lists.select(*keys, *group, F.inline(F.aggregate("maps", zero, lambda acc, m: F.struct(
+        F.get(m["ends"], acc["early"].cast("int")).alias("early"),
+        F.concat(acc["out"], F.array(F.struct(m["block"].alias("block"), acc["early"].alias("early")))).alias("out")), lambda a: a["out"])))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["start_sec", "id"])
+        _, shifts = _shift_states(pdf, pdf["early"].to_numpy()[:1].astype("int64"), cap)
+        return pdf[[*keys, "id"]].assign(shrink=[int(s[0]) for s in shifts])
+
+    out_type = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.select(*keys, "id").schema) + ", shrink bigint"
+    return numbered.join(entries, by).groupBy(*by).applyInPandas(run, out_type)
 
 
 def sync_checks(placed: DataFrame, allowed_ms: int = 0, keys: tuple[str, ...] = (KEY,)) -> DataFrame:

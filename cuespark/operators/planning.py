@@ -9,7 +9,7 @@ from ..functions.text import let
 from ..functions.timecode import format_timestamp
 from ..params import ChunkParams, WindowParams
 from ..session import stage
-from .ranges import asof, attach, point_in_range, reset_ids
+from .ranges import FOLD_LIMIT, asof, attach, follow, neighbours, point_in_range, reset_ids, split_by_size
 from .scan import Axis, Lead, RowNumber, RunLast, Total, scan
 
 KEY = "video_id"
@@ -149,16 +149,23 @@ def batch_fixed(samples: DataFrame, per_batch: int, order: tuple[str, ...] = ("t
         "batch", F.floor((F.col("row_no") - 1) / per_batch).cast("long"))
 
 
-def batch_by_scene(samples: DataFrame, min_batch_sec: float, max_per_batch: int) -> DataFrame:
+def batch_by_scene(samples: DataFrame, min_batch_sec: float, max_per_batch: int, fold_limit: int = FOLD_LIMIT) -> DataFrame:
     """Batches that follow scene windows (``samples``: video_id, t_sec, w_start, w_end).
 
     Groups are pieces of one window of at most ``max_per_batch`` samples; they are joined forward until long enough.
-    After a group that is long enough by itself nothing is pending, so the joining runs per chain of short groups."""
+    After a group that is long enough by itself nothing is pending, so the joining runs per chain of short groups: by a
+    fold, or for long chains along the path from each batch start to the next."""
     numbered = scan(samples, Axis.time((KEY, "w_start", "w_end"), ("t_sec",), 60.0), RowNumber("r"))
     groups = numbered.groupBy(KEY, "w_start", "w_end", F.floor((F.col("r") - 1) / max_per_batch).cast("long").alias("piece")).agg(
         F.count("*").alias("n"))
     chained = reset_ids(stage(groups), Axis.time(KEY, ("w_start", "w_end", "piece")), ["w_start", "w_end"],
                         lambda cur, prev: prev("w_end") - prev("w_start") >= min_batch_sec)
+    short, long = split_by_size(stage(chained), [KEY], fold_limit)
+    done = _join_groups(short, min_batch_sec)
+    return done if long is None else done.unionByName(_join_groups_in_long_chains(long, min_batch_sec))
+
+
+def _join_groups(chained: DataFrame, min_batch_sec: float) -> DataFrame:
     lists = chained.groupBy(KEY, "chain").agg(F.sort_array(F.collect_list(F.struct("w_start", "piece", "w_end", "n"))).alias("groups"))
     kind = "array<struct<start_sec:double,end_sec:double,samples:bigint,groups:int>>"
     zero = F.struct(F.array().cast(kind).alias("out"), F.lit(True).alias("closed"))
@@ -176,6 +183,30 @@ def batch_by_scene(samples: DataFrame, min_batch_sec: float, max_per_batch: int)
     return lists.select(KEY, F.inline(F.aggregate("groups", zero, step, lambda a: a["out"])))
 
 
+def _join_groups_in_long_chains(chained: DataFrame, min_batch_sec: float) -> DataFrame:
+    """A batch closes at the first group that ends late enough after its start; the group after that starts the next."""
+    hair = 1e-9
+    axis = Axis.time(KEY, ("w_start", "w_end", "piece"), 60.0)
+    at = F.struct("w_start", "w_end", "piece")
+    nodes = stage(scan(chained.withColumn("at", at), axis, Lead("following", F.struct("at", "chain"))))
+    nodes = nodes.withColumn("following", F.when(F.col("following.chain") == F.col("chain"), F.col("following.at")))
+    # of the pieces of a window the first closes the batch
+    marks = nodes.groupBy(KEY, F.col("w_end").alias("e")).agg(F.min_by(F.struct("following", "chain"), "at").alias("m")).select(
+        KEY, "e", F.col("m.following").alias("then"), F.col("m.chain").alias("c"))
+    low = neighbours(nodes.withColumn("goal", F.col("w_start") + (min_batch_sec - hair)), marks, KEY, "goal", "e", ["e", "then", "c"], level_first=False)
+    low = stage(low.drop("prev_e", "prev_then", "prev_c").withColumnsRenamed({"next_e": "e1", "next_then": "then1", "next_c": "c1"}))
+    both = neighbours(low.withColumn("goal", F.col("w_start") + (min_batch_sec + hair)), marks, KEY, "goal", "e", ["e", "then", "c"], level_first=False)
+    exact = (F.col("c1") == F.col("chain")) & (F.col("e1") - F.col("w_start") >= min_batch_sec)
+    after = F.when(exact, F.col("then1")).when(F.col("next_c") == F.col("chain"), F.col("next_then"))
+    group = ["g1", "g2", "g3"]
+    links = stage(both.select(KEY, F.col("chain.w_start").alias("g1"), F.col("chain.w_end").alias("g2"), F.col("chain.piece").alias("g3"), "at", "n", after.alias("after")))
+    starts = follow(links, [KEY, *group], "at", "after").select(KEY, "at", F.lit(True).alias("opens"))
+    marked = links.join(starts, [KEY, "at"], "left").select(KEY, "at.w_start", "at.w_end", "at.piece", "n", "opens")
+    batched = scan(stage(marked), axis, RunLast("batch", F.when(F.col("opens"), at)))
+    return batched.groupBy(KEY, "batch").agg(F.min("w_start").alias("start_sec"), F.max("w_end").alias("end_sec"), F.sum("n").alias("samples"),
+                                             F.count("*").cast("int").alias("groups")).drop("batch")
+
+
 def sparse_pick(samples: DataFrame, most: int = 10, order: tuple[str, ...] = ("t_sec", "ord")) -> DataFrame:
     """Evenly thinned samples, at most ``most`` per video (that is what the operator is for)."""
     counted = scan(samples, Axis.time(KEY, order), RowNumber("row_no"), Total("n", F.lit(1)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cuespark.operators import fit, highlights, ranges, segments, signal
+from cuespark.operators import fit, highlights, planning, ranges, segments, signal
 from cuespark.operators.scan import SLAB_ROWS_CONF, Axis, Lag, Lead, RowNumber, RunLast, RunMax, RunSum, Total, scan
 from cuespark.params import HighlightParams, PauseParams, ScriptParams
 
@@ -145,7 +145,9 @@ def test_highlights_with_one_crowded_video(spark, fold_limit):
     assert sorted((r.video_id, round(r.start_sec, 6), round(r.end_sec, 6)) for r in got.collect()) == sorted(want)
 
 
-def test_pauses_in_a_crowded_video(spark, scripts):
+@pytest.mark.parametrize("fold_limit, block", [(2000, 5000), (0, 7)])
+def test_pauses_in_a_crowded_video(spark, scripts, monkeypatch, fold_limit, block):
+    monkeypatch.setattr(fit, "BLOCK_CLIPS", block)
     clips = scripts.select("video_id", "id", "start_sec", F.lit(2.0).alias("planned_sec"), (F.col("end_sec") - F.col("start_sec")).alias("final_sec"), F.lit(1.0).alias("speed"),
                            F.lit("ok").alias("status"), F.lit(190_000).cast("long").alias("total_ms"))
     params = PauseParams(max_advance_sec=0.5, min_pause_sec=0.1, max_pause_sec=0.4)
@@ -169,5 +171,27 @@ def test_pauses_in_a_crowded_video(spark, scripts):
             limit = min(round(mine[i + 1].start_sec * 1000) if i + 1 < len(mine) else 190_000, 190_000)
             prev = pos - shrink + min(slots[k].audio_len_ms, max(0, limit - (pos - shrink)))
             want[k] = (shrink, prev)
-    got = {(r.video_id, r.id): (r.pause_shrink_ms, r.placed_end_ms) for r in fit.place_with_pauses(clips, params).collect()}
+    got = {(r.video_id, r.id): (r.pause_shrink_ms, r.placed_end_ms) for r in fit.place_with_pauses(clips, params, fold_limit=fold_limit).collect()}
     assert got == want
+
+
+def test_scene_batches_of_many_short_windows(spark):
+    rng = random.Random(4)
+    data, want = [], []
+    for v, n in ((0, 60), (1, 9)):
+        t, groups = 0.0, []
+        for _ in range(n):
+            a, t = t, round(t + rng.choice([0.5, 1.0, 2.5, 7.0]), 1)
+            k = rng.randint(1, 5)
+            data += [(v, a + 0.01 * j, a, t) for j in range(k)]
+            groups += [(a, t, min(2, k - 2 * p)) for p in range((k + 1) // 2)]
+        open_ = None
+        for i, (a, b, k) in enumerate(groups):
+            open_ = (open_[0], b, open_[2] + k) if open_ else (a, b, k)
+            if b - open_[0] >= 5.0 or i == len(groups) - 1:
+                want.append((v, *open_))
+                open_ = None
+    s = spark.createDataFrame(data, "video_id long, t_sec double, w_start double, w_end double")
+    for limit in (2000, 0):
+        got = planning.batch_by_scene(s, 5.0, 2, fold_limit=limit)
+        assert sorted(map(tuple, got.select("video_id", "start_sec", "end_sec", "samples").collect())) == sorted(want)
