@@ -26,8 +26,8 @@ def silences(spark, d):
 
 
 def marks(spark, d):
-    """A sparse set of scene cuts on the level series."""
-    return v_series(spark, d).filter(F.col("ord") % 23 == 0).select("video_id", "t_sec")
+    """Peaks of the level series, taken as scene cuts."""
+    return v_series(spark, d).filter(F.col("level") >= 150).select("video_id", "t_sec")
 
 
 def chunks(spark, d):
@@ -55,7 +55,7 @@ VIEWS["runs"] = """SELECT video_id, quiet, min(t_sec) AS start_sec, max(t_sec) A
 VIEWS["voice"] = """SELECT video_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM (
       SELECT *, sum(o) OVER (PARTITION BY video_id ORDER BY start_sec) AS g FROM (SELECT *, CASE WHEN start_sec - lag(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec) < 6
         THEN 0 ELSE 1 END AS o FROM runs WHERE NOT quiet)) GROUP BY video_id, g"""
-VIEWS["marks"] = "SELECT video_id, t_sec FROM v_series WHERE ord % 23 = 0"
+VIEWS["marks"] = "SELECT video_id, t_sec FROM v_series WHERE level >= 150"
 VIEWS["distances"] = """SELECT video_id, idx, t_sec, sqrt(greatest(0, 1 - list_sum(list_transform(range(1, 65), lambda i: sqrt(prev[i] * hist[i]))) / sqrt(list_sum(prev) * list_sum(hist)))) AS distance
     FROM (SELECT *, lag(hist) OVER (PARTITION BY video_id ORDER BY t_sec, idx) AS prev FROM v_frames) WHERE prev IS NOT NULL"""
 VIEWS["jumps"] = "SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec, idx) AS rn FROM distances WHERE distance > 0.39"

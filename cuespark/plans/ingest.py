@@ -89,11 +89,11 @@ def script_sink(spark, d):
 
 @gate("log_tail", oracle("v_lines", """
 SELECT source, line_no, line FROM (SELECT doc_id AS source, line_no, line,
-    row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS r FROM v_lines WHERE doc_id % 10 <> 0) WHERE r <= 5
-UNION ALL SELECT doc_id, 0, '(no log lines)' FROM documents WHERE doc_id % 10 = 0"""))
+    row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS r FROM v_lines WHERE length(line) >= 60) WHERE r <= 5
+UNION ALL SELECT doc_id, 0, '(no log lines)' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v_lines WHERE length(line) >= 60)"""))
 def log_tail(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source"))
-    lines = v_lines(spark, d).withColumnRenamed("doc_id", "source").filter(F.col("source") % 10 != 0)
+    lines = v_lines(spark, d).withColumnRenamed("doc_id", "source").filter(F.length("line") >= 60)
     return logs.log_tail(docs, lines, 5)
 
 

@@ -138,7 +138,7 @@ def checks_sql(source: str, keys: str = "video_id", allowed: int = 0) -> str:
 def clips(spark, d):
     engine = F.when((F.col("video_id") + F.col("id")) % 19 == 0, "failed").when((F.col("video_id") + F.col("id")) % 23 == 0, "skipped")
     return v_segments(spark, d).select(
-        "video_id", "id", "text", "start_sec", (F.col("end_sec") - F.col("start_sec")).alias("planned_sec"),
+        "video_id", "id", "start_sec", (F.col("end_sec") - F.col("start_sec")).alias("planned_sec"),
         (F.greatest(F.lit(1), F.size(tokens(F.col("text")))) * F.lit(0.28)).alias("raw_sec"), engine.alias("engine_status"))
 
 

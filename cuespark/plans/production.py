@@ -50,12 +50,12 @@ def duck_envelope(spark, d):
 SELECT video_id, sample_no, {six('CASE WHEN peak > 32767 * 0.97::DOUBLE THEN mix * (32767 * 0.97::DOUBLE / peak) ELSE mix END')} AS mix FROM (
   SELECT *, max(abs(mix)) OVER (PARTITION BY video_id) AS peak FROM (
     SELECT video_id, ord AS sample_no, CASE WHEN 20 * log10(sqrt(avg(a * a) OVER (PARTITION BY video_id)) / 32768) >= -65 THEN a * gain ELSE 0 END
-      + CASE WHEN ord % 3 = 0 THEN level * 75 * 1.4125375446227544::DOUBLE ELSE 0 END AS mix, n
+      + CASE WHEN level >= 50 THEN level * 75 * 1.4125375446227544::DOUBLE ELSE 0 END AS mix, n
     FROM (SELECT *, CASE WHEN video_id % 10 = 0 THEN level / 1000 ELSE level * 100 END AS a, max(ord) OVER (PARTITION BY video_id) AS n FROM gains)) WHERE sample_no < n)"""))
 def duck_mix(spark, d):
     g = stage(gains(spark, d))
     bgm = g.select("video_id", F.col("ord").alias("sample_no"), F.when(F.col("video_id") % 10 == 0, F.col("level") / 1000).otherwise(F.col("level") * 100).alias("amplitude"), "gain")
-    voice = v_series(spark, d).filter(F.col("ord") % 3 == 0).select("video_id", F.col("ord").alias("sample_no"), (F.col("level") * 75).alias("amplitude"))
+    voice = v_series(spark, d).filter(F.col("level") >= 50).select("video_id", F.col("ord").alias("sample_no"), (F.col("level") * 75).alias("amplitude"))
     lengths = g.groupBy("video_id").agg(F.max("ord").alias("n"))  # the last sample lies beyond the end
     return mix.duck_mix(bgm, voice, lengths, MixParams(voice_gain_db=3.0)).withColumn("mix", r6("mix"))
 
@@ -92,7 +92,7 @@ def repaired_sql(source: str, extra: str = "") -> str:
 
 
 VIEWS["cues"] = repaired_sql("est")
-VIEWS["words_used"] = "SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY w_start, turn, k) AS word_no FROM v_words WHERE video_id % 6 <> 5 AND NOT (video_id % 4 = 1 AND k % 2 = 0)"
+VIEWS["words_used"] = "SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY w_start, turn, k) AS word_no FROM v_words"
 VIEWS["need"] = f"""SELECT *, sum(n) OVER (PARTITION BY video_id ORDER BY sentence_no) - n AS before, sum(n) OVER (PARTITION BY video_id) AS expected FROM (
     SELECT *, greatest(1, len({tokens_sql('sentence')})) AS n FROM sents)"""
 VIEWS["aligned"] = """SELECT s.video_id, s.id, s.seg_start, s.seg_end, s.pos, s.sentence, s.sentence_no, s.accepted,
@@ -105,12 +105,8 @@ VIEWS["chosen"] = """SELECT e.video_id, e.id, e.seg_start, e.pos, e.text, CASE W
 DEPENDS.update({"sents": ["v_segments"], "seg_durs": ["sents"], "est": ["sents", "seg_durs"], "cues": ["est"], "words_used": ["v_words"], "need": ["sents"], "aligned": ["need", "words_used"], "chosen": ["est", "aligned"]})
 
 
-def words(spark, d):
-    return v_words(spark, d).filter((F.col("video_id") % 6 != 5) & ~((F.col("video_id") % 4 == 1) & (F.col("k") % 2 == 0)))
-
-
 def aligned(spark, d):
-    return subtitles.align_words(subtitles.numbered_sentences(v_segments(spark, d)), words(spark, d), ("w_start", "turn", "k"))
+    return subtitles.align_words(subtitles.numbered_sentences(v_segments(spark, d)), v_words(spark, d), ("w_start", "turn", "k"))
 
 
 def secs(df, *names):
@@ -157,8 +153,8 @@ def srt_render(spark, d):
 
 # ---------------------------------------------------------------- ledger
 STAGE_SQL = "['01_extracted', '02_script', '03_tts_done', '04_assembled']"
-VIEWS["led"] = f"SELECT video_id, chunk_index, i AS stage_no, {STAGE_SQL}[i] AS stage FROM (SELECT *, unnest(range(1, n_stages + 1)) AS i FROM v_ledger)"
-VIEWS["led_done"] = "SELECT * FROM led WHERE (video_id + chunk_index + stage_no) % 11 <> 0"
+VIEWS["led"] = f"SELECT video_id, chunk_index, n_stages, i AS stage_no, {STAGE_SQL}[i] AS stage FROM (SELECT *, unnest(range(1, n_stages + 1)) AS i FROM v_ledger)"
+VIEWS["led_done"] = "SELECT * FROM led WHERE NOT (n_stages = 3 AND stage_no = 2)"
 VIEWS["matrix"] = f"""SELECT *, s4 AS done, {STAGE_SQL}[CASE WHEN NOT s1 THEN 1 WHEN NOT s2 THEN 2 WHEN NOT s3 THEN 3 WHEN NOT s4 THEN 4 END] AS next_stage FROM (
     SELECT l.video_id, l.chunk_index, coalesce(bool_or(stage_no = 1), false) AS s1, coalesce(bool_or(stage_no = 2), false) AS s2, coalesce(bool_or(stage_no = 3), false) AS s3, coalesce(bool_or(stage_no = 4), false) AS s4
     FROM v_ledger l LEFT JOIN led_done d USING (video_id, chunk_index) GROUP BY ALL)"""
@@ -166,12 +162,12 @@ DEPENDS.update({"led": ["v_ledger"], "led_done": ["led"], "matrix": ["v_ledger",
 
 
 def stages(spark, d):
-    return v_ledger(spark, d).select(*CHUNKED, F.posexplode(F.slice(F.array(*map(F.lit, ledger.STAGES)), F.lit(1), F.col("n_stages"))).alias("i", "stage")).select(
-        *CHUNKED, (F.col("i") + 1).alias("stage_no"), "stage")
+    return v_ledger(spark, d).select(*CHUNKED, "n_stages", F.posexplode(F.slice(F.array(*map(F.lit, ledger.STAGES)), F.lit(1), F.col("n_stages"))).alias("i", "stage")).select(
+        *CHUNKED, "n_stages", (F.col("i") + 1).alias("stage_no"), "stage")
 
 
 def done(spark, d):
-    payloads = stages(spark, d).filter((F.col("video_id") + F.col("chunk_index") + F.col("stage_no")) % 11 != 0).select(*CHUNKED, "stage")
+    payloads = stages(spark, d).filter(~((F.col("n_stages") == 3) & (F.col("stage_no") == 2))).select(*CHUNKED, "stage")  # scripts of unfinished chunks got lost
     return ledger.recorded(stages(spark, d), payloads)
 
 
@@ -229,10 +225,10 @@ def pending_work(spark, d):
 
 
 @gate("cache_lookup", oracle("v_candidates", """
-SELECT video_id, ord, CASE WHEN hit THEN '[' || ord || ']' END AS cached, hit FROM (SELECT *, ord % 2 = 0 AND ord % 6 <> 4 AND ord % 5 <> 0 AND ord % 7 <> 0 AS hit FROM v_candidates)"""))
+SELECT video_id, ord, CASE WHEN hit THEN '[' || ord || ']' END AS cached, hit FROM (SELECT *, k < 50 AND ord % 6 <> 4 AND ord % 5 <> 0 AND ord % 7 <> 0 AS hit FROM v_candidates)"""))
 def cache_lookup(spark, d):
     c = v_candidates(spark, d).withColumn("fingerprint", F.concat(F.lit("v"), F.col("video_id").cast("string"), F.lit("-"), F.col("ord").cast("string")))
-    stored = c.filter(F.col("ord") % 2 == 0).select(
+    stored = c.filter(F.col("k") < 50).select(
         F.when(F.col("ord") % 5 == 0, F.concat("fingerprint", F.lit("x"))).otherwise(F.col("fingerprint")).alias("fingerprint"),
         (F.col("start_sec") + F.when(F.col("ord") % 6 == 4, 0.01).otherwise(0.0001)).alias("start_sec"), "end_sec",
         F.concat(F.lit("["), F.col("ord").cast("string"), F.lit("]")).alias("segments"))
@@ -241,10 +237,10 @@ def cache_lookup(spark, d):
 
 
 @gate("cache_validity", oracle("v_frames", """
-SELECT video_id, chunk_index, count(*) AS frames, count(*) FILTER (idx % 41 = 0) AS missing, bool_and(idx % 41 <> 0) AS valid FROM (SELECT *, CAST(floor(t_sec / 10) AS INTEGER) AS chunk_index FROM v_frames) GROUP BY ALL"""))
+SELECT video_id, chunk_index, count(*) AS frames, count(*) FILTER (hist[1] < 0.005) AS missing, bool_and(hist[1] >= 0.005) AS valid FROM (SELECT *, CAST(floor(t_sec / 10) AS INTEGER) AS chunk_index FROM v_frames) GROUP BY ALL"""))
 def cache_validity(spark, d):
-    f = v_frames(spark, d).select("video_id", F.floor(F.col("t_sec") / 10).cast("int").alias("chunk_index"), "idx", F.format_string("/f/%d/frame_%04d.jpg", "video_id", "idx").alias("path"))
-    return ledger.cache_validity(f.select(*CHUNKED, "path"), f.filter(F.col("idx") % 41 != 0).select("path"))
+    f = v_frames(spark, d).select("video_id", F.floor(F.col("t_sec") / 10).cast("int").alias("chunk_index"), F.format_string("/f/%d/frame_%04d.jpg", "video_id", "idx").alias("path"), "hist")
+    return ledger.cache_validity(f.select(*CHUNKED, "path"), f.filter(F.col("hist")[0] >= 0.005).select("path"))
 
 
 @gate("plan_guard", oracle("v_ledger", "SELECT video_id, chunk_index, 'fp' || video_id % 3 AS fingerprint FROM v_ledger WHERE video_id % 4 <> 0"))

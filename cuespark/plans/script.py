@@ -161,11 +161,12 @@ def assign_to_chunks(spark, d):
 
 
 @gate("empty_chunks", oracle("seg_assigned seg_chunks", """
-SELECT video_id, chunk_index, start_sec, end_sec FROM seg_chunks c WHERE NOT EXISTS (SELECT 1 FROM seg_assigned a WHERE a.id % 3 = 1
+SELECT video_id, chunk_index, start_sec, end_sec FROM seg_chunks c WHERE NOT EXISTS (SELECT 1 FROM seg_assigned a WHERE a.certainty = 'creative_framing'
     AND a.video_id = c.video_id AND a.chunk_index = c.chunk_index)"""))
 def empty_chunks(spark, d):
-    some = ops.assign_to_chunks(v_segments(spark, d).filter(F.col("id") % 3 == 1), seg_chunks(spark, d))
-    return ops.empty_chunks(some, seg_chunks(spark, d))
+    """Chunks in which no line is labelled as creative."""
+    creative = ops.assign_to_chunks(v_segments(spark, d).filter(F.col("certainty") == "creative_framing"), seg_chunks(spark, d))
+    return ops.empty_chunks(creative, seg_chunks(spark, d))
 
 
 @gate("shift_time", oracle("seg_assigned", "SELECT video_id, id, start_sec - chunk_start AS start_sec, end_sec - chunk_start AS end_sec FROM seg_assigned"))

@@ -167,13 +167,13 @@ SPOKEN_SQL = squeeze_sql("regexp_replace(text, '[*_`#<>~]+', '', 'g')")
 
 @gate("enrich_with_engine", oracle("v_segments", f"""
 SELECT content_key, (280 * greatest(1, len(string_split(any_value(spoken), ' '))) + 270) / 1000::DOUBLE AS duration_sec, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM (
-  SELECT {SPOKEN_SQL} AS spoken, substr(md5(concat_ws('|', {SPOKEN_SQL}, 'vi-VN-HoaiMyNeural', 'offline_speech', rate || pitch || volume)), 1, 8) AS content_key, video_id
-  FROM (SELECT *, {tone_sql('tone')} AS tone_name FROM v_segments) JOIN {PROSODY_SQL} USING (tone_name)) GROUP BY content_key HAVING NOT bool_or(video_id % 5 = 0)"""))
+  SELECT {SPOKEN_SQL} AS spoken, substr(md5(concat_ws('|', {SPOKEN_SQL}, 'vi-VN-HoaiMyNeural', 'offline_speech', rate || pitch || volume)), 1, 8) AS content_key, certainty
+  FROM (SELECT *, {tone_sql('tone')} AS tone_name FROM v_segments) JOIN {PROSODY_SQL} USING (tone_name)) GROUP BY content_key HAVING NOT bool_or(certainty = 'observed_fact')"""))
 def enrich_with_engine(spark, d):
-    """Segments of every fifth video are in the cache already; the rest is sent, each distinct request once."""
+    """Lines that state observed facts are in the cache already; the rest is sent, each distinct request once."""
     rate, pitch, volume = voices.prosody(F.col("tone_name"))
     spoken = texts.clean_speech_text(F.col("text"))
     key = texts.content_key(spoken, F.lit("vi-VN-HoaiMyNeural"), F.lit("offline_speech"), F.concat(rate, pitch, volume))
-    asked = v_segments(spark, d).withColumn("tone_name", texts.normalize_tone(F.col("tone"))).select("video_id", key.alias("content_key"), spoken.alias("spoken"))
-    cache = asked.filter(F.col("video_id") % 5 == 0).select("content_key", F.lit("ok").alias("status"))
+    asked = v_segments(spark, d).withColumn("tone_name", texts.normalize_tone(F.col("tone"))).select("certainty", key.alias("content_key"), spoken.alias("spoken"))
+    cache = asked.filter(F.col("certainty") == "observed_fact").select("content_key", F.lit("ok").alias("status"))
     return enrich.enrich_with_engine(asked, "offline_speech", cache)
