@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 # Unicode white space (also the four ASCII separators), markdown and emoji character classes.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-NOT_SPACE = WS.replace(r"\x20", r"\x1f")
-WS_RUN = f"{NOT_SPACE}{WS}*| {WS}+"  # any run but a single space
-MARKDOWN = r"[*_`#>~]+"
-SPEECH_MARKDOWN = r"[*_`#<>~]+"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+MARKDOWN = "*_`#>~"
+SPEECH_MARKDOWN = "*_`#<>~"
 EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]"
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -72,9 +71,10 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(values)))
 
 
-def squeeze(c: Column) -> Column:
-    """White space runs become one space, none at either end."""
-    return F.trim(F.regexp_replace(c, WS_RUN, " "))
+def squeeze(c: Column, drop: str = "") -> Column:
+    """White space runs become one space, none at either end; characters of ``drop`` are left out in the same pass."""
+    spaced = F.translate(c, WS_CHARS + drop, " " * len(WS_CHARS))
+    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -87,15 +87,15 @@ def strip_accents(c: Column) -> Column:
 
 
 def count_words(c: Column) -> Column:
-    return F.coalesce(F.size(F.regexp_extract_all(c, F.lit("(" + WORD + ")"))), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(WORD)), F.lit(0))
 
 
 def clean_text(c: Column) -> Column:
-    return squeeze(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), MARKDOWN, ""), EMOJI, ""))
+    return squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), EMOJI, ""), MARKDOWN)
 
 
 def clean_speech_text(c: Column) -> Column:
-    return squeeze(F.regexp_replace(c, SPEECH_MARKDOWN, ""))
+    return squeeze(c, SPEECH_MARKDOWN)
 
 
 def snippet(c: Column, n: int = 160) -> Column:
