@@ -99,4 +99,5 @@ def srt_documents(cues: DataFrame, max_chars: int = 42, per_part: int = 500) ->
 
 
 def write_srt(documents: DataFrame, path: str) -> None:
-    documents.select(F.concat_ws("/", F.col(KEY).cast("string"), F.col("part").cast("string")).alias("name"), "srt").write.mode("overwrite").json(path)
+    """One text file per part, in folders named by video and part."""
+    documents.select(KEY, "part", "srt").write.mode("overwrite").partitionBy(KEY, "part").text(path)

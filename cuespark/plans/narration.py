@@ -14,7 +14,7 @@ from ..session import stage
 from .carriers import DEPENDS, VIEWS, oracle, v_candidates, v_segments, v_series
 from .detection import media
 from .registry import gate
-from .scalars import COMPOSITE_SQL, clock_sql, composite, raw_criteria, tokens_sql
+from .scalars import COMPOSITE_SQL, composite, raw_criteria, tokens_sql
 from .script import seg_chunks
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from cuespark.operators import enrich, ledger, segments
+from cuespark.operators import enrich, ledger, segments, subtitles
 from cuespark.plans.carriers import v_segments
 from cuespark.sources import logs, scripts
 from cuespark.streaming import jobs
@@ -22,6 +22,15 @@ def test_script_files_round_trip(spark, sf_dir, tmp_path):
     assert segments.coerce_segments(found).filter("reason is null").count() == 1
 
 
+def test_srt_files(spark, sf_dir, tmp_path):
+    cues = subtitles.cue_repair(subtitles.split_cues(v_segments(spark, sf_dir).filter("video_id < 3")))
+    docs = subtitles.srt_documents(cues, per_part=10)
+    subtitles.write_srt(docs, str(tmp_path / "srt"))
+    first = next((tmp_path / "srt" / "video_id=0" / "part=0").glob("*.txt")).read_text(encoding="utf-8")
+    assert first.rstrip("\n") == docs.filter("video_id = 0 AND part = 0").first()["srt"].rstrip("\n")
+    assert len(list((tmp_path / "srt").glob("*/*/*.txt"))) == docs.count()
+
+
 def test_log_and_frame_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("silence_start: 1\nsilence_end: 3 | silence_duration: 2\nx\ny", encoding="utf-8")
     (tmp_path / "frame_0003_00001500.jpg").write_bytes(b"x")
