@@ -289,7 +289,7 @@ def qa_checklist(spark, d):
 
 # ---------------------------------------------------------------- retiming
 VIEWS["rt_checked"] = """SELECT c.video_id, c.ord, c.start_sec, e AS end_sec, f AS factor, CASE WHEN e <= c.start_sec THEN 'empty' WHEN f <= 1 THEN 'not slower' WHEN e > m.duration_sec THEN 'outside the video' END AS reason
-    FROM (SELECT *, CASE WHEN ord % 37 = 0 THEN start_sec ELSE start_sec + (end_sec - start_sec) / 4 END AS e, 1 + (ord % 4) * 0.2718281::DOUBLE AS f FROM v_candidates) c JOIN media m USING (video_id)"""
+    FROM (SELECT *, CASE WHEN ord % 37 = 0 THEN start_sec ELSE start_sec + (end_sec - start_sec) / 4 END AS e, 1 + (ord % 4) * 0.2718281828459::DOUBLE AS f FROM v_candidates) c JOIN media m USING (video_id)"""
 VIEWS["rt_merged"] = """SELECT video_id, min(start_sec) AS start_sec, max(end_sec) AS end_sec, max(factor) AS factor FROM (SELECT *, sum(o) OVER (PARTITION BY video_id ORDER BY start_sec, end_sec, ord) AS g FROM (
     SELECT *, CASE WHEN start_sec - max(end_sec) OVER (PARTITION BY video_id ORDER BY start_sec, end_sec, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 0.05::DOUBLE THEN 0 ELSE 1 END AS o
     FROM rt_checked WHERE reason IS NULL)) GROUP BY video_id, g"""
@@ -302,7 +302,7 @@ DEPENDS.update({"rt_checked": ["v_candidates", "media"], "rt_merged": ["rt_check
 
 def retime_checked(spark, d):
     w = v_candidates(spark, d).select("video_id", "ord", "start_sec", F.when(F.col("ord") % 37 == 0, F.col("start_sec")).otherwise(
-        F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) / 4).alias("end_sec"), (F.lit(1.0) + (F.col("ord") % 4) * F.lit(0.2718281)).alias("factor"))
+        F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) / 4).alias("end_sec"), (F.lit(1.0) + (F.col("ord") % 4) * F.lit(0.2718281828459)).alias("factor"))
     return retime.check_windows(w, media(spark, d))
 
 
