@@ -106,7 +106,9 @@ def cutlist(selected: DataFrame) -> DataFrame:
 
 
 def map_to_cutlist(points: DataFrame, windows: DataFrame, t: str = "t_sec") -> DataFrame:
-    """Adds new_sec: the time of a point in the joined video, null where it was cut out."""
+    """Adds new_sec: the time of a point in the joined video, null where it was cut out.
+
+    Kept windows may share up to the touch slack; there the later window counts, so a point has one time only."""
     marks = windows.select(KEY, F.col("start_sec").alias("w_start"), F.col("end_sec").alias("w_end"), "new_start")
     found = asof(points, marks, KEY, t, "w_start", ["w_start", "w_end", "new_start"])
     inside = F.col(t) < F.col("w_end")

@@ -89,7 +89,8 @@ def merge_intervals(spark, d):
 
 
 @gate("cutlist_timeline", oracle("cutlist v_series", f"""
-SELECT s.video_id, s.ord, s.t_sec, {six('c.new_start + (s.t_sec - c.start_sec)')} AS new_sec FROM v_series s LEFT JOIN cutlist c ON c.video_id = s.video_id AND s.t_sec >= c.start_sec AND s.t_sec < c.end_sec"""))
+SELECT s.video_id, s.ord, s.t_sec, CASE WHEN s.t_sec < c.end_sec THEN {six('c.new_start + (s.t_sec - c.start_sec)')} END AS new_sec
+FROM v_series s ASOF LEFT JOIN cutlist c ON c.video_id = s.video_id AND s.t_sec >= c.start_sec"""))
 def cutlist_timeline(spark, d):
     windows = stage(highlights.cutlist(kept(spark, d)))
     return highlights.map_to_cutlist(v_series(spark, d).select("video_id", "ord", "t_sec"), windows).withColumn("new_sec", r6("new_sec"))
