@@ -131,13 +131,17 @@ def key_rows(prints: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- links
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of signed numbers it would count the bits of the magnitude
+
+
 def _groups(fps: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """Groups of two and more fingerprints that are linked among themselves, by breadth-first search over what is left."""
     left = fps
     while len(left) > 1:
         queue, left, members = [left[0]], left[1:], [left[0]]
         while queue and len(left):
-            close = np.bitwise_count(left ^ queue.pop()) <= bits
+            close = _distance(left, queue.pop()) <= bits
             if close.any():
                 found, left = left[close], left[~close]
                 queue.extend(found)
@@ -163,7 +167,7 @@ def _compare(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray,
             break
         close = (keys[step:] == keys[:-step]) & small[step:]
         at = np.nonzero(close)[0]
-        at = at[np.bitwise_count(fps[at] ^ fps[at + step]) <= bits]
+        at = at[_distance(fps[at], fps[at + step]) <= bits]
         a.append(fps[at + step])
         b.append(fps[at])
     for i, n in zip(starts[sizes > 8], sizes[sizes > 8], strict=True):
