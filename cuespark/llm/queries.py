@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, simhash
+from . import bpe, exact_dedup, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,3 +40,15 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query("op5_bpe_speculate")
+def op5_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY), ids=False)
