@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, secrets, simhash
+from . import bpe, exact_dedup, langid, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,3 +52,8 @@ def op5_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY), ids=False)
+
+
+@query("op4_langid_ecoc")
+def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"))

@@ -89,7 +89,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
         start, end = m.span()
         while at < len(base) and base[at][2] <= start:
             at += 1
-        if not any(b[0] < end and b[2] > start for b in base[at:at + 8] if b[0] < end) and is_random(m[0]):
+        if (at == len(base) or base[at][0] >= end) and is_random(m[0]):
             out.append((start, 3, end))
     return out
 
