@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, secrets, simhash
+from . import bpe, exact_dedup, langid, rules, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,3 +57,8 @@ def op5_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_langid_ecoc")
 def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
+@query("op10_rule_lists")
+def op10_rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
