@@ -76,14 +76,17 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, heavy: int
 def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` named by ``kept`` (row_id, row_text), once each; ``rows`` has these two for every row.
 
-    The texts move once, to meet the kept keys; where the table repeats whole (id, text) rows, one of each stays."""
-    d = docs.withColumns({"__id": F.struct(F.col(id_col).alias("x")), "__text": text_key(F.col(text_col))})
-    k = kept.select(F.struct(F.col("row_id").alias("x")).alias("__id"), F.col("row_text").alias("__text"))
-    out = d.join(k, ["__id", "__text"], "left_semi")
-    repeats = rows.groupBy("row_id", "row_text").count().filter("count > 1").limit(1).count()
-    if repeats:
-        out = out.dropDuplicates(["__id", "__text"])
-    return out.drop("__id", "__text")
+    A column ``copies`` of ``kept`` asks for that many of each.  The texts move once, to meet the kept keys; where the
+    table repeats whole (id, text) rows, they count as one."""
+    d = docs.select(F.struct("*").alias("__row"), F.struct(F.col(id_col).alias("x")).alias("__id"), text_key(F.col(text_col)).alias("__text"))
+    k = kept.select(F.struct(F.col("row_id").alias("x")).alias("__id"), F.col("row_text").alias("__text"), *["copies"] * ("copies" in kept.columns))
+    if rows.groupBy("row_id", "row_text").count().filter("count > 1").limit(1).count():
+        d = d.dropDuplicates(["__id", "__text"])
+    if "copies" in kept.columns:
+        d = d.join(k, ["__id", "__text"]).select("__row", F.explode(F.sequence(F.lit(1), "copies")))
+    else:
+        d = d.join(k, ["__id", "__text"], "left_semi")
+    return d.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

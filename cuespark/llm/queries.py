@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, rules, secrets, simhash
+from . import bpe, exact_dedup, langid, mixing, quality, rules, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,3 +62,13 @@ def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rule_lists")
 def op10_rule_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.learn_and_judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op1_quality_bayes")
+def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_temperature_mix")
+def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
