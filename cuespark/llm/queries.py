@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, quality, rules, secrets, simhash
+from . import bpe, exact_dedup, langid, mixing, pages, quality, rules, secrets, simhash, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,3 +72,13 @@ def op1_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_temperature_mix")
 def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_line_templates")
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op6_page_differencing")
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_text(table(spark, sf_dir, "pages"))
