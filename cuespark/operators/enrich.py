@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .responses import payload_of
+from .responses import read_records
 
 Engine = Callable[[str], float]
 
@@ -59,7 +59,7 @@ class PayloadRows:
     """Table function: one row per record found in a response text."""
 
     def eval(self, text: str):
-        records, method, partial = payload_of(text)
+        records, method, partial = read_records(text)
         for i, record in enumerate(records or []):
             yield i, method, partial, json.dumps(record, ensure_ascii=False)
 
