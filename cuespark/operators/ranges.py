@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..session import stage
-from .scan import DEFAULT_SLAB_SEC, SLAB, Axis, RunLast, scan
+from .scan import DEFAULT_SLAB_SEC, SLAB, Axis, RunLast, reduced, scan
 
 BUCKET = "__bucket"
 FOLD_LIMIT = 2000  # rows of one chain up to which a fold in a single task is used
@@ -88,22 +88,22 @@ def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str
     earlier slabs covers it, and then every earlier opener of that slab is covered too.  ``reach_as`` also delivers the
     furthest end before each row."""
     keys = list(axis.keys)
-    w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
+    w = Window.partitionBy(SLAB).orderBy(*axis.order)
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     mark = F.struct(*axis.order, F.col(start).alias("__s"))
     local = axis.cut(df).withColumn("__reach", F.max(end).over(before))
-    local = local.withColumn("__open", F.when(F.col("__reach").isNull() | opens(F.col(start), F.col("__reach")), mark))
-    summary = local.groupBy(*keys, SLAB).agg(F.max(end).alias("__end"), F.max("__open").alias("__last"))
+    local = local.withColumn("__open", F.when(F.col("__reach").isNull() | F.coalesce(opens(F.col(start), F.col("__reach")), F.lit(True)), mark))
+    summary = reduced(local, keys, [F.max(end).alias("__end"), F.max("__open").alias("__last")])
     sw = Window.partitionBy(*keys).orderBy(SLAB).rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.withColumn("__into", F.max("__end").over(sw))
     true_last = F.when(F.col("__into").isNull() | opens(F.col("__last.__s"), F.col("__into")), F.col("__last"))
     carried = carried.withColumn("__true", true_last).select(
-        *keys, SLAB, "__into", F.last("__true", ignorenulls=True).over(sw).alias("__carried"))
+        SLAB, "__into", F.last("__true", ignorenulls=True).over(sw).alias("__carried"))
     rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__open")
     own = F.col("__into").isNull() | opens(F.col("__mine.__s"), F.col("__into"))
     picked = F.when(own, F.col("__mine")).otherwise(F.col("__carried"))
     reach = [F.greatest("__reach", "__into").alias(reach_as)] if reach_as else []
-    return rows.join(carried, [*keys, SLAB]).select(*df.columns, *reach, F.struct(*[picked[o].alias(o) for o in axis.order]).alias(name))
+    return rows.join(carried, SLAB).select(*df.columns, *reach, F.struct(*[picked[o].alias(o) for o in axis.order]).alias(name))
 
 
 def reset_ids(df: DataFrame, axis: Axis, needs: list[str], resets, name: str = "chain", prev_as: dict[str, str] | None = None) -> DataFrame:
@@ -112,27 +112,27 @@ def reset_ids(df: DataFrame, axis: Axis, needs: list[str], resets, name: str = "
 
     ``prev_as`` also delivers columns of the previous row under new names."""
     keys = list(axis.keys)
-    w = Window.partitionBy(*keys, SLAB).orderBy(*axis.order)
+    w = Window.partitionBy(SLAB).orderBy(*axis.order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     order, seen = F.struct(*axis.order), F.struct(*needs)
     local = axis.cut(df).withColumn("__prev", F.lag(seen).over(w))
     cur = F.col
     hit = F.col("__prev").isNull() | F.coalesce(resets(cur, lambda c: F.col("__prev")[c]), F.lit(False))
     local = local.withColumn("__open", F.when(hit, order))
-    summary = local.groupBy(*keys, SLAB).agg(
-        F.min_by(seen, order).alias("__f"), F.max_by(seen, order).alias("__l"), F.min(order).alias("__fo"), F.max("__open").alias("__last"))
+    summary = reduced(local, keys, [
+        F.min_by(seen, order).alias("__f"), F.max_by(seen, order).alias("__l"), F.min(order).alias("__fo"), F.max("__open").alias("__last")])
     sw = Window.partitionBy(*keys).orderBy(SLAB)
     carried = summary.withColumn("__cprev", F.lag("__l").over(sw))
     carried = carried.withColumn("__fhit", F.col("__cprev").isNull() | F.coalesce(
         resets(lambda c: F.col("__f")[c], lambda c: F.col("__cprev")[c]), F.lit(False)))
     carried = carried.withColumn("__true", F.when((F.col("__last") != F.col("__fo")) | F.col("__fhit"), F.col("__last")))
-    carried = carried.select(*keys, SLAB, "__cprev", "__fhit", "__fo", F.last("__true", ignorenulls=True).over(
+    carried = carried.select(SLAB, "__cprev", "__fhit", "__fo", F.last("__true", ignorenulls=True).over(
         sw.rowsBetween(Window.unboundedPreceding, -1)).alias("__carried"))
     rows = local.withColumn("__mine", F.last("__open", ignorenulls=True).over(upto)).drop("__open")
     picked = F.when((F.col("__mine") != F.col("__fo")) | F.col("__fhit"), F.col("__mine")).otherwise(F.col("__carried"))
     before = F.coalesce("__prev", "__cprev")
     extra = [before[c].alias(n) for c, n in (prev_as or {}).items()]
-    return rows.join(carried, [*keys, SLAB]).select(*df.columns, *extra, picked.alias(name))
+    return rows.join(carried, SLAB).select(*df.columns, *extra, picked.alias(name))
 
 
 def merge_ranges(df: DataFrame, key: str | tuple[str, ...], start: str = "start_sec", end: str = "end_sec", gap: float = 0.0,
