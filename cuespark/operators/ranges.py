@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from ..session import stage
 from .scan import DEFAULT_SLAB_SEC, SLAB, Axis, RunLast, reduced, scan
@@ -70,14 +69,11 @@ def asof(points: DataFrame, marks: DataFrame, key: str, t: str, at: str, payload
     return found.withColumnsRenamed({f"prev_{c}": c for c in payload})
 
 
-def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", salts: int = 32) -> DataFrame:
-    """Adds per-key facts (one row per key) to many rows.  Both sides carry a salt, so a hot key is split ``salts`` ways.
-
-    The salt is a hash of row values, so a task that runs again gives the same rows; a few numbers of a row are enough."""
-    numbers = [f.name for f in rows.schema if isinstance(f.dataType, NumericType) and f.name != key][:4]
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*(numbers or rows.columns)), F.lit(salts)).cast("int"))
-    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+def attach(rows: DataFrame, facts: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Adds per-key facts (one row per key) to many rows.  Both sides are dealt by the key for this join alone, so that
+    adaptive execution can split a hot key, or broadcast the facts where they turn out small.  A null key matches itself."""
+    found = facts.withColumnRenamed(key, "__key")
+    return rows.join(found, F.col(key).eqNullSafe(F.col("__key")), how).drop("__key")
 
 
 def chain_ids(df: DataFrame, axis: Axis, start: str, end: str, opens, name: str = "chain", reach_as: str | None = None) -> DataFrame:

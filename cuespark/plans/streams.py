@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import r6
 from ..operators import ledger
+from ..sources import logs
 from ..streaming import jobs
-from ..streaming.runner import drain, drain_batches, read_table_stream
+from ..streaming.runner import drain, drain_batches, drain_keyed, read_table_stream
 from .carriers import DEPENDS, VIEWS, oracle, table, v_series
 from .ingest import log_lines
 from .narration import six
@@ -15,7 +16,7 @@ from .production import CHUNKED
 from .registry import gate
 
 HOURS = "(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) / 3600000D"
-STABLE_SEC, TIMEOUT_SEC, DELAY_SEC = 12.0, 150.0, 10.0
+STABLE_SEC, TIMEOUT_SEC = 12.0, 150.0
 
 
 def series_stream(spark, d):
@@ -32,7 +33,7 @@ SELECT video_id, ord AS line_no, greatest(opened, 0::DOUBLE) AS start_sec, t_sec
 FROM (SELECT *, lag(CASE WHEN ord % 4 = 0 THEN t_sec - 2 END) OVER (PARTITION BY video_id ORDER BY ord) AS opened
       FROM v_series WHERE ord % 4 IN (0, 1)) WHERE ord % 4 = 1 AND opened IS NOT NULL"""))
 def silence_stream(spark, d):
-    return drain(jobs.silence_stream(log_lines(series_stream(spark, d))), "silences")
+    return drain_keyed(log_lines(series_stream(spark, d)), "silences", "video_id", lambda lines: logs.silences_from_log(lines, "video_id"))
 
 
 def snapshots(s):
@@ -59,19 +60,21 @@ VIEWS["snap_steps"] = """SELECT request_id, 0::BIGINT AS rn, 0 AS phase, t_sec A
            WHEN r.t_sec - p.start >= 150 THEN 'timed_out' WHEN r.text <> p.cur OR r.generating THEN '' WHEN r.text <> '' AND r.t_sec - p.stable >= 12 THEN 'settled' WHEN r.banner AND r.text = '' THEN 'banner' ELSE '' END
     FROM snap_steps p JOIN snap_rows r ON r.request_id = p.request_id AND r.rn = p.rn + 1 WHERE p.phase < 2"""
 SETTLED_SQL = """SELECT request_id, outcome, last_t AS at_sec, last_text AS text FROM snap_steps WHERE phase = 2
-UNION ALL SELECT request_id, 'timed_out', last_t, last_text FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rn DESC) AS r, max(phase) OVER (PARTITION BY request_id) AS top FROM snap_steps)
-    WHERE r = 1 AND top < 2 AND start + 150 <= (SELECT floor(max(t_sec) * 1000) / 1000 - 10 FROM snaps)"""
+UNION ALL SELECT request_id, CASE WHEN start + 150 <= (SELECT max(t_sec) FROM snaps) THEN 'timed_out' ELSE 'open' END, last_t, last_text
+    FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rn DESC) AS r, max(phase) OVER (PARTITION BY request_id) AS top FROM snap_steps) WHERE r = 1 AND top < 2"""
 DEPENDS.update({"snaps": ["v_series"], "snap_rows": ["snaps"], "snap_steps": ["snap_rows"]})
 
 
 @gate("response_settle", oracle("snap_steps snaps", SETTLED_SQL))
 def response_settle(spark, d):
-    return drain(jobs.settle_stream(snapshots(series_stream(spark, d)), STABLE_SEC, TIMEOUT_SEC, "10 seconds"), "settled")
+    """Judged at the time of the newest snapshot that the stream will bring."""
+    now = v_series(spark, d).agg(F.max("t_sec")).first()[0]
+    return drain_keyed(snapshots(series_stream(spark, d)), "settled", "request_id", lambda s: jobs.settle(s, STABLE_SEC, TIMEOUT_SEC, now))
 
 
 @gate("response_settle_batch", oracle("snap_steps snaps", SETTLED_SQL))
 def response_settle_batch(spark, d):
-    return jobs.settle_batch(snapshots(v_series(spark, d)), STABLE_SEC, TIMEOUT_SEC, DELAY_SEC)
+    return jobs.settle(snapshots(v_series(spark, d)), STABLE_SEC, TIMEOUT_SEC)
 
 
 def job_events(s):
@@ -94,13 +97,12 @@ DEPENDS.update({"job_rows": ["v_series"], "job_steps": ["job_rows"]})
 
 @gate("job_state_stream", oracle("job_steps", JOBS_SQL))
 def job_state_stream(spark, d):
-    updates = drain_batches(jobs.job_state_stream(job_events(series_stream(spark, d))), "jobs", mode="update")
-    return jobs.latest_job_states(updates)
+    return drain_keyed(job_events(series_stream(spark, d)), "jobs", "job_id", jobs.job_states)
 
 
 @gate("job_state_batch", oracle("job_steps", JOBS_SQL))
 def job_state_batch(spark, d):
-    return jobs.job_state_batch(job_events(v_series(spark, d)))
+    return jobs.job_states(job_events(v_series(spark, d)))
 
 
 @gate("progress_eta", oracle("v_series", f"""
@@ -153,8 +155,7 @@ def activity_sessions(spark, d):
     return session_columns(jobs.activity_sessions(table(spark, d, "events")))
 
 
-@gate("activity_sessions_stream", f"""SELECT {SESSION_COLUMNS} FROM ({SESSION_SQL}) WHERE epoch_us(session_end) <= (SELECT epoch_ms(max(ts)) * 1000 - 600000000 FROM events)""")
+@gate("activity_sessions_stream", f"SELECT {SESSION_COLUMNS} FROM ({SESSION_SQL})")
 def activity_sessions_stream(spark, d):
     table(spark, d, "events")
-    closed = drain(jobs.activity_sessions(read_table_stream(spark, f"{d}/events.parquet"), delay="10 minutes"), "sessions")
-    return session_columns(closed)
+    return session_columns(drain_keyed(read_table_stream(spark, f"{d}/events.parquet"), "sessions", "user_id", jobs.activity_sessions))

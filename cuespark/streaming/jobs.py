@@ -1,102 +1,39 @@
-"""Stateful stream jobs, each with a batch twin that defines the result."""
+"""Stream jobs.  Each is a function over all rows of the keys it is given; ``runner.drain_keyed`` applies it, for every
+micro-batch, to the keys that the batch touches.  So a result depends on what has arrived, not on how it was cut into
+batches or in which order."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.ranges import attach
+from ..operators.ranges import attach, reset_ids
+from ..operators.responses import is_blank
 from ..operators.scan import Axis, Lag, RowNumber, RunLast, Total, scan
 from ..session import stage
-from ..sources.logs import silence_markers
-
-
-def _ordered(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """Rows of one key in one micro-batch; admission control bounds them."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
-
-
-# ---------------------------------------------------------------- silences from a log
-def silence_stream(lines: DataFrame) -> DataFrame:
-    """Silences from a stream of log lines (video_id, line_no, line); the state of a log is its pending start."""
-    marks = silence_markers(lines).select("video_id", "line_no", "start_at", "end_at")
 
-    def step(key, batches, state: GroupState):
-        pending = state.get[0] if state.exists else None
-        out = []
-        for row in _ordered(batches, ["line_no"]).itertuples(index=False):
-            if not pd.isna(row.start_at):
-                pending = float(row.start_at)
-                continue
-            if pending is not None:
-                out.append((key[0], row.line_no, max(pending, 0.0), row.end_at))
-            pending = None
-        state.update((pending,))
-        yield pd.DataFrame(out, columns=["video_id", "line_no", "start_sec", "end_sec"])
 
-    return marks.groupBy("video_id").applyInPandasWithState(
-        step, "video_id long, line_no long, start_sec double, end_sec double", "pending double", "append", GroupStateTimeout.NoTimeout)
+# ---------------------------------------------------------------- rows that came late
+def late_rows(log: DataFrame, t: str, delay_sec: float) -> DataFrame:
+    """For each micro-batch of a stream's log how many rows were older than the newest row before it by more than the
+    delay.  They count in the results all the same."""
+    newest = log.groupBy("batch_id").agg(F.max(t).alias("newest"))  # a row for each batch
+    before = newest.select("batch_id", F.max("newest").over(Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    late = log.join(before, "batch_id").filter(F.col(t) < F.col("before") - delay_sec)
+    return before.select("batch_id").join(late.groupBy("batch_id").agg(F.count("*").alias("late")), "batch_id", "left").select(
+        "batch_id", F.coalesce("late", F.lit(0)).alias("late"))
 
 
 # ---------------------------------------------------------------- when a response is final
-SETTLED = "request_id long, outcome string, at_sec double, text string"
-
-
 def _limits(timeout: float) -> tuple[float, float]:
     return min(60.0, timeout), timeout
 
 
-def settle_stream(snapshots: DataFrame, stable_sec: float, timeout: float, delay: str = "10 seconds") -> DataFrame:
-    """First final snapshot per request (``snapshots``: request_id, ord, t_sec, ts, text, count, generating, banner).
+def settle(snapshots: DataFrame, stable_sec: float, timeout: float, now_sec: float | None = None) -> DataFrame:
+    """First final snapshot per request (``snapshots``: request_id, ord, t_sec, text, count, generating, banner).
 
-    Snapshots later than the watermark are dropped.  A request that goes quiet is closed once the watermark passes its
-    total time."""
-    appear_limit, total_limit = _limits(timeout)
-    state_type = "done boolean, start double, appeared double, text string, stable double, last double, seen string"
-
-    def step(key, batches, state: GroupState):
-        request = key[0]
-        if state.hasTimedOut:
-            done, _, _, _, _, last, seen = state.get
-            state.remove()
-            yield pd.DataFrame([] if done else [(request, "timed_out", last, seen)], columns=["request_id", "outcome", "at_sec", "text"])
-            return
-        done, start, appeared, text, stable, last, seen = state.get if state.exists else (False, None, None, "", None, None, "")
-        out = []
-        for s in _ordered(batches, ["t_sec", "ord"]).itertuples(index=False):
-            if done:
-                break
-            start = s.t_sec if start is None else start
-            if appeared is None:
-                if s.count > 0:
-                    appeared = stable = s.t_sec
-                elif s.banner or s.t_sec - start > appear_limit:
-                    out, done = [(request, "banner" if s.banner else "timed_out", s.t_sec, s.text)], True
-            elif s.t_sec - start >= total_limit:
-                out, done = [(request, "timed_out", last, seen)], True
-                break
-            elif s.text != text or s.generating:
-                text, stable = s.text, s.t_sec
-            elif s.text.strip() and s.t_sec - stable >= stable_sec:
-                out, done = [(request, "settled", s.t_sec, s.text)], True
-            elif s.banner and not s.text.strip():
-                out, done = [(request, "banner", s.t_sec, s.text)], True
-            last, seen = s.t_sec, s.text
-        state.update((done, start, appeared, text, stable, last, seen))
-        if not done:
-            state.setTimeoutTimestamp(max(int((start + total_limit) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["request_id", "outcome", "at_sec", "text"])
-
-    marked = snapshots.withWatermark("ts", delay)
-    return marked.groupBy("request_id").applyInPandasWithState(step, SETTLED, state_type, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def settle_batch(snapshots: DataFrame, stable_sec: float, timeout: float, delay_sec: float) -> DataFrame:
-    """The same by windows over the whole table."""
+    A request without one that has had its total time at ``now_sec`` (the newest snapshot of all unless given) has timed
+    out, any other is still ``open``; both report the last snapshot within the time."""
     appear_limit, total_limit = _limits(timeout)
     first = snapshots.groupBy("request_id").agg(F.min("t_sec").alias("start"), F.min(F.when(F.col("count") > 0, F.struct("t_sec", "ord"))).alias("shown"))
     s = attach(snapshots, first, "request_id", "inner")
@@ -110,70 +47,32 @@ def settle_batch(snapshots: DataFrame, stable_sec: float, timeout: float, delay_
     changed = (F.col("text") != F.coalesce("__before", F.lit(""))) | F.col("generating")
     timed = scan(lagged, axis, RunLast("__since", F.when(changed, F.col("t_sec"))))
     stable = F.coalesce(F.col("__since"), F.col("shown.t_sec"))
-    blank = F.trim("text") == ""
+    blank = is_blank(F.col("text"))
     state = (F.when(waited >= total_limit, "timed_out").when(changed, None)
              .when(~blank & (F.col("t_sec") - stable >= stable_sec), "settled").when(F.col("banner") & blank, "banner"))
     marked = timed.withColumn("state", state)
     stops = marked.filter(F.col("state").isNotNull()).groupBy("request_id").agg(F.min(F.struct("t_sec", "ord", F.col("state").alias("outcome"), "text")).alias("e"))
     # the snapshot a total timeout reports is the last one within the time
     within = s.filter(waited < total_limit).groupBy("request_id").agg(F.max(F.struct("t_sec", "ord", "text")).alias("w"))
-    watermark = snapshots.agg(F.floor(F.max("t_sec") * 1000) / 1000 - delay_sec).scalar()
-    r = first.join(ended, "request_id", "left").join(stops.withColumnRenamed("e", "e2"), "request_id", "left").join(within, "request_id")
+    now = F.lit(now_sec) if now_sec is not None else snapshots.agg(F.max("t_sec")).scalar()
+    r = attach(attach(attach(first, ended, "request_id"), stops.withColumnRenamed("e", "e2"), "request_id"), within, "request_id", "inner")
     e = F.coalesce("e", "e2")
     late = F.col("e").isNull() & (F.col("e2").isNull() | (F.col("e2.outcome") == "timed_out"))
-    open_ = F.col("e").isNull() & F.col("e2").isNull() & (F.col("start") + total_limit > watermark)
-    return r.filter(~open_).select(
-        "request_id", F.when(late, "timed_out").otherwise(e["outcome"]).alias("outcome"),
+    open_ = e.isNull() & (F.col("start") + total_limit > now)
+    return r.select(
+        "request_id", F.when(open_, "open").when(late, "timed_out").otherwise(e["outcome"]).alias("outcome"),
         F.when(late, F.col("w.t_sec")).otherwise(e["t_sec"]).alias("at_sec"), F.when(late, F.col("w.text")).otherwise(e["text"]).alias("text"))
 
 
 # ---------------------------------------------------------------- job states
-JOB = "job_id long, state string, step int, cancel_requested boolean, started_sec double, finished_sec double, rejected long, events long"
 RUNNING = "running"
 
 
-def job_state_stream(events: DataFrame) -> DataFrame:
-    """Latest state per job after each batch (``events``: job_id, t_sec, ord, event, step), in update mode.
-
-    A start while running is counted and ignored; an end after a cancel request is a cancellation; a finished job can
-    be cleared (state none)."""
-    def apply(job: list, e) -> None:
-        state, running = job[0], job[0] == RUNNING
-        job[6] += 1
-        if e.event == "start":
-            if running:
-                job[5] += 1
-            else:
-                job[:5] = [RUNNING, None, False, e.t_sec, None]
-        elif running and e.event == "step":
-            job[1] = int(e.step)
-        elif running and e.event == "cancel":
-            job[2] = True
-        elif running and e.event in ("done", "error"):
-            job[0], job[4] = ("cancelled" if job[2] else e.event), e.t_sec
-        elif e.event == "clear" and state != "none" and not running:
-            job[:5] = ["none", None, False, None, None]
-
-    def step(key, batches, state: GroupState):
-        job = list(state.get) if state.exists else ["none", None, False, None, None, 0, 0]
-        for e in _ordered(batches, ["t_sec", "ord"]).itertuples(index=False):
-            apply(job, e)
-        state.update(tuple(job))
-        yield pd.DataFrame([(key[0], *job)], columns=[f.split()[0] for f in JOB.split(", ")]).astype({"step": "Int64"})
-
-    state_type = "state string, step int, cancel_requested boolean, started_sec double, finished_sec double, rejected long, events long"
-    return events.groupBy("job_id").applyInPandasWithState(step, JOB, state_type, "update", GroupStateTimeout.NoTimeout)
-
-
-def latest_job_states(updates: DataFrame) -> DataFrame:
-    """Newest update per job."""
-    fields = [f.split()[0] for f in JOB.split(", ")][1:]
-    newest = updates.groupBy("job_id").agg(F.max_by(F.struct(*fields), "events").alias("j"))
-    return newest.select("job_id", "j.*")
-
-
-def job_state_batch(events: DataFrame) -> DataFrame:
-    """The same from the whole table.  Between starts and ends only the latest of the two decides whether a job runs."""
+def job_states(events: DataFrame) -> DataFrame:
+    """Latest state per job (``events``: job_id, t_sec, ord, event, step).
+
+    A start while running is counted and ignored; an end after a cancel request is a cancellation; a finished job can be
+    cleared (state none).  Between starts and ends only the latest of the two decides whether a job runs."""
     is_end = F.col("event").isin("done", "error")
     axis = Axis.time("job_id", ("t_sec", "ord"), 60.0)
     turns = scan(events.filter((F.col("event") == "start") | is_end), axis, Lag("before", "event"))
@@ -181,7 +80,7 @@ def job_state_batch(events: DataFrame) -> DataFrame:
     accepted = begins & ~F.col("before").eqNullSafe("start")
     jobs = turns.groupBy("job_id").agg(F.max(F.when(accepted, F.struct("t_sec", "ord"))).alias("a"), F.count_if(begins & ~accepted).alias("rejected"))
     everyone = events.groupBy("job_id").agg(F.count("*").alias("events"))
-    facts = stage(everyone.join(jobs, "job_id", "left"))
+    facts = stage(attach(everyone, jobs, "job_id"))
     mine = stage(attach(events, facts.select("job_id", "a"), "job_id", "inner").filter(F.struct("t_sec", "ord") > F.col("a")))
     ends = mine.groupBy("job_id").agg(F.min(F.when(is_end, F.struct("t_sec", "ord", "event"))).alias("f"))
     seen = attach(mine, ends, "job_id", "inner")
@@ -190,7 +89,7 @@ def job_state_batch(events: DataFrame) -> DataFrame:
     found = seen.groupBy("job_id").agg(
         F.any_value("f").alias("f"), F.bool_or(live & (F.col("event") == "cancel")).alias("cancelled"),
         F.max_by("step", F.when(live & (F.col("event") == "step"), at)).alias("step"), F.bool_or(over & (F.col("event") == "clear")).alias("cleared"))
-    j = facts.join(found, "job_id", "left")
+    j = attach(facts, found, "job_id")
     gone = F.col("a").isNull() | F.coalesce("cleared", F.lit(False))
     flag = ~gone & F.coalesce("cancelled", F.lit(False))
     state = F.when(gone, "none").when(F.col("f").isNull(), RUNNING).when(flag, "cancelled").otherwise(F.col("f.event"))
@@ -215,10 +114,11 @@ def percent_done(out_sec: Column, duration_sec: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), out_sec / duration_sec * 100.0))
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes", key: str = "user_id", delay: str | None = None) -> DataFrame:
-    """Sessions per key; a pause of ``gap`` closes one.  With ``delay`` (streams) a session is emitted once the watermark
-    has passed its end, so sessions newer than the watermark are still withheld."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    e = e.withWatermark("ts", delay) if delay else e
-    s = e.groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.sum("value").alias("value"))
-    return s.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events", "value")
+def activity_sessions(events: DataFrame, gap_sec: float = 1800.0, key: str = "user_id") -> DataFrame:
+    """Sessions per key; a pause of ``gap_sec`` closes one.  By an ordered scan, so that no key meets in one task."""
+    e = events.select(key, F.unix_micros(F.col("ts").cast("timestamp")).alias("__us"), "value")
+    gap = F.lit(int(gap_sec * 1_000_000))
+    axis = Axis((key,), ("__us",), F.floor(F.col("__us") / F.lit(3_600_000_000)).cast("long"))
+    chained = reset_ids(e, axis, ["__us"], lambda cur, prev: cur("__us") - prev("__us") >= gap, "__session")
+    s = chained.groupBy(key, "__session").agg(F.min("__us").alias("a"), F.max("__us").alias("b"), F.count("*").alias("events"), F.sum("value").alias("value"))
+    return s.select(key, F.timestamp_micros("a").alias("session_start"), F.timestamp_micros(F.col("b") + gap).alias("session_end"), "events", "value")

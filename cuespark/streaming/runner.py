@@ -1,4 +1,5 @@
-"""Running bounded streaming jobs: file input with admission control, a sink in the shared folder, a read-back."""
+"""Running streaming jobs to the end of their input: file input with admission control, a sink in the shared folder, a
+read-back.  Admission control bounds the size of a micro-batch; no result depends on it."""
 
 from __future__ import annotations
 
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 MAX_BYTES_PER_TRIGGER = 256 * 1024 * 1024
-MAX_WAIT_SEC = 3600
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -30,9 +30,7 @@ def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _finish(query) -> None:
-    if not query.awaitTermination(MAX_WAIT_SEC):
-        query.stop()
-        raise TimeoutError("the stream did not finish in time")
+    query.awaitTermination()
     failure = query.exception()
     if failure is not None:
         raise failure
@@ -60,3 +58,30 @@ def drain_batches(stream: DataFrame, name: str, folder: str | None = None, mode:
     writer = stream.writeStream.outputMode(mode).foreachBatch(write)
     _finish(writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out").withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def drain_keyed(stream: DataFrame, name: str, key: str, compute: Callable[[DataFrame], DataFrame], folder: str | None = None) -> DataFrame:
+    """Keeps ``compute``'s result for each key up to date with the stream, and returns the table at its end.
+
+    Every micro-batch is added to a log, and the result of the keys it touches is computed anew from all their rows.  The
+    state of the job is that log: a table, not memory, and a repeated batch replaces its own part of it and of the
+    results.  ``compute`` gets whole keys (null is one) and must return the key with every row."""
+    spark = stream.sparkSession
+    folder = folder or work_folder(spark, name)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
+        log = log_of(spark, folder).filter(F.col("batch_id") <= batch_id)
+        touched = log.filter(F.col("batch_id") == batch_id).select(F.col(key).alias("__key")).distinct()
+        whole = log.drop("batch_id").join(touched, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+        compute(whole).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    writer = stream.writeStream.outputMode("append").foreachBatch(write)
+    _finish(writer.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    newest = log_of(spark, folder).groupBy(F.col(key).alias("__key")).agg(F.max("batch_id").alias("__newest"))
+    out = spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    return out.join(newest, F.col(key).eqNullSafe(F.col("__key")) & (F.col("batch_id") == F.col("__newest")), "left_semi").drop("batch_id")
+
+
+def log_of(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that ``drain_keyed`` has read, with their batch_id."""
+    return spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log").withColumn("batch_id", F.col("batch_id").cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cuespark.operators import enrich, ledger, segments, subtitles
 from cuespark.plans.carriers import v_segments
 from cuespark.sources import logs, scripts
 from cuespark.streaming import jobs
-from cuespark.streaming.runner import drain, drain_batches
+from cuespark.streaming.runner import drain_batches, drain_keyed, log_of
 
 
 def test_script_files_round_trip(spark, sf_dir, tmp_path):
@@ -71,7 +73,9 @@ def test_stream_keeps_state_over_restarts(spark, tmp_path):
             (src / f"{name}-{f.name}").write_bytes(f.read_bytes())
 
     def run():
-        return drain(jobs.silence_stream(spark.readStream.schema(schema).parquet(str(src))), "silences", work).collect()
+        lines = spark.readStream.schema(schema).parquet(str(src))
+        return drain_keyed(lines, "silences", "video_id", lambda x: logs.silences_from_log(x, "video_id"), work).collect()
+
     add("one", [(1, 0, "silence_start: 2.5"), (2, 0, "silence_end: 1 | silence_duration: 1")])
     assert run() == []
     add("two", [(1, 1, "silence_end: 4 | silence_duration: 1.5"), (2, 1, "silence_start: 3")])
@@ -79,6 +83,39 @@ def test_stream_keeps_state_over_restarts(spark, tmp_path):
     assert len(run()) == 1
 
 
+@pytest.mark.parametrize("n_files", [1, 2, 7])
+def test_streams_do_not_depend_on_batches(spark, tmp_path, n_files):
+    """The same events in any number of files, in any order, one file to a micro-batch, give what the whole table gives."""
+    rng = random.Random(n_files)
+    kinds = ["start", "done", "error", "cancel", "clear", "step", "step"]
+    events = [(rng.choice([None, 1, 2, 3]), float(rng.randint(0, 60)), i, rng.choice(kinds), i) for i in range(140)]
+    schema = "job_id long, t_sec double, ord long, event string, step int"
+    for i in range(n_files):
+        part = events[i::n_files] if i % 2 else sorted(events[i::n_files], key=lambda e: -e[1])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    work = str(tmp_path / "work")
+    got = drain_keyed(stream, "jobs", "job_id", jobs.job_states, work)
+    want = jobs.job_states(spark.createDataFrame(events, schema))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    log = log_of(spark, work)
+    assert log.count() == 140 and log.select("batch_id").distinct().count() == n_files
+    late = {r.batch_id: r.late for r in jobs.late_rows(log, "t_sec", 10.0).collect()}
+    newest, expected = None, {}
+    for b in sorted(late):
+        times = [r.t_sec for r in log.filter(F.col("batch_id") == b).collect()]
+        expected[b] = 0 if newest is None else sum(t < newest - 10.0 for t in times)
+        newest = max([*times, *([newest] if newest is not None else [])])
+    assert late == expected and (n_files == 1 or sum(late.values()) > 0)
+
+
+def test_sessions_of_a_hot_and_a_null_user(spark):
+    rows = [(1, 1000 * i, 1.0) for i in range(500)] + [(None, 0, 2.0), (None, 1_799, 1.0), (None, 3_599, 1.0), (1, 2_000_000, 5.0)]
+    events = spark.createDataFrame(rows, "user_id long, s long, value double").selectExpr("user_id", "timestamp_seconds(s) AS ts", "value")
+    got = sorted((r.user_id or 0, r.events, r.value) for r in jobs.activity_sessions(events).collect())
+    assert got == [(0, 1, 1.0), (0, 2, 3.0), (1, 1, 5.0), (1, 500, 500.0)]
+
+
 def test_batches_are_written_once(spark, tmp_path):
     src, work = str(tmp_path / "src"), str(tmp_path / "work")
     spark.range(10).write.parquet(src)
