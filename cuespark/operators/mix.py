@@ -12,6 +12,7 @@ from .scan import Axis, RunSum, scan
 
 KEY = "video_id"
 INT16_FULL = 32768.0
+BLOCK = 1 << 16  # samples of a track that are made together
 
 
 def duck_ranges(voice: DataFrame, planned: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -46,14 +47,14 @@ def duck_envelope(samples: DataFrame, ranges: DataFrame, params: MixParams = Mix
 def duck_mix(bgm: DataFrame, voice: DataFrame, lengths: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """Mixed samples per (video, sample_no): ``bgm`` has amplitude and gain, ``voice`` amplitude, ``lengths`` n samples.
 
-    A quiet background is left out; a mix over the limit is scaled as a whole."""
+    A quiet background is left out; a mix over the limit is scaled as a whole.  The track is cut or filled with silence to
+    exactly n samples."""
     loud = bgm.groupBy(KEY).agg(F.sqrt(F.avg(F.col("amplitude") * F.col("amplitude"))).alias("rms"))
     audible = loud.select(KEY, (F.lit(20.0) * F.log10(F.col("rms") / INT16_FULL) >= params.silent_dbfs).alias("audible"))
     b = bgm.select(KEY, "sample_no", (F.col("amplitude") * F.col("gain")).alias("b"))
     v = voice.select(KEY, "sample_no", (F.col("amplitude") * F.lit(10.0 ** (params.voice_gain_db / 20.0))).alias("v"))
     both = b.join(v, [KEY, "sample_no"], "full")
-    facts = lengths.join(audible, KEY, "left")
-    known = attach(both, facts, KEY, "inner").filter(F.col("sample_no") < F.col("n"))
+    known = attach(_grid(lengths).join(both, [KEY, "sample_no"], "left"), audible, KEY)
     raw = F.when(F.coalesce("audible", F.lit(False)), F.coalesce("b", F.lit(0.0))).otherwise(0.0) + F.coalesce("v", F.lit(0.0))
     mixed = stage(known.select(KEY, "sample_no", raw.alias("mix")))
     limit = params.full_scale * params.limit_share
@@ -62,6 +63,13 @@ def duck_mix(bgm: DataFrame, voice: DataFrame, lengths: DataFrame, params: MixPa
     return attach(mixed, peaks, KEY, "inner").select(KEY, "sample_no", scaled.alias("mix"))
 
 
+def _grid(lengths: DataFrame) -> DataFrame:
+    """Sample numbers 0 .. n - 1 of every track, dealt out by blocks, so that a long track is made by many tasks."""
+    blocks = lengths.filter("n > 0").select(KEY, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK).cast("long"))).alias("__block"))
+    first = F.col("__block") * BLOCK
+    return blocks.repartition(KEY, "__block").select(KEY, F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n").cast("long")) - 1)).alias("sample_no"))
+
+
 def overlay(clips: DataFrame, chunks: DataFrame, rate_ms: int) -> DataFrame:
     """Sum of the clips on a silent grid per chunk (``clips``: video_id, chunk_index, placed_start_ms, placed_end_ms, amplitude;
     ``chunks``: video_id, chunk_index, total_ms).  A clip sounds at the grid points in [start, end)."""

@@ -40,13 +40,16 @@ def rendered_documents(spark, d):
 
 
 @gate("script_scan", oracle("v_segments", f"""
-SELECT video_id, CAST((id - 1) % 50 AS INTEGER) AS pos, CASE WHEN id % 4 = 0 THEN 0 ELSE id END AS id, start_sec, end_sec,
-    {clean_sql('text')} AS text, {tone_sql('tone')} AS tone, {certainty_sql('certainty')} AS certainty
-FROM v_segments WHERE video_id % 5 <> 4 AND id % 5 <> 0 AND id % 3 <> 0 AND {clean_sql('text')} <> ''"""))
+SELECT video_id, pos, CASE WHEN id % 4 = 0 THEN 0 ELSE id END AS id, CASE WHEN id % 5 <> 0 THEN start_sec END AS start_sec,
+    CASE WHEN id % 3 = 0 THEN start_sec - 1 ELSE end_sec END AS end_sec, {clean_sql('text')} AS text, {tone_sql('tone')} AS tone, {certainty_sql('certainty')} AS certainty,
+    CASE WHEN id % 5 = 0 OR (id % 3 = 0 AND start_sec < 1) THEN 'bad time' WHEN {clean_sql('text')} = '' THEN 'empty text' WHEN id % 3 = 0 THEN 'end before start' END AS reason
+FROM (SELECT *, CAST((id - 1) % 50 AS INTEGER) AS pos FROM v_segments WHERE video_id % 5 <> 4)
+UNION ALL SELECT DISTINCT video_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no array of rows' FROM (SELECT DISTINCT video_id, (id - 1) // 50 AS part FROM v_segments WHERE video_id % 5 = 4)"""))
 def script_scan(spark, d):
-    rows, _ = scripts.script_rows(rendered_documents(spark, d))
-    good, _ = media.split_reason(coerce_segments(rows))
-    return good.select("video_id", "pos", F.col("id").cast("long").alias("id"), "start_sec", "end_sec", "text", "tone", "certainty")
+    """Every row of every document with its reason, null if it is accepted, and a row for each document without rows."""
+    rows, documents = scripts.script_rows(rendered_documents(spark, d))
+    columns = ("video_id", "pos", F.col("id").cast("long").alias("id"), "start_sec", "end_sec", "text", "tone", "certainty", "reason")
+    return coerce_segments(rows).select(*columns).unionByName(documents.select("video_id", "reason"), allowMissingColumns=True)
 
 
 def log_lines(series):
@@ -89,17 +92,17 @@ def script_sink(spark, d):
 
 @gate("log_tail", oracle("v_lines", """
 SELECT source, line_no, line FROM (SELECT doc_id AS source, line_no, line,
-    row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS r FROM v_lines WHERE length(line) >= 60) WHERE r <= 5
-UNION ALL SELECT doc_id, 0, '(no log lines)' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v_lines WHERE length(line) >= 60)"""))
+    row_number() OVER (PARTITION BY doc_id ORDER BY line_no DESC) AS r FROM v_lines) WHERE r <= 5
+UNION ALL SELECT doc_id, 0, '(no log lines)' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM v_lines)"""))
 def log_tail(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("source"))
-    lines = v_lines(spark, d).withColumnRenamed("doc_id", "source").filter(F.length("line") >= 60)
+    lines = v_lines(spark, d).withColumnRenamed("doc_id", "source")
     return logs.log_tail(docs, lines, 5)
 
 
-URLS = """CASE page_id % 7 WHEN 0 THEN ' https://www.youtube.com/watch?v=ab_' || page_id WHEN 1 THEN 'https://youtu.be/cd-' || page_id || '?t=3 '
-    WHEN 2 THEN 'HTTP://YouTube.com/shorts/' || page_id WHEN 3 THEN 'youtube.com/watch?v=x' WHEN 4 THEN '  '
-    WHEN 5 THEN 'https://www.youtube.com/watch?list=1' ELSE url END"""
+URLS = """CASE page_id % 7 WHEN 0 THEN ' https://www.youtube.com/watch?v=ab_' || page_id || '&from=' || url WHEN 1 THEN 'https://youtu.be/cd-' || page_id || '?from=' || url || ' '
+    WHEN 2 THEN 'HTTP://YouTube.com/shorts/' || page_id || '?from=' || url WHEN 3 THEN 'youtube.com/watch?v=x&from=' || url WHEN 4 THEN '  '
+    WHEN 5 THEN 'https://www.youtube.com/watch?list=' || url ELSE url END"""
 
 
 @gate("video_url_filter", f"""

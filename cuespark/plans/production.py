@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import r6
 from ..operators import ledger, mix, signal, subtitles
+from ..operators.scan import Axis, RowNumber, scan
 from ..params import MixParams
 from ..session import stage
 from .carriers import DEPENDS, VIEWS, WS_SQL, oracle, table, v_candidates, v_frames, v_ledger, v_segments, v_series, v_words
@@ -49,14 +50,16 @@ def duck_envelope(spark, d):
 @gate("duck_mix", oracle("gains", f"""
 SELECT video_id, sample_no, {six('CASE WHEN peak > 32767 * 0.97::DOUBLE THEN mix * (32767 * 0.97::DOUBLE / peak) ELSE mix END')} AS mix FROM (
   SELECT *, max(abs(mix)) OVER (PARTITION BY video_id) AS peak FROM (
-    SELECT video_id, ord AS sample_no, CASE WHEN 20 * log10(sqrt(avg(a * a) OVER (PARTITION BY video_id)) / 32768) >= -65 THEN a * gain ELSE 0 END
-      + CASE WHEN level >= 50 THEN level * 75 * 1.4125375446227544::DOUBLE ELSE 0 END AS mix, n
-    FROM (SELECT *, CASE WHEN video_id % 10 = 0 THEN level / 1000 ELSE level * 100 END AS a, max(ord) OVER (PARTITION BY video_id) AS n FROM gains)) WHERE sample_no < n)"""))
+    SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY ord) - 1 AS sample_no, CASE WHEN 20 * log10(sqrt(avg(a * a) OVER (PARTITION BY video_id)) / 32768) >= -65 THEN a * gain ELSE 0 END
+      + CASE WHEN level >= 50 THEN level * 75 * 1.4125375446227544::DOUBLE ELSE 0 END AS mix
+    FROM (SELECT *, CASE WHEN video_id % 10 = 0 THEN level / 1000 ELSE level * 100 END AS a FROM gains)))
+UNION ALL SELECT video_id, n + unnest([0, 1]), 0 FROM (SELECT video_id, count(*) AS n FROM gains GROUP BY video_id)"""))
 def duck_mix(spark, d):
-    g = stage(gains(spark, d))
-    bgm = g.select("video_id", F.col("ord").alias("sample_no"), F.when(F.col("video_id") % 10 == 0, F.col("level") / 1000).otherwise(F.col("level") * 100).alias("amplitude"), "gain")
-    voice = v_series(spark, d).filter(F.col("level") >= 50).select("video_id", F.col("ord").alias("sample_no"), (F.col("level") * 75).alias("amplitude"))
-    lengths = g.groupBy("video_id").agg(F.max("ord").alias("n"))  # the last sample lies beyond the end
+    """The samples of a video in their order, and two more that neither track has."""
+    g = stage(scan(gains(spark, d), Axis(("video_id",), ("ord",), F.floor(F.col("ord") / 10_000).cast("long")), RowNumber("place")).withColumn("sample_no", F.col("place") - 1))
+    bgm = g.select("video_id", "sample_no", F.when(F.col("video_id") % 10 == 0, F.col("level") / 1000).otherwise(F.col("level") * 100).alias("amplitude"), "gain")
+    voice = g.filter(F.col("level") >= 50).select("video_id", "sample_no", (F.col("level") * 75).alias("amplitude"))
+    lengths = g.groupBy("video_id").agg((F.count("*") + 2).alias("n"))
     return mix.duck_mix(bgm, voice, lengths, MixParams(voice_gain_db=3.0)).withColumn("mix", r6("mix"))
 
 

@@ -15,22 +15,22 @@ from .scalars import PROSODY_SQL, squeeze_sql, tone_sql
 
 # One expression text for both engines: plain, fenced, broken and wrapped records, empty and failed answers.
 PLAIN = "translate(text, chr(34) || chr(92) || chr(10) || chr(13), '    ')"
-REC1 = "'{\"id\": 1, \"start_time\": \"0:01\", \"end_time\": \"0:04.5\", \"text\": \"' || substr(p, 1, 30) || '\"}'"
-REC2 = "'{\"id\": 2, \"start_time\": \"0:05\", \"text\": \"' || substr(p, 31, 30) || '\"}'"
+REC1 = "'{\"id\": 1, \"start_time\": \"0:01\", \"end_time\": \"0:04.5\", \"text\": \"' || p || '\"}'"
+REC2 = "'{\"id\": 2, \"start_time\": \"0:05\", \"text\": \"again ' || p || '\"}'"
 TEXT = f"""CASE kind
     WHEN 0 THEN 'Here it is:' || chr(10) || '```json' || chr(10) || '[' || {REC1} || ', ' || {REC2} || ']' || chr(10) || '```' || chr(10) || 'Done.'
     WHEN 1 THEN 'Note [draft]: [' || {REC1} || ', ' || {REC2} || ']'
     WHEN 2 THEN CASE WHEN conv_id % 2 = 0 THEN '```json' || chr(10) ELSE '' END || '[' || {REC1} || ', ' || {REC2} || ', {{"id": 3, "te'
-    WHEN 3 THEN '[{{“id”: 1, “text”: “' || substr(p, 1, 20) || '”}},]'
+    WHEN 3 THEN '[{{“id”: 1, “text”: “' || p || '”}},]'
     WHEN 4 THEN '{{"ok": true, "segments": [' || {REC1} || ']}}'
     WHEN 5 THEN ''
-    WHEN 6 THEN 'Something went wrong. ' || substr(p, 1, 20)
+    WHEN 6 THEN 'Something went wrong. ' || p
     WHEN 7 THEN p
-    WHEN 8 THEN '<div _ngcontent-abc><span>' || substr(p, 1, 20) || '</span></div>'
-    WHEN 9 THEN 'Please sign in to see this'
-    WHEN 10 THEN 'You have reached your limit'
-    WHEN 11 THEN 'I cannot fulfill this request.'
-    WHEN 12 THEN 'Network error, check your connection'
+    WHEN 8 THEN '<div _ngcontent-abc><span>' || p || '</span></div>'
+    WHEN 9 THEN 'Please sign in to see this ' || p
+    WHEN 10 THEN 'You have reached your limit ' || p
+    WHEN 11 THEN 'I cannot fulfill this request. ' || p
+    WHEN 12 THEN 'Network error, check your connection ' || p
     WHEN 13 THEN '[' || {REC1} || ', ' || {REC2} || ']'
     END"""
 CONV_COLUMNS = (
@@ -50,7 +50,7 @@ def answers(spark, d):
 
 # what the built texts must yield
 VIEWS["expected"] = f"""SELECT resp_id, kind, n AS record_no, CASE WHEN kind = 0 THEN 'fence' WHEN kind = 2 THEN 'salvaged' WHEN kind = 3 THEN 'raw+repaired' ELSE 'raw' END AS method, kind = 2 AS partial,
-    CAST(n + 1 AS VARCHAR) AS id, CASE WHEN kind = 3 THEN substr(p, 1, 20) WHEN n = 0 THEN substr(p, 1, 30) ELSE substr(p, 31, 30) END AS text
+    CAST(n + 1 AS VARCHAR) AS id, CASE WHEN n = 0 THEN p ELSE 'again ' || p END AS text
     FROM (SELECT *, CAST(unnest(range(CASE WHEN kind IN (3, 4) THEN 1 ELSE 2 END)) AS INTEGER) AS n FROM (SELECT concat('c', conv_id, '-', turn) AS resp_id, (conv_id * 3 + turn * 5) % 14 AS kind, {PLAIN} AS p FROM conversations) WHERE kind IN (0, 1, 2, 3, 4, 13))"""
 TAGS_SQL = r"list_transform(regexp_extract_all({t}, '</?([a-zA-Z][\p{{L}}\p{{N}}_:-]*)(?:\s[^<>]*)?/?>', 1), lambda x: lower(x))"
 
@@ -70,7 +70,9 @@ VIEWS["kinds"] = f"""SELECT resp_id, request_id, attempt, text, page_url, CASE k
       WHEN trim(text) = '' THEN CASE WHEN response_count = 0 THEN 'no_response_element' WHEN timed_out THEN 'network' ELSE 'empty' END
       WHEN is_html AND len(err) > 0 THEN 'html_error_page' WHEN is_html AND len(dom) > 0 THEN 'html_dom_markup' WHEN is_html AND is_document THEN 'html_page' WHEN is_html THEN 'html_dom_markup'
       {PHRASE_ARMS} WHEN kind = 2 THEN 'truncated_json' WHEN timed_out THEN 'network' ELSE 'prose' END AS kind FROM ev"""
-DEPENDS.update({"ev": ["answers"], "kinds": ["ev"]})
+VIEWS["top_tags"] = """SELECT resp_id, string_agg(tag, ' ' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY n DESC, tag) AS r FROM (
+    SELECT resp_id, tag, count(*) AS n FROM (SELECT resp_id, unnest(tags) AS tag FROM ev) GROUP BY ALL)) WHERE r <= 6 GROUP BY resp_id"""
+DEPENDS.update({"ev": ["answers"], "kinds": ["ev"], "top_tags": ["ev"]})
 RETRY_SQL = "kind IN ('network', 'empty', 'html_error_page', 'server_error', 'refused', 'truncated_json', 'prose')"
 
 
@@ -94,25 +96,22 @@ def payload_salvage(spark, d):
     return rows.select("resp_id", "record_no", "method", "partial", field("id"), field("text"))
 
 
-@gate("html_evidence", oracle("ev", """
-SELECT resp_id, is_html, is_document, CAST(tag_count AS INTEGER) AS tag_count, array_to_string(dom, ' ') AS dom_markers, array_to_string(err, ' ') AS error_markers, coalesce(top, '') AS top_tags FROM ev LEFT JOIN (
-  SELECT resp_id, string_agg(tag, ' ' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY resp_id ORDER BY n DESC, tag) AS r FROM (
-    SELECT resp_id, tag, count(*) AS n FROM (SELECT resp_id, unnest(tags) AS tag FROM ev) GROUP BY ALL)) WHERE r <= 6 GROUP BY resp_id) USING (resp_id)"""))
+@gate("html_evidence", oracle("ev top_tags", """
+SELECT resp_id, is_html, is_document, CAST(tag_count AS INTEGER) AS tag_count, array_to_string(dom, ' ') AS dom_markers, array_to_string(err, ' ') AS error_markers, coalesce(top, '') AS top_tags FROM ev LEFT JOIN top_tags USING (resp_id)"""))
 def html_evidence(spark, d):
     e = responses.html_evidence(answers(spark, d))
     return e.select("resp_id", "is_html", "is_document", "tag_count", *[F.array_join(c, " ").alias(c) for c in ("dom_markers", "error_markers", "top_tags")])
 
 
-@gate("response_classify", oracle("kinds", f"""
+@gate("response_classify", oracle("kinds top_tags", f"""
 SELECT resp_id, kind, {RETRY_SQL} AS retryable, CASE WHEN kind = 'json_ok' THEN NULL WHEN kind = 'login_required' THEN 'auth' WHEN kind = 'blocked' THEN 'blocked'
     WHEN kind IN ('html_dom_markup', 'html_page', 'no_response_element') THEN 'dom' WHEN kind IN ('html_error_page', 'network', 'server_error') THEN 'network' ELSE 'format' END AS error_class,
     CASE WHEN kind = 'json_ok' OR trim(text) = '' THEN '' WHEN kind = 'login_required' AND page_url IS NOT NULL THEN substr(page_url, 1, 120) WHEN kind = 'html_error_page' THEN array_to_string(err[1:5], '; ')
-      WHEN kind = 'html_dom_markup' AND len(dom) > 0 THEN array_to_string(dom[1:5], '; ') WHEN kind IN ('html_dom_markup', 'html_page') THEN 'tags' WHEN kind = 'truncated_json' THEN substr({squeeze_sql('right(text, 120)')}, 1, 160)
-      ELSE substr({squeeze_sql('text')}, 1, 160) END AS evidence FROM kinds"""))
+      WHEN kind = 'html_dom_markup' AND len(dom) > 0 THEN array_to_string(dom[1:5], '; ') WHEN kind IN ('html_dom_markup', 'html_page') THEN coalesce(top, '') WHEN kind = 'truncated_json' THEN substr({squeeze_sql('right(text, 120)')}, 1, 160)
+      ELSE substr({squeeze_sql('text')}, 1, 160) END AS evidence FROM kinds LEFT JOIN top_tags USING (resp_id)"""))
 def response_classify(spark, d):
     c = responses.classify(extracted(spark, d))
-    tags = F.col("kind").isin("html_dom_markup", "html_page") & (F.size("dom_markers") == 0)
-    return c.select("resp_id", "kind", "retryable", "error_class", F.when(tags, "tags").otherwise(F.array_join("evidence", "; ")).alias("evidence"))
+    return c.select("resp_id", "kind", "retryable", "error_class", F.array_join("evidence", "; ").alias("evidence"))
 
 
 @gate("response_kinds", oracle("kinds", "SELECT kind, count(*) AS responses FROM kinds GROUP BY kind"))

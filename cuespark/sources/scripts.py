@@ -17,11 +17,16 @@ def read_script_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def document_array(doc: Column) -> Column:
-    """The array a document holds: itself, or the first list-valued field of an object; null if there is none."""
-    body = F.trim(doc)
-    fields = F.transform(F.json_object_keys(body), lambda k: F.call_function("get_json_object", body, F.concat(F.lit("$['"), k, F.lit("']"))))
-    listed = F.get(F.filter(fields, lambda v: v.startswith("[")), F.lit(0))
-    return F.from_json(F.when(body.startswith("["), body).otherwise(listed), "array<string>")
+    """The array a document holds: itself, or the first list-valued field of an object; null if there is none.
+
+    What a field is, is read from the parsed document; a text that looks like a list is a text."""
+    body = F.regexp_replace(doc, r"(?U)^\s+|\s+$", "")
+    whole = F.try_parse_json(body)
+    kind = F.schema_of_variant(whole)
+    fields = F.when(kind.startswith("OBJECT"), whole.cast("map<string, variant>"))
+    raw = F.from_json(F.when(kind.startswith("OBJECT"), body), "map<string, string>")
+    listed = F.filter(F.json_object_keys(body), lambda k: F.schema_of_variant(fields[k]).startswith("ARRAY"))
+    return F.from_json(F.when(kind.startswith("ARRAY"), body).otherwise(raw[F.get(listed, F.lit(0))]), "array<string>")
 
 
 def script_rows(docs: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def canon(v):
     if v is None:
-        return ""
+        return "<null>"
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
