@@ -76,7 +76,7 @@ def op3_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_line_templates")
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.dedup_lines(table(spark, sf_dir, "documents"))
+    return templates.line_decisions(table(spark, sf_dir, "documents"))
 
 
 @query("op6_page_differencing")

@@ -30,17 +30,19 @@ FIELD = "<*>"
 _VARIABLE = r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+"
 
 
-def _tokens(line: Column) -> Column:
+def normal_line(line: Column) -> Column:
+    """A line's tokens with variable fields masked, joined by single spaces."""
     flat = F.translate(line, "\t\x0b\x0c\r", "    ")
     masked = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, _VARIABLE, FIELD)).otherwise(flat)
-    return F.array_remove(F.split(masked, " "), "")
+    return F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " {2,}", " ")).otherwise(masked))
 
 
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING) -> DataFrame:
-    """row_id, row_text, line_no, tokens, line (hash of all tokens) and leaf of every line with a token."""
+    """row_id, row_text, line_no, words (the normal line), line (its hash) and leaf of every line with a token."""
     d = docs.select(F.col(id_col).alias("row_id"), text_key(F.col(text_col)).alias("row_text"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "__line"))
-    d = once(d.select("row_id", "row_text", "line_no", "__line"), {"tokens": _tokens(F.col("__line"))}).drop("__line").filter(F.size("tokens") > 0)
-    return d.select("*", F.xxhash64("tokens").alias("line"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)).alias("leaf"))
+    d = once(d, {"words": normal_line(F.col("__line"))}).drop("__line").filter("words <> ''")
+    size = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
+    return d.select("*", F.xxhash64("words").alias("line"), F.xxhash64(size, F.substring_index("words", " ", leading)).alias("leaf"))
 
 
 def _document() -> Column:
@@ -51,8 +53,8 @@ def _document() -> Column:
 def generalised(docs: DataFrame, different: DataFrame, id_col: str, text_col: str, leading: int, agreement: float) -> DataFrame:
     """(line, leaf) of the lines that belong to the template of their leaf."""
     leaves = different.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")).filter("n > 1 AND NOT first <=> last")
-    lines = parsed_lines(docs, id_col, text_col, leading).select("leaf", "line", "tokens")
-    some = staged(lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line", "leaf"]), "leaf-lines")
+    lines = parsed_lines(docs, id_col, text_col, leading).select("leaf", "line", "words")
+    some = staged(lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line", "leaf"]), "leaf-lines").withColumn("tokens", F.split("words", " ")).drop("words")
     counts = some.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     modal = counts.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     modal = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
@@ -64,7 +66,7 @@ def generalised(docs: DataFrame, different: DataFrame, id_col: str, text_col: st
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING, agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """(row_id, row_text, line_no) of every line to drop."""
-    rows = staged(parsed_lines(docs, id_col, text_col, leading).drop("tokens"), "lines")
+    rows = staged(parsed_lines(docs, id_col, text_col, leading).drop("words"), "lines")
     different = staged(rows.groupBy("line", "leaf").agg(F.min(_document()).alias("first"), F.max(_document()).alias("last"), F.count("*").alias("n")), "different-lines")
     members = generalised(docs, different, id_col, text_col, leading, agreement).withColumn("member", F.lit(True))
     named = different.join(members, ["line", "leaf"], "left").withColumn("template", F.when(F.col("member"), F.struct(F.lit(True).alias("whole"), F.col("leaf").alias("id"))).otherwise(F.struct(F.lit(False).alias("whole"), F.col("line").alias("id"))))
@@ -74,6 +76,22 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = L
     return attach(rows, facts, "line", "n").filter(~_document().eqNullSafe(F.col("keeper"))).select("row_id", "row_text", "line_no")
 
 
+def _document_drops(docs: DataFrame, id_col: str, text_col: str, leading: int, agreement: float) -> DataFrame:
+    drops = repeated_lines(docs, id_col, text_col, leading, agreement).distinct()
+    return drops.groupBy(F.struct("row_id", "row_text").alias("doc")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
+
+
+def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, agreement: float = LEAST_AGREEMENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped and dropped, the numbers of the lines to drop, from 0.
+
+    Cases are as for ``dedup_lines``.  Texts are read and their lines compared, but whole texts do not move."""
+    source = docs.select(F.struct(F.col(id_col).alias("row_id"), text_key(F.col(text_col)).alias("row_text")).alias("doc"),
+                         F.coalesce(F.length(F.col(text_col)) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(1)).cast("bigint").alias("n_lines"))
+    found = source.join(_document_drops(docs, id_col, text_col, leading, agreement), "doc", "left")
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return found.select(F.col("doc.row_id").alias("doc_id"), "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), dropped.alias("dropped"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leading: int = LEADING, agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_dropped, text (what stays) and text_sha256.
 
@@ -81,7 +99,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     equal id and text are one document, and both lose the same lines; rows without an id come after all others.  A null
     text counts as empty, with one line.  Other columns play no part; an empty table gives no rows.  Very long texts and
     lines are parsed whole."""
-    drops = repeated_lines(docs, id_col, text_col, leading, agreement).distinct().groupBy(F.struct("row_id", "row_text").alias("doc")).agg(F.collect_list("line_no").alias("drops"))
+    drops = _document_drops(docs, id_col, text_col, leading, agreement).withColumnRenamed("dropped", "drops")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

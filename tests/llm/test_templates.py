@@ -43,6 +43,8 @@ def test_whole_table(spark):
     got = {r.doc_id: r for r in templates.dedup_lines(docs).collect()}
     assert {k: r.text for k, r in got.items()} == want
     assert sum(r.n_dropped for r in got.values()) > 100
+    for r in templates.line_decisions(docs).collect():
+        assert (r.n_lines, r.n_dropped) == (got[r.doc_id].n_lines, got[r.doc_id].n_dropped) and len(set(r.dropped)) == r.n_dropped
     assert all(r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in got.values())
 
 
@@ -58,4 +60,6 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame(rows, SCHEMA)
     got = templates.dedup_lines(docs).collect()
     assert sorted((r.doc_id or 0, r.n_lines, r.n_dropped) for r in got) == [(0, 2, 1), (1, 2, 0), (1, 2, 0), (2, 1, 0), (3, 1, 0), (4, 1, 1), (5, 3, 0), (6, 2, 1)]
-    assert templates.dedup_lines(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id or 0, r.n_lines, r.dropped) for r in templates.line_decisions(docs).collect()) == [
+        (0, 2, [0]), (1, 2, []), (1, 2, []), (2, 1, []), (3, 1, []), (4, 1, [0]), (5, 3, []), (6, 2, [1])]
+    assert templates.dedup_lines(docs.limit(0)).count() == 0 and templates.line_decisions(docs.limit(0)).count() == 0
