@@ -176,4 +176,10 @@ def wrap_two_lines(c: Column, max_chars: int = 42) -> Column:
 
 
 def content_key(text: Column, voice: Column, engine: Column, prosody: Column) -> Column:
-    return F.substring(F.md5(F.concat_ws("|", text, voice, engine, prosody)), 1, 8)
+    """Identity of a speech request: 128 bits, so that different requests do not meet at any number of them."""
+    return F.md5(F.concat_ws("|", text, voice, engine, prosody))
+
+
+def key_label(key: Column) -> Column:
+    """The short form of a content key that file names carry; not unique."""
+    return F.substring(key, 1, 8)

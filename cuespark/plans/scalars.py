@@ -196,9 +196,9 @@ def snippet(spark, d):
 
 
 @gate("content_key", oracle("v_segments", f"""
-SELECT content_key, count(*) AS requests, min(spoken) AS spoken FROM (
+SELECT content_key, substr(content_key, 1, 8) AS label, count(*) AS requests, min(spoken) AS spoken FROM (
   SELECT {squeeze_sql("regexp_replace(text, '[*_`#<>~]+', '', 'g')")} AS spoken,
-    substr(md5(concat_ws('|', {squeeze_sql("regexp_replace(text, '[*_`#<>~]+', '', 'g')")}, 'vi-VN-HoaiMyNeural', 'edge', rate || pitch || volume)), 1, 8) AS content_key
+    md5(concat_ws('|', {squeeze_sql("regexp_replace(text, '[*_`#<>~]+', '', 'g')")}, 'vi-VN-HoaiMyNeural', 'edge', rate || pitch || volume)) AS content_key
   FROM (SELECT *, {tone_sql('tone')} AS tone_name FROM v_segments) JOIN {PROSODY_SQL} USING (tone_name)) GROUP BY content_key"""))
 def content_key(spark, d):
     rate, pitch, volume = voices.prosody(F.col("tone_name"))
@@ -207,7 +207,7 @@ def content_key(spark, d):
     return (
         v_segments(spark, d).withColumn("tone_name", text.normalize_tone(F.col("tone")))
         .select(key.alias("content_key"), spoken.alias("spoken"))
-        .groupBy("content_key").agg(F.count("*").alias("requests"), F.min("spoken").alias("spoken"))
+        .groupBy("content_key", text.key_label(F.col("content_key")).alias("label")).agg(F.count("*").alias("requests"), F.min("spoken").alias("spoken"))
     )
 
 

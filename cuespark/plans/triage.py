@@ -166,7 +166,7 @@ SPOKEN_SQL = squeeze_sql("regexp_replace(text, '[*_`#<>~]+', '', 'g')")
 
 @gate("enrich_with_engine", oracle("v_segments", f"""
 SELECT content_key, (280 * greatest(1, len(string_split(any_value(spoken), ' '))) + 270) / 1000::DOUBLE AS duration_sec, 'ok' AS status, CAST(NULL AS VARCHAR) AS error FROM (
-  SELECT {SPOKEN_SQL} AS spoken, substr(md5(concat_ws('|', {SPOKEN_SQL}, 'vi-VN-HoaiMyNeural', 'offline_speech', rate || pitch || volume)), 1, 8) AS content_key, certainty
+  SELECT {SPOKEN_SQL} AS spoken, md5(concat_ws('|', {SPOKEN_SQL}, 'vi-VN-HoaiMyNeural', 'offline_speech', rate || pitch || volume)) AS content_key, certainty
   FROM (SELECT *, {tone_sql('tone')} AS tone_name FROM v_segments) JOIN {PROSODY_SQL} USING (tone_name)) GROUP BY content_key HAVING NOT bool_or(certainty = 'observed_fact')"""))
 def enrich_with_engine(spark, d):
     """Lines that state observed facts are in the cache already; the rest is sent, each distinct request once."""

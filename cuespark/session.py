@@ -1,12 +1,16 @@
-"""Session settings shared by tests, the benchmark and stand-alone use."""
+"""Session settings shared by tests, the benchmark and stand-alone use, and tables between the steps of a query."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"cuespark-{uuid.uuid4().hex[:12]}"
+
 
 def build_session(app: str = "cuespark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -27,21 +31,34 @@ def build_session(app: str = "cuespark", master: str | None = None, shuffle_part
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoint(): the cluster's ``spark.checkpoint.dir``; a temporary one only where none is named."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    path = named or tempfile.mkdtemp(prefix="cuespark-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+def shared_folder(spark: SparkSession) -> str:
+    """This process's folder below ``spark.checkpoint.dir``, which a cluster must name and all its executors share.  Only
+    a session with a local master may go without; it then works in the temporary folder of its one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.gettempdir()}"
+    return f"{named.rstrip('/')}/{_RUN}"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run, removed when the process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     return path
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes an intermediate table to the checkpoint folder and reads on from there.
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
 
-    An ordered scan reads its input twice, so a chain of scans would read the source 2^n times; a stage between them
-    keeps that linear, and lost executors resume from the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def stage(df: DataFrame) -> DataFrame:
+    """Writes an intermediate table as Parquet to the shared folder and reads it back, so that what follows reads only the
+    columns it needs, several readers do the work once, and lost executors resume from files."""
+    path = new_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,20 +3,19 @@ read-back.  Admission control bounds the size of a micro-batch; no result depend
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import new_folder
 
 MAX_BYTES_PER_TRIGGER = 256 * 1024 * 1024
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run; a long-lived job passes its own fixed folder instead."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 def read_table_stream(spark: SparkSession, path: str) -> DataFrame:
