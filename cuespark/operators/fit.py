@@ -11,6 +11,7 @@ from ..functions.scoring import seeded_uniform
 from ..functions.timecode import millis
 from ..params import FitParams, PauseParams
 from ..session import stage
+from ..sources.documents import write_documents
 from .ranges import FOLD_LIMIT, attach, reset_ids, split_by_size
 from .scan import Axis, Lead, RowNumber, scan
 
@@ -19,6 +20,7 @@ DRIFT_TOLERANCE_MS = 10
 BLOCK_CLIPS = 5000
 PLACED = ("id", "planned_start_ms", "planned_end_ms", "placed_start_ms", "placed_end_ms", "audio_len_ms", "start_drift_ms",
           "overrun_ms", "clipped_ms", "pause_shrink_ms", "speed", "status")
+END_OF_REPORT = 1 << 62
 SUMMARY = ("segments", "start_drift_over_tolerance", "overruns", "clipped", "overlaps", "pause_shrunk_segments")
 
 
@@ -205,13 +207,19 @@ def qa_checklist(rollup: DataFrame) -> DataFrame:
     return rollup.select(KEY, F.inline(rows))
 
 
-def report_documents(placed: DataFrame, checks: DataFrame, per_part: int = 500) -> DataFrame:
-    """Report documents in JSON, one per part of ``per_part`` clips, each with the summary and its segments."""
+def report_lines(placed: DataFrame, checks: DataFrame) -> DataFrame:
+    """The lines of each video's report in JSON: the summary, its segments in order of time, and the end (``n`` orders them)."""
     axis = Axis((KEY,), ("planned_start_ms", "id"), F.floor(F.col("planned_start_ms") / 60000).cast("long"))
     numbered = scan(placed, axis, RowNumber("n"))
-    parts = numbered.groupBy(KEY, F.floor((F.col("n") - 1) / per_part).cast("long").alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("n", F.struct(*PLACED).alias("s")))).alias("l"))
     summary = F.struct(*SUMMARY, "max_abs_drift_ms", "allowed_advance_ms")
-    full = attach(parts, checks.select(KEY, "total_ms", summary.alias("summary")), KEY)
-    doc = F.struct(F.col("total_ms").alias("total_video_ms"), "summary", F.transform("l", lambda x: x["s"]).alias("segments"))
-    return full.select(KEY, "part", F.to_json(doc).alias("report"))
+    head = F.struct(F.col("total_ms").alias("total_video_ms"), summary.alias("summary"))
+    opening = F.concat(F.regexp_replace(F.to_json(head), r"\}$", ""), F.lit(', "segments": ['))
+    segment = F.concat(F.when(F.col("n") > 1, F.lit(",")).otherwise(F.lit("")), F.to_json(F.struct(*PLACED)))
+    ends = checks.select(KEY, F.inline(F.array(
+        F.struct(F.lit(0).cast("long").alias("n"), opening.alias("line")), F.struct(F.lit(END_OF_REPORT).alias("n"), F.lit("]}").alias("line")))))
+    return ends.unionByName(numbered.select(KEY, F.col("n").cast("long").alias("n"), segment.alias("line")))
+
+
+def write_reports(placed: DataFrame, checks: DataFrame, path: str) -> None:
+    """One report file per video, whatever its length."""
+    write_documents(report_lines(placed, checks), path, KEY, ["n"], "line")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WS, tokens, wrap_two_lines
 from ..functions.timecode import srt_timestamp
 from ..session import stage
+from ..sources.documents import write_documents
 from .ranges import asof, attach
 from .scan import Axis, Lead, RowNumber, RunSum, Total, scan
 
@@ -90,14 +91,13 @@ def choose_cues(estimated: DataFrame, aligned: DataFrame) -> DataFrame:
         "end_sec": F.when(use, F.col("aligned_end")).otherwise(F.col("end_sec"))}).drop("usable", "aligned_start", "aligned_end")
 
 
-def srt_documents(cues: DataFrame, max_chars: int = 42, per_part: int = 500) -> DataFrame:
-    """SRT text per video in parts of ``per_part`` cues; the parts joined by a line feed are the document."""
+def srt_blocks(cues: DataFrame, max_chars: int = 42) -> DataFrame:
+    """The block of each cue in an SRT document: number, times, one or two lines of text and an empty line."""
     block = F.concat(F.col("cue_no").cast("string"), F.lit("\n"), srt_timestamp(F.col("start_sec")), F.lit(" --> "), srt_timestamp(F.col("end_sec")),
                      F.lit("\n"), wrap_two_lines(F.col("text"), max_chars), F.lit("\n"))
-    blocks = cues.select(KEY, F.floor((F.col("cue_no") - 1) / per_part).cast("long").alias("part"), F.struct("cue_no", block.alias("block")).alias("b"))
-    return blocks.groupBy(KEY, "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list("b")), lambda x: x["block"]), "\n").alias("srt"))
+    return cues.select(KEY, "cue_no", block.alias("block"))
 
 
-def write_srt(documents: DataFrame, path: str) -> None:
-    """One text file per part, in folders named by video and part."""
-    documents.select(KEY, "part", "srt").write.mode("overwrite").partitionBy(KEY, "part").text(path)
+def write_srt(cues: DataFrame, path: str, max_chars: int = 42) -> None:
+    """One SRT file per video, whatever its length."""
+    write_documents(srt_blocks(cues, max_chars), path, KEY, ["cue_no"], "block")

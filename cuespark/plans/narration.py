@@ -10,7 +10,8 @@ from ..functions.timecode import format_timestamp
 from ..operators import fit, highlights, retime, segments
 from ..operators.ranges import attach, merge_ranges
 from ..params import FitParams, HighlightParams, PauseParams, ScriptParams
-from ..session import stage
+from ..session import new_folder, stage
+from ..sources.documents import read_documents
 from .carriers import DEPENDS, VIEWS, oracle, v_candidates, v_segments, v_series
 from .detection import media
 from .registry import gate
@@ -213,17 +214,19 @@ def sync_checks_paused(spark, d):
 
 
 @gate("sync_report_sink", oracle("placed", f"""
-SELECT p.video_id, (n - 1) // 3 AS part, any_value(c.total_ms) AS total_video_ms, any_value(c.segments) AS all_segments, any_value(c.overruns) AS overruns, count(*) AS part_segments, CAST(sum(placed_end_ms - placed_start_ms) AS BIGINT) AS spoken_ms
-FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY planned_start_ms, id) AS n FROM placed) p JOIN c USING (video_id) GROUP BY ALL""", [f"c AS ({checks_sql('placed')})"]))
+SELECT p.video_id, any_value(c.total_ms) AS total_video_ms, any_value(c.segments) AS all_segments, any_value(c.overruns) AS overruns, count(*) AS listed_segments, CAST(sum(placed_end_ms - placed_start_ms) AS BIGINT) AS spoken_ms,
+    string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY planned_start_ms, p.id) AS ids
+FROM placed p JOIN c USING (video_id) GROUP BY ALL""", [f"c AS ({checks_sql('placed')})"]))
 def sync_report_sink(spark, d):
-    """The report documents, read back as a reader of the files would."""
-    rows = stage(placed(spark, d))
-    docs = fit.report_documents(rows, fit.sync_checks(rows), per_part=3)
-    schema = "struct<total_video_ms:bigint,summary:struct<segments:bigint,overruns:bigint>,segments:array<struct<placed_start_ms:bigint,placed_end_ms:bigint>>>"
-    r = docs.withColumn("r", F.from_json("report", schema))
+    """The report files, one per video, as a reader finds them."""
+    rows, path = stage(placed(spark, d)), new_folder(spark, "reports")
+    fit.write_reports(rows, fit.sync_checks(rows), path)
+    schema = "struct<total_video_ms:bigint,summary:struct<segments:bigint,overruns:bigint>,segments:array<struct<id:bigint,placed_start_ms:bigint,placed_end_ms:bigint>>>"
+    r = read_documents(spark, path, "video_id").withColumn("r", F.from_json("document", schema))
     spoken = F.aggregate("r.segments", F.lit(0).cast("long"), lambda acc, s: acc + s["placed_end_ms"] - s["placed_start_ms"])
-    return r.select("video_id", "part", F.col("r.total_video_ms"), F.col("r.summary.segments").alias("all_segments"), F.col("r.summary.overruns"),
-                    F.size("r.segments").cast("long").alias("part_segments"), spoken.alias("spoken_ms"))
+    return r.select(F.col("video_id").cast("long").alias("video_id"), F.col("r.total_video_ms"), F.col("r.summary.segments").alias("all_segments"), F.col("r.summary.overruns"),
+                    F.size("r.segments").cast("long").alias("listed_segments"), spoken.alias("spoken_ms"),
+                    F.array_join(F.transform("r.segments", lambda s: s["id"].cast("string")), ",").alias("ids"))
 
 
 # ---------------------------------------------------------------- the whole narration path, chunk by chunk

@@ -322,7 +322,7 @@ def test_cues_and_srt(spark):
     s = spark.createDataFrame([(1, 1, 0.0, 10.0, "Hi. This is longer! "), (1, 2, 9.8, 9.9, "Tail"), (1, 3, 12.0, 13.0, "  ")], "video_id long, id long, start_sec double, end_sec double, text string")
     cues = subtitles.cue_repair(subtitles.split_cues(s)).orderBy("cue_no")
     assert [(round(r.start_sec, 3), round(r.end_sec, 3), r.text) for r in cues.collect()] == [(0.0, 1.667, "Hi."), (1.667, 9.8, "This is longer!"), (9.8, 10.3, "Tail")]
-    doc = subtitles.srt_documents(cues).first()["srt"]
+    doc = "\n".join(r.block for r in subtitles.srt_blocks(cues).orderBy("cue_no").collect())
     assert doc == "1\n00:00:00,000 --> 00:00:01,667\nHi.\n\n2\n00:00:01,667 --> 00:00:09,800\nThis is longer!\n\n3\n00:00:09,800 --> 00:00:10,300\nTail\n"
 
 

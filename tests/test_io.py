@@ -26,11 +26,11 @@ def test_script_files_round_trip(spark, sf_dir, tmp_path):
 
 def test_srt_files(spark, sf_dir, tmp_path):
     cues = subtitles.cue_repair(subtitles.split_cues(v_segments(spark, sf_dir).filter("video_id < 3")))
-    docs = subtitles.srt_documents(cues, per_part=10)
-    subtitles.write_srt(docs, str(tmp_path / "srt"))
-    first = next((tmp_path / "srt" / "video_id=0" / "part=0").glob("*.txt")).read_text(encoding="utf-8")
-    assert first.rstrip("\n") == docs.filter("video_id = 0 AND part = 0").first()["srt"].rstrip("\n")
-    assert len(list((tmp_path / "srt").glob("*/*/*.txt"))) == docs.count()
+    subtitles.write_srt(cues, str(tmp_path / "srt"))
+    blocks = subtitles.srt_blocks(cues).filter("video_id = 0").orderBy("cue_no").collect()
+    files = list((tmp_path / "srt" / "video_id=0").glob("*.txt"))
+    assert len(files) == 1 and files[0].read_text(encoding="utf-8") == "".join(b.block + "\n" for b in blocks)
+    assert len(list((tmp_path / "srt").glob("*/*.txt"))) == cues.select("video_id").distinct().count()
 
 
 def test_log_and_frame_files(spark, tmp_path):
