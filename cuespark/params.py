@@ -7,8 +7,14 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class SilenceParams:
-    threshold: float = 50.0
-    min_sec: float = 6.0
+    """Levels in dBFS unless the samples are in another unit; the threshold is in theirs."""
+
+    threshold: float = -30.0
+    min_sec: float = 0.6
+
+    def __post_init__(self) -> None:
+        if self.min_sec < 0:
+            raise ValueError("min_sec may not be negative")
 
 
 @dataclass(frozen=True)
@@ -31,7 +37,7 @@ class WindowParams:
     max_scene_sec: float = 6.0
     max_frames: int = 400
     max_frames_per_window: int = 2
-    scene_threshold: float = 0.39
+    scene_threshold: float = 0.35
 
     def __post_init__(self) -> None:
         if self.interval_sec <= 0 or self.max_frames < 1 or self.max_frames_per_window < 1:
@@ -40,9 +46,13 @@ class WindowParams:
             raise ValueError("min_scene_sec may not exceed max_scene_sec")
 
 
+#: Words a second that a voice of a language speaks at ease.
+SPEAKING_RATE = {"vi": 3.2, "en": 2.5}
+
+
 @dataclass(frozen=True)
 class ScriptParams:
-    words_per_sec: float = 2.0
+    words_per_sec: float = SPEAKING_RATE["vi"]
     wps_tolerance: float = 1.15
     min_segment_sec: float = 1.0
     creativity: float = 0.3
@@ -77,8 +87,8 @@ class PauseParams:
     def __post_init__(self) -> None:
         if not 0 <= self.min_pause_sec <= self.max_pause_sec:
             raise ValueError("need 0 <= min_pause_sec <= max_pause_sec")
-        if self.max_advance_sec < 0:
-            raise ValueError("max_advance_sec may not be negative")
+        if not 0 <= self.max_advance_sec <= 5:
+            raise ValueError("max_advance_sec must lie in [0, 5]")
 
     @property
     def max_advance_ms(self) -> int:
@@ -104,3 +114,7 @@ class MixParams:
 class HighlightParams:
     budget_ratio: float = 0.4
     touch_slack_sec: float = 1e-3
+
+    def __post_init__(self) -> None:
+        if not 0.0 < self.budget_ratio <= 1.0 or self.touch_slack_sec < 0:
+            raise ValueError("budget_ratio must lie in (0, 1]")

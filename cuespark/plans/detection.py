@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import planning, signal
+from ..operators import planning, prompts, signal
 from ..params import ChunkParams, SilenceParams, WindowParams
 from ..session import stage
 from ..sources.media import media_catalog
@@ -14,7 +14,7 @@ from .registry import gate
 from .scalars import clock_sql
 
 QUIET = SilenceParams(threshold=50.0, min_sec=6.0)
-WINDOWS = WindowParams()
+WINDOWS = WindowParams(scene_threshold=0.39)
 
 
 def media(spark, d):
@@ -228,3 +228,22 @@ SELECT video_id, batch, count(*) AS n, string_agg('Image ' || k || ': ' || clock
 FROM (SELECT *, (rn - 1) // 8 AS batch, (rn - 1) % 8 + 1 AS k, {clock_sql('t_sec')} AS clock FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec, ord) AS rn FROM v_series)) GROUP BY video_id, batch"""))
 def prompt_table(spark, d):
     return planning.prompt_table(v_series(spark, d), 8, 3.0, 0.3, style="natural", purpose="documentary")
+
+
+# ---------------------------------------------------------------- requests beyond the batch prompts
+LIST_SQL = "string_agg('Image ' || k || ': ' || clock, chr(10) ORDER BY rn)"
+NUMBERED_SQL = f"SELECT *, {clock_sql('t_sec')} AS clock FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY t_sec, ord) AS rn, count(*) OVER (PARTITION BY video_id) AS n FROM v_series)"
+
+
+@gate("prompt_outline", oracle("v_series", f"""
+SELECT video_id, count(*) AS n, 'Outline the whole video in order.' || chr(10) || {LIST_SQL} || chr(10) || 'Length: ' || max(clock) || chr(10) || 'Answer with a JSON array of parts: start_time, end_time, summary.' AS prompt
+FROM (SELECT *, (rn - 1) // step + 1 AS k FROM (SELECT *, greatest(1, n // least(n, 10)) AS step FROM ({NUMBERED_SQL})) WHERE (rn - 1) % step = 0 AND (rn - 1) // step < 10) GROUP BY video_id"""))
+def prompt_outline(spark, d):
+    return prompts.outline_requests(v_series(spark, d))
+
+
+@gate("prompt_highlight", oracle("v_series", f"""
+SELECT video_id, batch, count(*) AS n, 'Find the moments worth keeping.' || chr(10) || {LIST_SQL} || chr(10) || 'Range: ' || min(clock) || ' - ' || max(clock) || chr(10)
+  || 'Answer with a JSON array: start_time, end_time, score from 1 to 10.' AS prompt FROM (SELECT *, (rn - 1) // 8 AS batch, (rn - 1) % 8 + 1 AS k FROM ({NUMBERED_SQL})) GROUP BY video_id, batch"""))
+def prompt_highlight(spark, d):
+    return prompts.highlight_requests(v_series(spark, d), 8)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import prompts
 from ..operators import segments as ops
 from ..params import ScriptParams
+from ..session import stage
 from .carriers import VIEWS, DEPENDS, oracle, v_segments
 from ..functions.scoring import r6
 from .registry import gate
@@ -33,6 +35,7 @@ DEPENDS.update({"seg_media": ["v_segments"], "seg_chunks": ["seg_media"], "seg_a
                 "rep_rows": ["v_segments"], "rep_steps": ["rep_rows"], "repaired": ["rep_steps", "rep_rows"]})
 
 REPAIR = ScriptParams(min_segment_sec=8.0)
+BUDGET = ScriptParams(words_per_sec=2.0)
 
 
 def seg_media(spark, d):
@@ -88,7 +91,7 @@ def repair_timeline(spark, d):
 SELECT video_id, id, CAST({words_sql('text')} AS INTEGER) AS words, {LIMIT_SQL.format(wps='2.0')} AS max_words,
     {words_sql('text')} > {LIMIT_SQL.format(wps='2.0')} AS over_budget, round_even(({words_sql('text')} / (end_sec - start_sec)) * 1000000::DOUBLE, 0) / 1000000::DOUBLE AS words_per_sec FROM v_segments"""))
 def word_budget(spark, d):
-    return ops.word_budget(v_segments(spark, d)).select(
+    return ops.word_budget(v_segments(spark, d), BUDGET).select(
         "video_id", "id", "words", "max_words", "over_budget", r6("words_per_sec").alias("words_per_sec"))
 
 
@@ -188,3 +191,26 @@ FROM (SELECT DISTINCT video_id, (rn - 1) // 2 AS batch FROM n) b""",
       ["n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, id) AS rn FROM v_segments)"]))
 def previous_context(spark, d):
     return ops.previous_context(v_segments(spark, d), per_batch=2)
+
+
+@gate("prompt_rewrite", oracle("v_segments", f"""
+SELECT video_id, id, max_words, 'Shorten to at most ' || max_words || ' words, same language and meaning.' || chr(10) || 'Line ' || id || ': ' || text || chr(10) || 'Answer with a JSON array: id, text.' AS prompt
+FROM (SELECT *, {LIMIT_SQL.format(wps='2.0')} AS max_words FROM v_segments) WHERE {words_sql('text')} > max_words"""))
+def prompt_rewrite(spark, d):
+    return prompts.rewrite_requests(ops.word_budget(v_segments(spark, d), BUDGET))
+
+
+@gate("prompt_story", oracle("v_segments seg_assigned", """
+SELECT b.video_id, b.batch, CASE WHEN h.hook <> '' THEN 'The story opened with: ' || h.hook || chr(10) ELSE '' END || CASE WHEN b.context <> '' THEN 'Before:' || chr(10) || b.context || chr(10) ELSE '' END
+  || 'Describe batch ' || b.batch || '.' || chr(10) || 'State only what is seen; mark the rest as an inference or as framing.' AS prompt
+FROM (SELECT d.video_id, d.batch, coalesce((SELECT string_agg(text, chr(10) ORDER BY rn) FROM n WHERE n.video_id = d.video_id AND n.rn <= d.batch * 2 AND n.rn > d.batch * 2 - 3), '') AS context
+      FROM (SELECT DISTINCT video_id, (rn - 1) // 2 AS batch FROM n) d) b
+LEFT JOIN (SELECT video_id, CASE WHEN length(t) > 280 THEN substr(t, 1, 280) || '…' ELSE t END AS hook FROM (SELECT video_id, string_agg(text, ' ' ORDER BY rn) AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, id) AS rn FROM seg_assigned WHERE chunk_index = 0) WHERE rn <= 2 GROUP BY video_id)) h USING (video_id)""",
+      ["n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_sec, id) AS rn FROM v_segments)"]))
+def prompt_story(spark, d):
+    """Batch prompts with the lines before each batch and the hook of the story."""
+    context = stage(ops.previous_context(v_segments(spark, d), per_batch=2))
+    base = context.select("video_id", "batch", F.concat(F.lit("Describe batch "), F.col("batch").cast("string"), F.lit(".")).alias("prompt"))
+    every = v_segments(spark, d).select("video_id").distinct().select("video_id", F.lit(1).alias("chunk_index"))
+    return prompts.with_story(base, context, ops.story_hook(assigned(spark, d), every))
