@@ -76,6 +76,15 @@ DEPENDS.update({"ev": ["answers"], "kinds": ["ev"], "top_tags": ["ev"]})
 RETRY_SQL = "kind IN ('network', 'empty', 'html_error_page', 'server_error', 'refused', 'truncated_json', 'prose')"
 
 
+ADVICE_SQL = """(VALUES ('json_ok', 'The answer holds its records.', ''), ('login_required', 'The page asks for a sign-in.', 'Sign in, then send the request again.'),
+    ('network', 'The connection failed or timed out.', 'Check the connection; the request is sent again.'), ('no_response_element', 'The page shows no answer.', 'The page may have changed; look at it.'),
+    ('empty', 'The answer is empty.', 'The request is sent again.'), ('html_error_page', 'An error page came instead of an answer.', 'The request is sent again later.'),
+    ('html_dom_markup', 'The answer is markup of the page itself.', 'Read the text of the answer, not its markup.'), ('html_page', 'A whole page came instead of an answer.', 'Check the address that is asked.'),
+    ('blocked', 'The service refuses more requests for now.', 'Wait, or lower the rate of requests.'), ('server_error', 'The service reports an error.', 'The request is sent again.'),
+    ('refused', 'The model refuses the request.', 'Change the request.'), ('truncated_json', 'The answer breaks off; its first records are usable.', 'Ask for fewer records at a time.'),
+    ('prose', 'The answer is text without records.', 'Ask again for records only.')) AS advice(kind, message, hint)"""
+
+
 def extracted(spark, d):
     return responses.extract_payloads(answers(spark, d).drop("kind"))
 
@@ -106,12 +115,12 @@ def html_evidence(spark, d):
 @gate("response_classify", oracle("kinds top_tags", f"""
 SELECT resp_id, kind, {RETRY_SQL} AS retryable, CASE WHEN kind = 'json_ok' THEN NULL WHEN kind = 'login_required' THEN 'auth' WHEN kind = 'blocked' THEN 'blocked'
     WHEN kind IN ('html_dom_markup', 'html_page', 'no_response_element') THEN 'dom' WHEN kind IN ('html_error_page', 'network', 'server_error') THEN 'network' ELSE 'format' END AS error_class,
-    CASE WHEN kind = 'json_ok' OR trim(text) = '' THEN '' WHEN kind = 'login_required' AND page_url IS NOT NULL THEN substr(page_url, 1, 120) WHEN kind = 'html_error_page' THEN array_to_string(err[1:5], '; ')
-      WHEN kind = 'html_dom_markup' AND len(dom) > 0 THEN array_to_string(dom[1:5], '; ') WHEN kind IN ('html_dom_markup', 'html_page') THEN coalesce(top, '') WHEN kind = 'truncated_json' THEN substr({squeeze_sql('right(text, 120)')}, 1, 160)
-      ELSE substr({squeeze_sql('text')}, 1, 160) END AS evidence FROM kinds LEFT JOIN top_tags USING (resp_id)"""))
+    CASE WHEN kind = 'json_ok' THEN '' WHEN kind IN ('empty', 'no_response_element') OR (kind = 'network' AND trim(text) = '') THEN 'length: ' || length(text) WHEN kind = 'login_required' AND page_url IS NOT NULL THEN substr(page_url, 1, 120) WHEN kind = 'html_error_page' THEN array_to_string(list_append(err[1:5], 'tags: ' || len(tags) || ' ' || coalesce(top, '')), '; ')
+      WHEN kind IN ('html_dom_markup', 'html_page') THEN array_to_string(list_append(dom[1:5], 'tags: ' || len(tags) || ' ' || coalesce(top, '')), '; ') WHEN kind = 'truncated_json' THEN substr({squeeze_sql('right(text, 120)')}, 1, 160)
+      ELSE substr({squeeze_sql('text')}, 1, 160) END AS evidence, message, hint FROM kinds LEFT JOIN top_tags USING (resp_id) JOIN {ADVICE_SQL} USING (kind)"""))
 def response_classify(spark, d):
     c = responses.classify(extracted(spark, d))
-    return c.select("resp_id", "kind", "retryable", "error_class", F.array_join("evidence", "; ").alias("evidence"))
+    return c.select("resp_id", "kind", "retryable", "error_class", F.array_join("evidence", "; ").alias("evidence"), "message", "hint")
 
 
 @gate("response_kinds", oracle("kinds", "SELECT kind, count(*) AS responses FROM kinds GROUP BY kind"))
