@@ -61,8 +61,9 @@ def pending_work(plan: DataFrame, done: DataFrame) -> DataFrame:
     return plan.join(done, ["fingerprint", *CHUNK, "stage"], "left_anti")
 
 
-def append_increment(increment: DataFrame, path: str) -> None:
-    increment.write.mode("append").partitionBy("fingerprint").parquet(path)
+def append_increment(increment: DataFrame, path: str, run_id: str) -> None:
+    """Adds one run's rows to the ledger.  A run that is repeated under its id replaces what it wrote before."""
+    increment.write.mode("overwrite").partitionBy("fingerprint").parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:

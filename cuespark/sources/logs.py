@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.scan import Axis, Lag, scan
+from ..operators.scan import Axis, Lag, RowNumber, scan
+from ..session import stage
 
 LINES_PER_SLAB = 10_000
 START = r"silence_start:\s*(-?[0-9]+(?:\.[0-9]+)?)"
@@ -14,9 +15,12 @@ FRAME_NAME = r"frame_([0-9]+)_([0-9]+)\.jpg$"
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(source, line_no, line) of text logs; whole files, so meant for logs of moderate size each."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), "value")
-    return whole.select("source", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """(source, line_no, line) of text logs, read line by line and numbered from 0 over the pieces of a file, so that a log
+    of any size is shared by many tasks."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    numbered = scan(stage(lines), Axis(("source",), ("piece", "place"), F.col("piece")), RowNumber("n"))
+    return numbered.select("source", (F.col("n") - 1).alias("line_no"), "line")
 
 
 def silence_markers(lines: DataFrame, line: str = "line") -> DataFrame:

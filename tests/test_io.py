@@ -46,7 +46,9 @@ def test_log_and_frame_files(spark, tmp_path):
 
 def test_ledger_increment(spark, tmp_path):
     plan = spark.createDataFrame([("f", 1, c, s) for c in range(2) for s in ledger.STAGES], "fingerprint string, video_id long, chunk_index int, stage string")
-    ledger.append_increment(plan.filter("chunk_index = 0"), str(tmp_path / "led"))
+    for _ in range(2):  # the same run twice
+        ledger.append_increment(plan.filter("chunk_index = 0"), str(tmp_path / "led"), "r1")
+    assert spark.read.parquet(str(tmp_path / "led")).count() == 4
     done = spark.read.parquet(str(tmp_path / "led"))
     assert ledger.pending_work(plan, done).count() == 4
     assert ledger.pending_work(plan.withColumn("fingerprint", F.lit("g")), done).count() == 8
