@@ -9,7 +9,7 @@ from ..functions.text import let
 from ..functions.timecode import format_timestamp
 from ..params import ChunkParams, WindowParams
 from ..session import stage
-from .ranges import FOLD_LIMIT, asof, attach, follow, neighbours, point_in_range, reset_ids, split_by_size
+from .ranges import FOLD_LIMIT, asof, attach, follow, neighbours, reset_ids, split_by_size
 from .scan import Axis, Lead, RowNumber, RunLast, Total, scan
 
 KEY = "video_id"
@@ -22,13 +22,23 @@ def cut_points(silences: DataFrame, scene_cuts: DataFrame | None = None) -> Data
 
 
 def pick_cuts(targets: DataFrame, points: DataFrame, params: ChunkParams = ChunkParams()) -> DataFrame:
-    """Best cut near each target (``targets``: video_id, target_sec, min_start, duration_sec)."""
-    spans = targets.withColumns({"lo": F.col("target_sec") - params.tolerance_sec, "hi": F.col("target_sec") + params.tolerance_sec})
-    near = (F.abs(F.col("t_sec") - F.col("target_sec")) <= params.tolerance_sec) & (F.col("t_sec") > F.col("min_start")) & (
-        F.col("t_sec") < F.col("duration_sec"))
-    hits = point_in_range(points, spans, KEY, "t_sec", "lo", "hi", near, "inner")
-    best = hits.groupBy(KEY, "target_sec").agg(F.min(F.struct("grade", F.abs(F.col("t_sec") - F.col("target_sec")).alias("d"), "t_sec")).alias("b"))
-    joined = targets.join(best, [KEY, "target_sec"], "left")
+    """Best cut near each target (``targets``: video_id, target_sec, min_start, duration_sec).
+
+    Of each grade only the last point up to the target and the first one after it can be best: if one of these lies out of
+    bounds, so do those beyond it."""
+    found = targets
+    for grade in (0, 1):
+        marks = points.filter(F.col("grade") == grade).select(KEY, F.col("t_sec").cast("double").alias("t_sec"))
+        found = neighbours(found, marks, KEY, "target_sec", "t_sec", ["t_sec"]).withColumnsRenamed({"prev_t_sec": f"__p{grade}", "next_t_sec": f"__n{grade}"})
+
+    def option(grade: int, side: str) -> Column:
+        t = F.col(f"__{side}{grade}")
+        away = F.abs(t - F.col("target_sec"))
+        usable = (away <= params.tolerance_sec) & (t > F.col("min_start")) & (t < F.col("duration_sec"))
+        return F.when(usable, F.struct(F.lit(grade).alias("grade"), away.alias("d"), t.alias("t_sec")))
+
+    best = F.least(*[option(g, side) for g in (0, 1) for side in "pn"])
+    joined = found.withColumn("b", best)
     reason = F.when(F.col("b").isNull(), "hard").when(F.col("b.grade") == 0, "silence").otherwise("scene")
     return joined.select(KEY, "target_sec", F.coalesce("b.t_sec", "target_sec").alias("cut_sec"), reason.alias("cut_reason"))
 
