@@ -30,17 +30,15 @@ FIELD = "<*>"
 _VARIABLE = r"(?<![^ ])[^ 0-9@]*+[0-9@][^ ]*+"
 
 
-def normal_line(line: Column) -> Column:
-    """A line's tokens with variable fields masked, joined by single spaces."""
-    flat = F.translate(line, "\t\x0b\x0c\r", "    ")
-    masked = F.when(flat.rlike("[0-9@]"), F.regexp_replace(flat, _VARIABLE, FIELD)).otherwise(flat)
-    return F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " {2,}", " ")).otherwise(masked))
-
-
 def parsed_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING) -> DataFrame:
-    """row_id, row_text, line_no, words (the normal line), line (its hash) and leaf of every line with a token."""
-    d = docs.select(F.col(id_col).alias("row_id"), text_key(F.col(text_col)).alias("row_text"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "__line"))
-    d = once(d, {"words": normal_line(F.col("__line"))}).drop("__line").filter("words <> ''")
+    """row_id, row_text, line_no, words (tokens with variable fields masked, joined by single spaces), line (their hash)
+    and leaf of every line with a token.  Each step is a column of its own, so that none is computed twice."""
+    flat = F.translate(F.col(text_col), "\t\x0b\x0c\r", "    ")
+    d = docs.select(F.col(id_col).alias("row_id"), text_key(F.col(text_col)).alias("row_text"), F.posexplode(F.split(flat, "\n")).alias("line_no", "__line"))
+    line = F.col("__line")
+    d = once(d, {"__masked": F.when(line.rlike("[0-9@]"), F.regexp_replace(line, _VARIABLE, FIELD)).otherwise(line)}).drop("__line")
+    masked = F.col("__masked")
+    d = once(d, {"words": F.trim(F.when(masked.contains("  "), F.regexp_replace(masked, " {2,}", " ")).otherwise(masked))}).drop("__masked").filter("words <> ''")
     size = F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit("")))
     return d.select("*", F.xxhash64("words").alias("line"), F.xxhash64(size, F.substring_index("words", " ", leading)).alias("leaf"))
 
@@ -50,11 +48,10 @@ def _document() -> Column:
     return F.struct(F.col("row_id").isNull().alias("no_id"), F.col("row_id").alias("row_id"), F.col("row_text").alias("row_text"))
 
 
-def generalised(docs: DataFrame, different: DataFrame, id_col: str, text_col: str, leading: int, agreement: float) -> DataFrame:
+def generalised(rows: DataFrame, different: DataFrame, agreement: float) -> DataFrame:
     """(line, leaf) of the lines that belong to the template of their leaf."""
     leaves = different.groupBy("leaf").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("n")).filter("n > 1 AND NOT first <=> last")
-    lines = parsed_lines(docs, id_col, text_col, leading).select("leaf", "line", "words")
-    some = staged(lines.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line", "leaf"]), "leaf-lines").withColumn("tokens", F.split("words", " ")).drop("words")
+    some = staged(rows.select("leaf", "line", "words").join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line", "leaf"]), "leaf-lines").withColumn("tokens", F.split("words", " ")).drop("words")
     counts = some.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     modal = counts.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     modal = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
@@ -66,14 +63,14 @@ def generalised(docs: DataFrame, different: DataFrame, id_col: str, text_col: st
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING, agreement: float = LEAST_AGREEMENT) -> DataFrame:
     """(row_id, row_text, line_no) of every line to drop."""
-    rows = staged(parsed_lines(docs, id_col, text_col, leading).drop("words"), "lines")
+    rows = staged(parsed_lines(docs, id_col, text_col, leading), "lines")
     different = staged(rows.groupBy("line", "leaf").agg(F.min(_document()).alias("first"), F.max(_document()).alias("last"), F.count("*").alias("n")), "different-lines")
-    members = generalised(docs, different, id_col, text_col, leading, agreement).withColumn("member", F.lit(True))
+    members = generalised(rows, different, agreement).withColumn("member", F.lit(True))
     named = different.join(members, ["line", "leaf"], "left").withColumn("template", F.when(F.col("member"), F.struct(F.lit(True).alias("whole"), F.col("leaf").alias("id"))).otherwise(F.struct(F.lit(False).alias("whole"), F.col("line").alias("id"))))
     named = staged(named.select("line", "n", "first", "last", "template"), "named-lines")
     recurring = named.groupBy("template").agg(F.min("first").alias("keeper"), F.max("last").alias("other"), F.count("*").alias("lines")).filter("NOT keeper <=> other")
     facts = staged(attach(named.drop("first", "last"), staged(recurring.select("template", "keeper", "lines"), "recurring"), "template", "lines").select("line", "n", "keeper"), "line-facts")
-    return attach(rows, facts, "line", "n").filter(~_document().eqNullSafe(F.col("keeper"))).select("row_id", "row_text", "line_no")
+    return attach(rows.drop("words"), facts, "line", "n").filter(~_document().eqNullSafe(F.col("keeper"))).select("row_id", "row_text", "line_no")
 
 
 def _document_drops(docs: DataFrame, id_col: str, text_col: str, leading: int, agreement: float) -> DataFrame:
