@@ -1,7 +1,8 @@
 """Training corpus from raw documents: five stages, each a function of (spark, docs, sf_dir) that works on all it is given.
 
-Documents that the quality classifier rejects go; of equal texts one stays; of each group of near duplicates one stays;
-sources are mixed to tempered weights, by which documents of small sources come up to twice; what is left is encoded.
+Documents that the quality classifier rejects go; of equal texts one stays; of each group of near duplicates (Jaccard
+similarity of 0.8 or more of 5-word shingles) one stays; sources are mixed to tempered weights, by which documents of
+small sources come up to twice; what is left is encoded.
 All stages but the last return the columns of ``documents``."""
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuespark.llm import bpe, exact_dedup, mixing, quality, simhash
+from cuespark.llm import bpe, exact_dedup, mixing, quality, similar
 from cuespark.llm.common import staged
 
 
@@ -22,7 +23,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return similar.drop_similar(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
