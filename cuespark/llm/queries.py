@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, pages, quality, rules, secrets, simhash, templates
+from . import bpe, exact_dedup, langid, mixing, pages, quality, ranked, rules, secrets, simhash, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +82,8 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_page_differencing")
 def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op13_ranked_search")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
