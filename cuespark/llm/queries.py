@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, langid, mixing, pages, quality, ranked, rules, secrets, simhash, templates
+from . import bpe, conversations, exact_dedup, langid, mixing, pages, quality, ranked, rules, secrets, simhash, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,3 +87,8 @@ def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_ranked_search")
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_conversation_tables")
+def op11_conversation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit_damaged(table(spark, sf_dir, "conversations"))
