@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, conversations, exact_dedup, langid, mixing, pages, quality, ranked, rules, secrets, simhash, templates
+from . import bpe, conversations, exact_dedup, langid, mixing, pages, quality, ranked, regions, rules, secrets, simhash, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,3 +92,8 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_conversation_tables")
 def op11_conversation_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_jaccard_regions")
+def op12_jaccard_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.jaccard_components(table(spark, sf_dir, "documents"))
