@@ -31,14 +31,15 @@ SHINGLE_WORDS = 4
 PERCENT = 85
 RADIUS = 1 - PERCENT / 100
 SEED = 42
-#: Counting buckets of shingles, buckets of a row in which counts travel, classes of a signature.
+#: Counting buckets of shingles, buckets of a row in which counts travel, classes of a signature, bits of a filter.
 BUCKET_BITS = 20
+FILTER_BITS = 22
 SLICE = 1 << 12
 CLASSES = 64
 #: Documents of one shingle that a task compares; those of a more frequent one are all tied together.
 RUN = 1 << 15
 #: Shingles of a region that one task joins.
-PART = 1 << 22
+PART = 1 << 20
 PIVOTS = 64
 LEAF = 12
 #: A cell of a region at least this large, in hundredths, is compared directly.
@@ -289,7 +290,8 @@ class Region:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array(list(map(len, sets)), np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        different, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        different, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = flat.astype(np.int32)
         self.mark = np.zeros(len(different), bool)
         self.label = np.arange(len(sets))
         self.links: list[tuple[int, int]] = []
@@ -300,7 +302,7 @@ class Region:
         sizes = self.sizes[others]
         offsets = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         at = np.repeat(self.starts[others] - offsets, sizes) + np.arange(sizes.sum())
-        out = np.add.reduceat(self.mark[self.flat[at]].astype(np.int64), offsets)
+        out = np.add.reduceat(self.mark[self.flat[at]], offsets, dtype=np.int64)
         self.mark[own] = False
         return out
 
@@ -446,7 +448,7 @@ def region_links(rows: DataFrame, part: int = PART) -> DataFrame:
     links, parents = None, None
     while True:
         large = totals.filter(F.col("total") > part)
-        small = rows.join(totals.filter(F.col("total") <= part).select("region"), "region")
+        small = rows.join(large.select("region"), "region", "left_anti")
         found = small.select("region", "fp", "hashes").repartition("region").sortWithinPartitions("region", "fp").mapInArrow(_join_regions, "a bigint, b bigint")
         found = staged(found, "links")
         links = found if links is None else links.unionByName(found)
@@ -475,6 +477,31 @@ def _direct_links(rows: DataFrame, stuck: DataFrame, part: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- operator
+def member_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(region, fp, size, hashes) of the documents that ``members`` names.
+
+    A filter of 2^22 bits on the texts' hashes goes to all tasks, so that few other documents are hashed and moved."""
+    bit = F.pmod("first.row_text", F.lit(1 << FILTER_BITS))
+    words = members.select(bit.alias("bit")).groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("bits"))
+    bits = np.zeros(1 << FILTER_BITS >> 6, np.int64)
+    for row in words.collect():
+        bits[row.word] = row.bits
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.flatnonzero(shared.value[batch.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)])
+            for at in range(0, len(some), 512):
+                part = batch.take(pa.array(some[at:at + 512]))
+                sets = [shingle_set(t.as_py()) for t in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "key", "size", "hashes"])
+
+    source = docs.select(F.struct(F.col(id_col).alias("x")).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+    found = source.mapInArrow(each, f"id {source.schema['id'].dataType.simpleString()}, key bigint, size bigint, hashes binary")
+    named = members.select(F.struct(F.col("first.row_id").alias("x")).alias("id"), F.col("first.row_text").alias("key"), "region", "fp")
+    return found.join(named, ["id", "key"]).select("region", "fp", "size", "hashes")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, part: int = PART) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links of at least 85 % reach, of every row of ``docs``.
 
@@ -492,15 +519,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = staged(signed.repartition("region").sortWithinPartitions("region", "fp").mapInArrow(_tied(run), "a bigint, b bigint"), "ties")
     tied = components(ties).select(F.col("node").alias("fp"), F.col("root").alias("region"))
     members = staged(classes.select("fp", "first", "size").join(tied, "fp"), "members")
-    texts = docs.select(F.struct(F.col(id_col).alias("x")).alias("__id"), text_key(F.col(text_col)).alias("__text"), F.col(text_col).cast("binary").alias("text"))
-    named = members.select(F.struct(F.col("first.row_id").alias("x")).alias("__id"), F.col("first.row_text").alias("__text"), "region", "fp")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(map(len, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["region", "fp", "size", "hashes"])
-
-    sets = staged(texts.join(named, ["__id", "__text"]).select("region", "fp", "text").mapInArrow(hashed, "region bigint, fp bigint, size bigint, hashes binary"), "sets")
+    sets = staged(member_sets(docs, members, id_col, text_col), "sets")
     joined = components(region_links(sets, part)).select(F.col("node").alias("fp"), "root")
     with_root = staged(classes.select("fp", F.col("first.row_id").alias("rep"), "n").join(joined, "fp", "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")), "roots")
     best = with_root.join(joined.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("low"))
