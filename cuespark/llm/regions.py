@@ -369,75 +369,105 @@ def _join_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         region.join(np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array([fps[link[i]] for link in region.links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    for batch in batches:
-        for name, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if name != now or not started:
-                if len(held) > 1:
-                    yield done()
-                now, held, started = name, {}, True
-            held[fp] = hashes
+    for name, fp, hashes in _rows(batches):
+        if name != now or not started:
+            if len(held) > 1:
+                yield done()
+            now, held, started = name, {}, True
+        held[fp] = hashes
     if len(held) > 1:
         yield done()
 
 
 # ---------------------------------------------------------------- metric join over tasks
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of Python values, made for few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (region, fp, hashes) of possible pivots, sorted by region, to those further than twice the radius from all
+    chosen before them: pivots side by side would repeat a whole group in the cell of each."""
+    now, held, started = None, {}, False
+
+    def done() -> pa.RecordBatch:
+        fps, region = list(held), Region([np.frombuffer(x, np.uint64) for x in held.values()])
+        left, chosen = np.arange(len(fps)), []
+        while len(left):
+            chosen.append(int(left[0]))
+            left = left[1:][region.compare(chosen[-1], left[1:])[0] > 2 * RADIUS] if len(left) > 1 else left[1:]
+        return pa.RecordBatch.from_arrays([pa.array([now] * len(chosen), pa.int64()), pa.array([fps[i] for i in chosen], pa.int64())], ["region", "fp"])
+
+    for region, fp, hashes in _rows(batches):
+        if region != now or not started:
+            if held:
+                yield done()
+            now, held, started = region, {}, True
+        held[fp] = hashes
+    if held:
+        yield done()
+
+
 def _assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (region, part, pivot, fp, hashes) sorted by region, part and pivots first: links with pivots, and each set in
-    the cell of its nearest pivot and in those within the window."""
-    now, fps, sets, members = None, [], [], []
+    """Rows (region, part, pivot, fp, hashes) sorted by region, part and pivots first: each set in the cell of its nearest
+    pivot and in those within the window, and which pivots it is linked with."""
+    now, fps, sets, members, size = None, [], [], [], 0
 
-    def done() -> Iterator[pa.RecordBatch]:
+    def done() -> pa.RecordBatch:
         region = Region(sets + [np.frombuffer(x, np.uint64) for _, x in members])
         own = np.arange(len(sets), len(sets) + len(members))
         found = [region.compare(i, own) for i in range(len(sets))]
         distance, linked = np.array([d for d, _ in found]).T, np.array([x for _, x in found]).T
         home = distance.argmin(axis=1)
         inside = (distance <= distance.min(axis=1)[:, None] + 2 * RADIUS + _SLACK) & (np.arange(len(sets)) <= home[:, None])
-        at, cell = np.nonzero(inside)
-        name = [m[0] for m in members]
-        rows = [[now[0]] * len(at), [fps[c] for c in cell], [name[i] for i in at], linked[at, cell].tolist(), distance[at, cell].tolist(), (home[at] == cell).tolist(), [members[i][1] for i in at]]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["region", "cell", "fp", "linked", "distance", "own", "hashes"])
+        at, cell = np.nonzero(inside | linked)
+        rows = [[now[0]] * len(at), [fps[c] for c in cell], [members[i][0] for i in at], linked[at, cell].tolist(), distance[at, cell].tolist(), (home[at] == cell).tolist(), inside[at, cell].tolist()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.bool_(), pa.bool_()]
         members.clear()
-
-    for batch in batches:
-        for region, part, pivot, fp, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if now != (region, part):
-                if members:
-                    yield from done()
-                now, fps, sets = (region, part), [], []
-            if pivot:
-                fps.append(fp)
-                sets.append(np.frombuffer(hashes, np.uint64))
-            else:
-                members.append((fp, hashes))
-                if len(members) >= 512:
-                    yield from done()
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["region", "cell", "fp", "linked", "distance", "own", "inside"])
+
+    for region, part, pivot, fp, hashes in _rows(batches):
+        if now != (region, part):
+            if members:
+                yield done()
+            now, fps, sets, size = (region, part), [], [], 0
+        if pivot:
+            fps.append(fp)
+            sets.append(np.frombuffer(hashes, np.uint64))
+        else:
+            members.append((fp, hashes))
+            size += len(hashes)
+            if len(members) >= 512 or size >= 1 << 23:
+                yield done()
+                size = 0
     if members:
-        yield from done()
+        yield done()
 
 
 def split_regions(rows: DataFrame, large: DataFrame, part: int) -> tuple[DataFrame, DataFrame]:
     """Links with pivots (a, b), and (region, fp, size, hashes, parent) of the cells of ``large`` regions that are still to
     be joined.  ``large`` has region, sets and total (their shingles)."""
-    picked = rows.join(large, "region").withColumn("parts", F.ceil(F.col("total") / part).cast("int"))
+    mine = rows.join(large.withColumn("parts", F.ceil(F.col("total") / part).cast("int")), "region")
     draw = F.shiftright(F.xxhash64("region", "fp"), 1).cast("double") / float(1 << 62)  # uniform between -1 and 1
     share = F.least(F.lit(PIVOTS), 4 * F.col("parts")) / F.col("sets")
-    first = rows.join(large.select("region"), "region").groupBy("region").agg(F.min("fp").alias("first"))
-    picked = picked.join(first, "region").withColumn("pivot", (F.abs(draw) < share) | (F.col("fp") == F.col("first")))
+    first = mine.groupBy("region").agg(F.min("fp").alias("first"))
+    possible = mine.join(first, "region").filter((F.abs(draw) < share) | (F.col("fp") == F.col("first"))).select("region", "fp", "hashes")
+    chosen = staged(possible.repartition("region").sortWithinPartitions("region", F.xxhash64("fp")).mapInArrow(_apart, "region bigint, fp bigint"), "pivots")
     columns = ["region", "part", "pivot", "fp", "hashes"]
-    members = picked.withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("pivot", F.lit(False)).select(*columns)
-    pivots = picked.filter("pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns)
-    order = ["region", "part", F.desc("pivot"), "fp"]
-    placed = members.unionByName(pivots).repartition("region", "part").sortWithinPartitions(*order)
-    kind = "region bigint, cell bigint, fp bigint, linked boolean, distance double, own boolean, hashes binary"
+    members = mine.withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("pivot", F.lit(False)).select(*columns)
+    pivots = mine.join(chosen, ["region", "fp"]).withColumn("pivot", F.lit(True)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*columns)
+    placed = members.unionByName(pivots).repartition("region", "part").sortWithinPartitions("region", "part", F.desc("pivot"), "fp")
+    kind = "region bigint, cell bigint, fp bigint, linked boolean, distance double, own boolean, inside boolean"
     assigned = staged(placed.mapInArrow(_assign, kind), "cells")
     links = assigned.filter("linked").select(F.col("cell").alias("a"), F.col("fp").alias("b"))
-    outer = assigned.filter("not linked").groupBy("region", "cell").agg(F.min("distance").alias("outer"))
-    reach = assigned.filter("own").groupBy("region", "cell").agg((F.max("distance") + RADIUS + _SLACK).alias("reach"))
-    left = assigned.join(reach, ["region", "cell"]).filter(F.col("own") | (F.col("distance") <= F.col("reach")))
+    near = assigned.filter("inside")
+    outer = near.filter("not linked").groupBy("region", "cell").agg(F.min("distance").alias("outer"))
+    reach = near.filter("own").groupBy("region", "cell").agg((F.max("distance") + RADIUS + _SLACK).alias("reach"))
+    left = near.join(reach, ["region", "cell"]).filter(F.col("own") | (F.col("distance") <= F.col("reach")))
     left = left.join(outer, ["region", "cell"]).filter(~F.col("linked") | (F.col("distance") >= F.col("outer") - RADIUS - _SLACK))
-    cell = left.select(F.xxhash64("region", "cell").alias("region"), "fp", (F.length("hashes") / 8).cast("bigint").alias("size"), "hashes", F.col("region").alias("parent"))
+    cell = left.join(rows, ["region", "fp"]).select(F.xxhash64("region", "cell").alias("region"), "fp", "size", "hashes", F.col("region").alias("parent"))
     return links, cell
 
 
