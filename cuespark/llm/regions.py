@@ -10,7 +10,7 @@ split into cells by many tasks (``split_regions``), others within one (``Region`
 Unrelated documents lie at a distance of nearly 1 from every pivot, so the windows of cells over the whole table would hold
 everything.  The first regions therefore come from single shingles: of sets that are linked, the first 15 % in any common
 order share one.  The order is by rising frequency, from counts of all shingles in 2^20 buckets.  Within such a region, those
-are tied together whose sizes and counts of shingles in 64 classes allow a link (both are exact bounds); what is tied
+are tied together whose sizes and counts of shingles in 64 classes, or more for long sets, allow a link (both are exact bounds); what is tied
 together, over all shingles, is a first region."""
 
 from __future__ import annotations
@@ -71,18 +71,26 @@ def signature(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes()
 
 
+def long_signature(hashes: np.ndarray) -> bytes | None:
+    """As ``signature`` in more classes, a power of two of about a sixteenth of the set's size; null for short sets."""
+    if len(hashes) <= 16 * CLASSES:
+        return None
+    classes = 1 << ((len(hashes) - 1) // 16).bit_length()
+    return np.minimum(np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes), 65535).astype(np.uint16).tobytes()
+
+
 def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def set_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (row_id, row_text, fp, size, signature) of all documents, and (slice, counts) of their shingles; one pass.
+    """Rows (row_id, row_text, fp, size, signature, long_signature) of all documents, and (slice, counts) of their shingles; one pass.
 
     A set that a task meets again is counted once."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << BUCKET_BITS, np.int64), set()
-        names = ["row_id", "row_text", "fp", "size", "signature", "slice", "counts"]
+        names = ["row_id", "row_text", "fp", "size", "signature", "long_signature", "slice", "counts"]
         kind = None
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(2)]
@@ -97,18 +105,18 @@ def set_rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
                 counts += np.bincount(buckets(np.concatenate(new)), minlength=len(counts))
             n = len(sets)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(signature, sets)), pa.binary()),
-                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                                              pa.array(list(map(long_signature, sets)), pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         if kind is not None:
             parts = counts.reshape(-1, SLICE)
             held = np.flatnonzero(parts.any(axis=1))
             n = len(held)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary())), pa.array(held.astype(np.int32)),
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *(pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())), pa.array(held.astype(np.int32)),
                                                   pa.array([zlib.compress(parts[i].tobytes(), 1) for i in held], pa.binary())], names)
 
     source = docs.select(F.col(id_col).alias("row_id"), text_key(F.col(text_col)).alias("row_text"), F.col(text_col).cast("binary").alias("text"))
     kind = source.schema["row_id"].dataType.simpleString()
-    both = staged(source.mapInArrow(each, f"row_id {kind}, row_text bigint, fp bigint, size bigint, signature binary, slice int, counts binary"), "shingle-sets")
+    both = staged(source.mapInArrow(each, f"row_id {kind}, row_text bigint, fp bigint, size bigint, signature binary, long_signature binary, slice int, counts binary"), "shingle-sets")
     return both.filter("slice is null").drop("slice", "counts"), both.filter("slice is not null").select("slice", "counts")
 
 
@@ -221,10 +229,29 @@ def _may_link(sizes: np.ndarray, signs: np.ndarray, size: np.ndarray, sign: np.n
     return (100 * np.minimum(sizes, size) >= PERCENT * np.maximum(sizes, size)) & ((100 - PERCENT) * total >= (100 + PERCENT) * apart)
 
 
+def _may_link_long(total: int, a: bytes, b: bytes) -> bool:
+    """The same bound by the signatures of two long sets, in the classes of the one that has fewer."""
+    x, y = (np.frombuffer(s, np.uint16).astype(np.int64) for s in (a, b))
+    classes = min(len(x), len(y))
+    x, y = (z.reshape(-1, classes).sum(axis=0) for z in (x, y))
+    # a full class may hold more than it counts: leave those out
+    open_ = (x < 65535) & (y < 65535)
+    return (100 - PERCENT) * total >= (100 + PERCENT) * int(np.abs(x - y)[open_].sum())
+
+
 def _tied(run: int):
-    """Rows (region, fp, size, signature) sorted by region and fp to edges that tie together what may be linked."""
+    """Rows (region, fp, size, signature, long_signature) sorted by region and fp to edges that tie together what may be
+    linked."""
+
+    def ties(regions: np.ndarray, fps: np.ndarray, sizes: np.ndarray, signs: np.ndarray, longs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def hold(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """Of pairs of positions that may be linked, those that long signatures leave."""
+            long = np.flatnonzero(np.minimum(sizes[a], sizes[b]) > 16 * CLASSES)
+            keep = np.ones(len(a), bool)
+            for i in long.tolist():
+                keep[i] = _may_link_long(int(sizes[a[i]] + sizes[b[i]]), longs[a[i]], longs[b[i]])
+            return keep
 
-    def ties(regions: np.ndarray, fps: np.ndarray, sizes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = np.flatnonzero(np.concatenate(([True], regions[1:] != regions[:-1])))
         lengths = np.diff(np.append(starts, len(regions)))
         small = np.repeat(lengths <= 8, lengths)
@@ -232,6 +259,7 @@ def _tied(run: int):
         for step in range(1, min(8, len(fps))):
             at = np.flatnonzero((regions[step:] == regions[:-step]) & small[step:])
             at = at[_may_link(sizes[at], signs[at], sizes[at + step], signs[at + step])]
+            at = at[hold(at, at + step)]
             a.append(fps[at])
             b.append(fps[at + step])
         for start, n in zip(starts[lengths > 8].tolist(), lengths[lengths > 8].tolist(), strict=True):
@@ -244,6 +272,8 @@ def _tied(run: int):
                     high = np.searchsorted(sizes[left], 100 * sizes[i] // PERCENT, "right")
                     near = np.zeros(len(left), bool)
                     near[low:high] = _may_link(sizes[left[low:high]], signs[left[low:high]], sizes[i], signs[i])
+                    close = np.flatnonzero(near)
+                    near[close] = hold(left[close], np.full(len(close), i))
                     found, left = left[near], left[~near]
                     queue.extend(found.tolist())
                     a.append(np.full(len(found), centre))
@@ -261,6 +291,7 @@ def _tied(run: int):
                 continue
             now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             now.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, CLASSES))
+            now.append(np.array([*batch.column(4).to_pylist(), b""], object)[:-1])
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if over is not None:
                 same = held[0] == over[0]
@@ -542,10 +573,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows, slices = set_rows(docs, id_col, text_col)
     classes = staged(rows.filter("size > 0").groupBy("fp").agg(F.min(F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_text")).alias("first"), F.count("*").alias("n"),
-                                                               F.any_value("size").alias("size"), F.any_value("signature").alias("signature")), "classes")
+                                                               *[F.any_value(c).alias(c) for c in ("size", "signature", "long_signature")]), "classes")
     keys = key_rows(spark, docs, text_col, bucket_counts(slices)).repartition("key").sortWithinPartitions("key", "fp")
     groups = staged(keys.mapInArrow(_runs(run), "region bigint, fp bigint"), "key-regions")
-    signed = groups.join(classes.select("fp", "size", "signature"), "fp").select("region", "fp", "size", "signature")
+    marks = ["fp", "size", "signature", "long_signature"]
+    signed = groups.join(classes.select(*marks), "fp").select("region", *marks)
     ties = staged(signed.repartition("region").sortWithinPartitions("region", "fp").mapInArrow(_tied(run), "a bigint, b bigint"), "ties")
     tied = components(ties).select(F.col("node").alias("fp"), F.col("root").alias("region"))
     members = staged(classes.select("fp", "first", "size").join(tied, "fp"), "members")

@@ -126,6 +126,22 @@ def test_a_large_group_costs_its_size():
     assert len(set(region.label.tolist())) == 1 and sum(compared) < 20 * len(sets)
 
 
+def test_signatures_are_bounds():
+    rng = np.random.default_rng(2)
+    for n in (50, 900, 1100, 5000, 20_000):
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share in (0.0, 0.05, 0.08, 0.3, 1.0):
+            other = np.unique(np.concatenate((base[int(len(base) * share):], rng.integers(0, 1 << 63, int(n * share)).astype(np.uint64))))
+            common = len(np.intersect1d(base, other))
+            linked = 100 * common >= 85 * (len(base) + len(other) - common)
+            signs = [np.frombuffer(regions.signature(x), np.uint8) for x in (base, other)]
+            may = bool(regions._may_link(np.array([len(base)]), signs[0][None], np.array([len(other)]), signs[1][None])[0])
+            if may and n > 1024 + 50:
+                may = regions._may_link_long(len(base) + len(other), regions.long_signature(base), regions.long_signature(other))
+            assert may or not linked
+            assert share < 1 or not may  # sets with nothing in common are told apart at every size
+
+
 def test_odd_rows(spark):
     rows = [(1, "one two three"), (2, "ONE  two\tthree"), (3, None), (4, ""), (None, " \n"), (5, "one two three four"), (None, "one two three"), (None, "lone text here"),
             (6, "word " * 100_000), (6, "word " * 100_000), (7, "word word word word"), (8, "É é É é"), (9, "é é é é")]
