@@ -282,9 +282,22 @@ def _tied(run: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, over = None, None
+        above: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = x = above.get(up, up)
+            return x
 
         def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            """The edges that tie together what the task's edges so far do not."""
+            new = []
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                rx, ry = root(x), root(y)
+                if rx != ry:
+                    above[rx] = ry
+                    new.append((x, y))
+            return pa.RecordBatch.from_arrays([pa.array([e[i] for e in new], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
