@@ -40,7 +40,7 @@ CHROME_WORDS = frozenset(
     "comment comments discussion disqus respond reply replies complementary contentinfo search pagination pager toolbar widget skip-link".split())
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*+>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>|<[/!?A-Za-z][^>]*+\Z|[^<]++|<", re.S | re.I)
 MARKS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS_OF_MARK = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
@@ -48,30 +48,65 @@ WORDS_OF_MARK = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
 ABOUT_OTHERS = frozenset(("has", "no", "with", "without", "is"))
 SELF_ENDING = frozenset("li dt dd tr td th option".split())
 _CONTENT, _FREE, _CHROME = 2, 1, 0
+#: Marks of readers' comments, which hold whatever their size, and elements that are never a page's text.
+COMMENT_WORDS = frozenset("comment comments disqus respond reply replies".split())
+NEVER_TEXT = frozenset("nav header footer aside".split())
+#: Characters outside links from which a marked part of an article is text.
+LONG_PART = 200
 
 
-def _is_chrome(name: str, attributes: str) -> bool:
+def _is_chrome(name: str, attributes: str) -> str:
+    """What makes an element chrome: its name, a mark of comments, another mark, or nothing (an empty text)."""
     if name in CHROME:
-        return True
+        return "name"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
+    why = ""
     for m in MARKS.finditer(attributes):
         for word in WORDS_OF_MARK.findall((m[1] or m[2] or m[3] or "").lower()):
             parts = re.split("[-_]+", word)
             first, last = parts[0], parts[-1]
             if word in CHROME_WORDS or (first not in ABOUT_OTHERS and (first in CHROME_WORDS or last in CHROME_WORDS)):
-                return True
-    return bool(HIDDEN.search(attributes))
+                if COMMENT_WORDS & {word, first, last}:
+                    return "comments"
+                why = "mark"
+    return "hidden" if HIDDEN.search(attributes) else why
+
+
+class _Part:
+    """An element taken for chrome: what is in it."""
+
+    def __init__(self, no: int, name: str, why: str, in_article: bool):
+        self.no, self.name, self.why, self.in_article = no, name, why, in_article
+        self.plain = 0  # characters outside links
+        self.article = False
 
 
 def page_lines(source: str | None) -> list[tuple[str, int]]:
     """(text, region) of each block of a page: 2 in an article, 1 elsewhere, 0 in chrome.
 
-    White space, also between blocks' inline parts, becomes one space; character references are decoded."""
+    White space, also between blocks' inline parts, becomes one space; character references are decoded.  Chrome is not
+    taken at its word where it holds the page's only article, most of the page's text outside links (unless it is a menu,
+    header, footer, sidebar or comments), or, by a mark within an article, a long text: such elements count as any other."""
+    lines, parts = _read(source, frozenset())
+    if not parts:
+        return lines
+    whole = sum(len(t) for t, _ in lines)
+    lone = not any(region == _CONTENT for _, region in lines)
+    text = {p.no for p in parts if p.why not in ("comments", "hidden") and (
+        (lone and p.article) or (p.plain * 2 > whole and lone and p.name not in NEVER_TEXT) or (p.in_article and p.why == "mark" and p.plain >= LONG_PART))}
+    return _read(source, frozenset(text))[0] if text else lines
+
+
+def _read(source: str | None, text_parts: frozenset[int]) -> tuple[list[tuple[str, int]], list[_Part]]:
+    """Lines with their regions, and the parts taken for chrome; those numbered in ``text_parts`` are not."""
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that matter, with the region outside them
     region = _FREE
+    chrome: list[_Part] = []
+    around: list[tuple[int, _Part]] = []  # open parts taken for chrome, by the height of the stack outside them
+    links = no = 0
 
     def close_block() -> None:
         text = " ".join("".join(parts).split()) if parts else ""
@@ -85,11 +120,17 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             text = m[0]
             if m[1] is None and (text == "<" or text[0] != "<"):
                 parts.append(html.unescape(text) if "&" in text else text)
+                if around and not links:
+                    size = len(text.strip())
+                    for _, part in around:
+                        part.plain += size
             elif m[1] and m[1].lower() not in ("script", "style"):
                 close_block()
             continue
         name, attributes = name.lower(), m[4] if m[3] else m[7]
         if name in INLINE:
+            if name == "a":
+                links = 0 if m[2] or m[5] else 1
             continue
         if name in VOID:
             if name == "br":
@@ -101,12 +142,20 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
         if not (m[2] or m[5]):
             if stack and (stack[-1][0] == "p" or (name in SELF_ENDING and stack[-1][0] == name)):
                 region = stack.pop()[1]
-            inner = region
-            if region != _CHROME and _is_chrome(name, attributes):
+            while around and around[-1][0] >= len(stack):
+                around.pop()
+            inner, no = region, no + 1
+            why = _is_chrome(name, attributes)
+            if why and no not in text_parts:
+                part = _Part(no, name, why, region == _CONTENT)
+                chrome.append(part)
+                around.append((len(stack), part))
                 inner = _CHROME
-            elif region == _FREE and name in ARTICLE:
-                inner = _CONTENT
-            if inner != region or any(n == name for n, _ in stack):
+            elif name in ARTICLE:
+                for _, part in around:
+                    part.article = True
+                inner = _CONTENT if region == _FREE else region
+            if inner != region or (around and around[-1][0] == len(stack)) or any(n == name for n, _ in stack):
                 stack.append((name, region))
                 region = inner
         else:
@@ -114,8 +163,10 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             if at is not None:
                 region = stack[at][1]
                 del stack[at:]
+                while around and around[-1][0] >= at:
+                    around.pop()
     close_block()
-    return out
+    return out, chrome
 
 
 def shared_positions(a: list[int], b: list[int]) -> list[int]:

@@ -59,6 +59,24 @@ def test_structure():
     assert text("<a " + '"' * 4001) == ""
 
 
+def test_nothing_of_a_page_is_lost_to_a_name():
+    text = lambda s: "\n".join(t for _, t, _ in pages.candidate_lines(pages.page_lines(s)))
+    assert text("<article><p>one</p><svg/><p>two</p><math display='x' /><p>three</p><svg><text>no</text></svg></article>") == "one\ntwo\nthree"
+    assert text("<body><title-card>a</title-card><p>b</p></body>") == "a\nb"
+    body = "<p>The story goes on.</p><p>And ends.</p>"
+    story = "The story goes on.\nAnd ends."
+    assert text(f"<form id=aspnet><nav>m</nav><main>{body}</main></form>") == story
+    assert text(f"<div class='menu-open page'><header>h</header><article>{body}</article><footer>f</footer></div>") == story
+    assert text(f"<form><div class='nav-open'><nav><a>one</a></nav><div>{body}</div></div></form>") == story
+    assert text(f"<form action=find><input><label>Find</label></form><div>{body}</div>") == story
+    long = "Results differ by " + "more and less, " * 20
+    assert text(f"<article>{body}<section class='discussion'><p>{long}</p></section><div class='promo-text'>Buy now</div></article>") == f"{story}\n{long.strip()}"
+    assert text(f"<article>{body}<section class='comments'><p>{long}</p></section></article>") == story
+    assert text(f"<article>{body}</article><div id='comments'><article>{long}</article></div>") == story
+    assert text(f"<div>{body}</div><div id='comments'><p>{long}</p></div><nav>{long}</nav>") == story
+    assert len(text("<form>" * 20_000 + "deep" + "</form>" * 20_000)) in (0, 4)
+
+
 def test_differencing(spark):
     page = lambda own, rest="": f"<div>Menu of the site</div><div>{own}</div>{rest}<div>Made by us</div>"
     rows = [(1, "http://A.com/x/1?q=1", page("first"), "", "", ""), (2, "https://a.com/x/2", page("second"), "", "", ""), (3, "http://b.com/x/1", page("alone"), "", "", ""),
