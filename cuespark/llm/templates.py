@@ -2,8 +2,9 @@
 
 A line is parsed to a leaf of a tree of fixed depth: first by its number of tokens, then by its leading tokens, where
 tokens with digits or at-signs count as a variable field.  Within a leaf, the most frequent token of each position over
-the leaf's different lines makes its template, and positions where a line differs are variable; a line that agrees with
-the template on enough positions belongs to it, any other line is a template of its own.  A template that occurs in two
+the leaf's different lines makes its template, and positions where a line differs are variable; a line belongs to it that
+agrees on enough positions with the template and with the line of it that stays, that of the first document, as two
+lines can match a template in different places and share little.  Any other line is a template of its own.  A template that occurs in two
 or more documents is a repeated line: it stays in the document with the smallest id and is dropped from all others.
 
 Counting happens on hashes of different lines, combined before the shuffle; tokens move only for leaves that hold several
@@ -57,8 +58,11 @@ def generalised(rows: DataFrame, different: DataFrame, agreement: float) -> Data
     modal = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("template"))
     weights = some.groupBy("leaf").agg(F.count("*").alias("n"))
     joined = attach(some, staged(modal.join(weights, "leaf"), "templates"), "leaf", "n")
-    same = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: a == b), lambda x: x))
-    return joined.filter(same >= F.lit(agreement) * F.size("tokens")).select("line", "leaf")
+    alike = lambda other: F.size(F.filter(F.zip_with("tokens", other, lambda a, b: a == b), lambda x: x)) >= F.lit(agreement) * F.size("tokens")
+    near = staged(joined.filter(alike("template")).select("leaf", "line", "tokens").join(different.select("leaf", "line", "first"), ["leaf", "line"]), "near-lines")
+    # the template is a mixture: only lines that agree with the line which stays are the same line
+    stays = near.groupBy("leaf").agg(F.min_by("tokens", F.struct("first", "line")).alias("stays"), F.count("*").alias("n"))
+    return attach(near, staged(stays, "staying-lines"), "leaf", "n").filter(alike("stays")).select("line", "leaf")
 
 
 def repeated_lines(docs: DataFrame, id_col: str, text_col: str, leading: int = LEADING, agreement: float = LEAST_AGREEMENT) -> DataFrame:

@@ -6,11 +6,17 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import xxhash
+
 from cuespark.llm import templates
 
 SCHEMA = "doc_id bigint, text string, lang string, line string, leaf string, tokens string, drops string"
 
 
+def hashed(words):
+    return xxhash.xxh64(words.encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(words.encode(), seed=42).intdigest() >> 63)
+
+
 def naive(rows):
     """rows: (doc_id, text) with distinct ids; the text that stays of each."""
     leaves, uses = defaultdict(set), []
@@ -21,15 +27,19 @@ def naive(rows):
                 leaf = (len(tokens), tokens[:4])
                 leaves[leaf].add(tokens)
                 uses.append((doc, no, leaf, tokens))
-    docs_of = defaultdict(set)
-    for doc, _, leaf, _ in uses:
-        docs_of[leaf].add(doc)
+    docs_of, uses_of = defaultdict(set), defaultdict(list)
+    for use in uses:
+        docs_of[use[2]].add(use[0])
+        uses_of[use[2]].append(use)
     name = {}
     for leaf, lines in leaves.items():
         modal = [max(Counter(x[i] for x in lines).items(), key=lambda kv: (kv[1], kv[0].encode()))[0] for i in range(leaf[0])]
+        alike = lambda x, y: sum(a == b for a, b in zip(x, y, strict=True)) >= 0.6 * len(x)
+        near = [x for x in lines if len(lines) > 1 and len(docs_of[leaf]) > 1 and alike(x, modal)]
+        first = {x: min(doc for doc, _, _, y in uses_of[leaf] if x == y) for x in near}
+        stays = min(near, key=lambda x: (first[x], hashed(" ".join(x))), default=None)
         for x in lines:
-            whole = len(lines) > 1 and len(docs_of[leaf]) > 1 and sum(a == b for a, b in zip(x, modal, strict=True)) >= 0.6 * len(x)
-            name[leaf, x] = ("leaf", leaf) if whole else ("line", x)
+            name[leaf, x] = ("leaf", leaf) if x in first and alike(x, stays) else ("line", x)
     seen = defaultdict(set)
     for doc, _, leaf, x in uses:
         seen[name[leaf, x]].add(doc)
@@ -54,6 +64,13 @@ def test_fields_and_first_document(spark):
     assert got == {1: rows[1][1], 2: "own line two", 3: rows[2][1], 4: "more", 5: rows[4][1]} == naive(rows)
 
 
+def test_lines_that_share_only_their_front_stay(spark):
+    """Two sentences that meet a mixed template in different places are not one line."""
+    rows = [(1, "The old town of zulu apple yankee ant"), (2, "The old town of bravo tango charlie sierra"), (3, "The old town of bravo tango charlie hotel")]
+    got = {r.doc_id: r.text for r in templates.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got == naive(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, "x y z\nq", "", "", "", "", ""), (1, "x y z\nq", "", "", "", "", ""), (None, "x y z\nmine", None, None, None, None, None), (2, None, "", "", "", "", ""), (3, "", "", "", "", "", ""),
             (4, "x y z", "", "", "", "", ""), (5, "same\nsame\nsame", "", "", "", "", ""), (6, "long " * 100_000 + "\nx  y\tz", "", "", "", "", "")]
