@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space and words as the contracts define them: six ASCII characters separate words, nothing else does.
@@ -73,20 +73,49 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str, heavy: int
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(facts.filter(~hot), key))
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame, kept: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` named by ``kept`` (row_id, row_text), once each; ``rows`` has these two for every row.
-
-    A column ``copies`` of ``kept`` asks for that many of each.  The texts move once, to meet the kept keys; where the
-    table repeats whole (id, text) rows, they count as one."""
-    d = docs.select(F.struct("*").alias("__row"), F.struct(F.col(id_col).alias("x")).alias("__id"), text_key(F.col(text_col)).alias("__text"))
-    k = kept.select(F.struct(F.col("row_id").alias("x")).alias("__id"), F.col("row_text").alias("__text"), *["copies"] * ("copies" in kept.columns))
-    if rows.groupBy("row_id", "row_text").count().filter("count > 1").limit(1).count():
-        d = d.dropDuplicates(["__id", "__text"])
-    if "copies" in kept.columns:
-        d = d.join(k, ["__id", "__text"]).select("__row", F.explode(F.sequence(F.lit(1), "copies")))
-    else:
-        d = d.join(k, ["__id", "__text"], "left_semi")
-    return d.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+def keyed(docs: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Whole rows as ``__row`` with ``__key``, a struct of the given columns in which null equals null."""
+    return docs.select(F.struct("*").alias("__row"), F.struct(*[F.struct(c.alias("x")).alias(n) for n, c in keys.items()]).alias("__key"))
+
+
+def _columns(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+
+
+def _keys_of(kept: DataFrame, keys: dict[str, Column], *more: str) -> DataFrame:
+    return kept.select(F.struct(*[F.struct(F.col(n).alias("x")).alias(n) for n in keys]).alias("__key"), *more)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """All rows of ``docs`` whose keys ``kept`` has, repeated ones too.  ``keys`` names the columns of ``kept`` and says how
+    they come from ``docs``.  The texts move once, to meet the kept keys."""
+    return _columns(keyed(docs, keys).join(_keys_of(kept, keys), "__key", "left_semi"), docs)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """One row of ``docs`` for each key of ``kept``; where ``rows`` (the keys of all rows) repeats a key, the row with the
+    smallest hash of all its columns.  Only rows with kept keys are compared."""
+    found = keyed(docs, keys).join(_keys_of(kept, keys), "__key", "left_semi")
+    if rows.groupBy(*keys).count().filter("count > 1").limit(1).count():
+        found = found.groupBy("__key").agg(F.min_by("__row", F.xxhash64("__row")).alias("__row"))
+    return _columns(found, docs)
+
+
+def repeat_rows(docs: DataFrame, uses: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` as often as ``uses`` (the keys, copies) says.  Rows with equal keys share their copies evenly."""
+    d = keyed(docs, keys)
+    n = d.groupBy("__key").agg(F.count("*").alias("__n")).filter("__n > 1")
+    uses = staged(_keys_of(uses, keys, "copies").join(n, "__key", "left"), "uses")
+    single = d.join(uses.filter("__n is null"), "__key").select("__row", "copies")
+    several = uses.filter("__n is not null")
+    if several.limit(1).count():  # numbered in two steps, so that no key is sorted in one task
+        spread = staged(d.join(several, "__key").withColumn("__salt", (F.rand(7) * 64).cast("int")), "repeated")
+        before = Window.partitionBy("__key").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+        starts = spread.groupBy("__key", "__salt").count().withColumn("__start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+        no = F.row_number().over(Window.partitionBy("__key", "__salt").orderBy("__salt")) - 1 + F.col("__start")
+        share = F.expr("copies div __n") + (no < F.col("copies") % F.col("__n")).cast("int")
+        single = single.unionByName(spread.join(starts, ["__key", "__salt"]).select("__row", share.cast("int").alias("copies")).filter("copies > 0"))
+    return _columns(single.select("__row", F.explode(F.sequence(F.lit(1), "copies"))), docs)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, keep_rows, new_path, staged, text_key
+from .common import attach, keep_first, new_path, staged, text_key
 
 
 def normal_text(text: Column) -> Column:
@@ -86,4 +86,5 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """The documents that stay, with all their columns, for the same cases as ``mark_copies``."""
     index = index or DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "digest-index"), docs.schema[id_col].dataType.simpleString())
     rows = digest_rows(docs, id_col, text_col)
-    return keep_rows(docs, rows, find_copies(rows, index).filter("kept"), id_col, text_col)
+    kept = find_copies(rows, index).filter("kept")
+    return keep_first(docs, rows, kept, {"row_id": F.col(id_col), "row_text": text_key(F.col(text_col))})

@@ -18,11 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, keep_rows, staged, text_key
+from .common import WORD, attach, repeat_rows, staged, text_key
 
 #: Share of the greatest possible entropy that weights should reach, and how often a document may be used.
 TARGET_ENTROPY, MAX_REPEATS = 0.97, 2.0
 BLOCK_TOKENS, SLAB_BLOCKS, SEED = 1_000_000, 4096, 20
+#: Documents of a block at most, on average: those without words count for no tokens.
+BLOCK_ROWS = 100_000
 SECTIONS, PASSES = 32, 7
 
 
@@ -103,7 +105,7 @@ def deal(rows: DataFrame, sources: DataFrame, temperature: Temperature, block_to
     epochs = F.when(F.col("tokens") == 0, 1.0).when(F.abs(quota / F.col("tokens") - near) < 1e-7, near).otherwise(quota / F.col("tokens"))
     facts = staged(sources.select(
         "source", "documents", F.col("tokens").alias("source_tokens"), epochs.alias("epochs"),
-        F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens)).alias("blocks")), "source-facts")
+        F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens), F.ceil(F.col("documents") / BLOCK_ROWS)).alias("blocks")), "source-facts")
     block = F.floor(_unit(F.lit(seed), "row_id", "row_text") * F.col("blocks"))
     uses = attach(rows, facts, "source", "documents").withColumn("block", block).withColumn(
         "epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("epochs") - 1, F.lit(0)).cast("int")))).filter("epochs > 0")
@@ -146,4 +148,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sources = source_totals(rows)
     temperature = find_temperature(sources, **{k: v for k, v in options.items() if k in ("target_entropy", "max_repeats", "budget")})
     dealt = deal(rows, sources, temperature, **{k: v for k, v in options.items() if k in ("block_tokens", "seed")})
-    return keep_rows(docs, rows, dealt.groupBy("row_id", "row_text").agg(F.count("*").cast("int").alias("copies")), id_col, text_col)
+    uses = dealt.groupBy("row_id", "row_text", F.col("source.name").alias("source")).agg(F.count("*").cast("int").alias("copies"))
+    return repeat_rows(docs, uses, {"row_id": F.col(id_col), "row_text": text_key(F.col(text_col)), "source": F.col(source_col)})

@@ -152,10 +152,22 @@ def site_rates(judged: DataFrame, prior_good: float) -> DataFrame:
     return joined.select("site", "n", "host_rate", ((F.col("good") + k * F.col("host_rate")) / (F.col("n") + k)).alias("path_rate"))
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
+def fitting_rows(rows: DataFrame, known: DataFrame, limit: int = TRAIN_ROWS) -> list:
+    """The ``limit`` labelled rows with the smallest hashes of their ids.  Those with a hash that many more would precede
+    are left out before any task sends rows, so that what reaches the driver does not grow with the table."""
+    labelled = rows.select("row_id", "x").join(known, "row_id")
+    n = labelled.count()
+    share = (limit + 6 * limit**0.5) / max(n, 1)  # by six deviations enough
+    if share < 1:
+        labelled = labelled.filter(F.xxhash64("row_id") < F.lit(int((2 * share - 1) * (1 << 63))))
+    return labelled.orderBy(F.xxhash64("row_id"), "row_id").limit(limit).collect()
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str, label_id_col: str = "doc_id") -> DataFrame:
     rows = feature_rows(docs, id_col, text_col, host_col, path_col)
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("row_id")).agg(F.min("quality").alias("quality"))
-    sample = rows.select("row_id", "x").join(known, "row_id").orderBy(F.xxhash64("row_id"), "row_id").limit(TRAIN_ROWS).collect()
+    label_id = F.col(label_id_col)
+    known = labels.filter(label_id.isNotNull() & F.col("quality").isNotNull()).groupBy(label_id.alias("row_id")).agg(F.min("quality").alias("quality"))
+    sample = fitting_rows(rows, known)
     x = np.array([r.x for r in sample], float).reshape(-1, len(FEATURES))
     model = Additive.fit(x, np.array([r.quality > 0 for r in sample], float))
     scored = staged(with_evidence(rows, model), "evidence")
@@ -164,7 +176,7 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, h
     joined = attach(scored, sites, "site", "n")
     rate = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("path_rate")))
     score = 1 / (1 + F.exp(-(F.col("evidence") + F.ln(rate / (1 - rate)))))
-    return joined.select("row_id", "row_text", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= LEAST_SCORE).alias("kept"))
+    return joined.select("row_id", "row_text", "site", "evidence", "host_rate", "path_rate", score.alias("score"), (score >= LEAST_SCORE).alias("kept"))
 
 
 def classify_quality(
@@ -176,10 +188,11 @@ def classify_quality(
     statistics zero; a null host or path is a site of its own; repeated rows give a row each; null ids stay null and have
     no label.  Other columns play no part; an empty table gives no rows.  Documents without a URL are placed by the two
     columns given; for pages these are the host and a front part of the path."""
-    return score_rows(docs, labels, id_col, text_col, host_col, path_col).withColumnRenamed("row_id", "doc_id").drop("row_text")
+    return score_rows(docs, labels, id_col, text_col, host_col, path_col).withColumnRenamed("row_id", "doc_id").drop("row_text", "site")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """The documents that ``classify_quality`` keeps, with all their columns."""
-    rows = staged(score_rows(docs, labels, id_col, text_col, host_col, path_col).select("row_id", "row_text", "kept"), "quality")
-    return keep_rows(docs, rows, rows.filter("kept").distinct(), id_col, text_col)
+    """The documents that ``classify_quality`` keeps, with all their columns, repeated rows too; rows of one id and text are
+    judged by their own host and path."""
+    kept = score_rows(docs, labels, id_col, text_col, host_col, path_col).filter("kept").select("row_id", "row_text", "site.host", "site.path").distinct()
+    return keep_rows(docs, staged(kept, "quality"), {"row_id": F.col(id_col), "row_text": text_key(F.col(text_col)), "host": F.col(host_col).cast("string"), "path": F.col(path_col).cast("string")})

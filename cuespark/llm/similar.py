@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep_rows, staged, text_key
+from .common import components, keep_first, staged, text_key
 from .simhash import SEED, golay_index, golay_tables
 
 SHINGLE_WORDS = 5
@@ -248,4 +248,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no rows."""
     rows = sketch_rows(docs, id_col, text_col)
     kept = similar_classes(docs, rows, id_col, text_col).groupBy("root").agg(F.min("first").alias("first"))
-    return keep_rows(docs, rows, kept.select("first.row_id", "first.row_text"), id_col, text_col)
+    return keep_first(docs, rows, kept.select("first.row_id", "first.row_text"), {"row_id": F.col(id_col), "row_text": text_key(F.col(text_col))})

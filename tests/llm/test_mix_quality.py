@@ -125,6 +125,39 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(rows)
     assert all(r.kept == (r.doc_id is None or r.doc_id < 100) for r in got if r.doc_id is None or r.doc_id < 200)
     kept = quality.keep_good(docs, labels)
-    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect())[1] == 1
+    assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect())[1] == 2  # a repeated row stays repeated
     assert quality.classify_quality(docs, labels.limit(0)).filter("kept").count() == len(rows)
     assert quality.classify_quality(docs.limit(0), labels).count() == 0
+
+
+def test_repeated_rows_are_judged_and_kept_one_by_one(spark):
+    """No row goes because another equals it in id and text, nor because of repeats elsewhere in the table."""
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (1, "a b", "fr", "s"), (2, "c d", "en", "t"), (None, "e", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert Counter(map(tuple, quality.keep_good(docs, labels).collect())) == Counter(rows)
+    uses = Counter(u.source for u in mixing.mix(docs, max_repeats=2.0).collect())
+    mixed = Counter(map(tuple, mixing.mixed_documents(docs, max_repeats=2.0).collect()))
+    assert set(mixed) == set(rows) and sum(mixed.values()) == sum(uses.values())
+    for source, n in uses.items():
+        assert sum(k for r, k in mixed.items() if r[3] == source) == n
+
+
+def test_fitting_rows_are_those_of_a_plain_sort(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("row_id"), F.array(F.lit(1.0)).alias("x"))
+    known = spark.range(0, 30_000, 2).select(F.col("id").alias("row_id"), F.lit(1).alias("quality"))
+    want = [r.row_id for r in known.orderBy(F.xxhash64("row_id"), "row_id").limit(1000).collect()]
+    assert [r.row_id for r in quality.fitting_rows(rows, known, 1000)] == want
+    assert len(quality.fitting_rows(rows, known, 20_000)) == 15_000
+
+
+def test_rows_without_words_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("s").alias("source"))
+    uses = mixing.mix(docs).collect()
+    assert sorted(u.doc_id for u in uses) == list(range(600)) and len({u.block for u in uses}) == 12
+
+
+def test_equal_sources_and_shares(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "ab"[i % 2]) for i in range(40)], "doc_id bigint, text string, source string")
+    assert Counter(u.doc_id for u in mixing.mix(docs).collect()) == Counter(range(40))
