@@ -198,6 +198,16 @@ def sync_rollup(chunk_checks: DataFrame, chunks: DataFrame) -> DataFrame:
         *[F.coalesce(F.sum(c), zero).alias(c) for c in SUMMARY], F.coalesce(F.max("max_abs_drift_ms"), zero).alias("max_abs_drift_ms"))
 
 
+def sync_levels(chunk_checks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Summaries of every chunk, video and the whole corpus, as ``level`` says, from one aggregation by grouping sets."""
+    joined = chunks.join(chunk_checks.drop("total_ms"), [KEY, "chunk_index"], "left")
+    zero = F.lit(0).cast("long")
+    level = F.when(F.grouping(KEY) == 1, "corpus").when(F.grouping("chunk_index") == 1, "video").otherwise("chunk")
+    return joined.rollup(KEY, "chunk_index").agg(
+        level.alias("level"), F.count("*").alias("chunks"), *[F.coalesce(F.sum(c), zero).alias(c) for c in SUMMARY],
+        F.coalesce(F.max("max_abs_drift_ms"), zero).alias("max_abs_drift_ms"))
+
+
 def qa_checklist(rollup: DataFrame) -> DataFrame:
     """Four pass/fail rows per video."""
     checks = (("no drift over tolerance", "start_drift_over_tolerance"), ("nothing clipped", "clipped"), ("no overlaps", "overlaps"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..params import MixParams
 from ..session import stage
 from .ranges import attach, merge_ranges, neighbours
-from .scan import Axis, RunSum, scan
+from .scan import Axis, Lead, RunSum, scan
 
 KEY = "video_id"
 INT16_FULL = 32768.0
@@ -70,21 +70,57 @@ def _grid(lengths: DataFrame) -> DataFrame:
     return blocks.repartition(KEY, "__block").select(KEY, F.explode(F.sequence(first, F.least(first + BLOCK, F.col("n").cast("long")) - 1)).alias("sample_no"))
 
 
+def chunk_samples(chunks: DataFrame, rate_ms: int) -> DataFrame:
+    """Adds offset and n: the samples of each chunk (total_ms) on the grid of the whole track.
+
+    Borders of chunks are rounded on the track, so what a chunk has beyond a whole step is not lost but carried on."""
+    axis = Axis((KEY,), ("chunk_index",), F.floor(F.col("chunk_index") / 64).cast("long"))
+    timed = scan(chunks, axis, RunSum("__before", "total_ms", inclusive=False))
+    at = lambda ms: F.floor(ms / rate_ms).cast("long")
+    return timed.withColumn("offset", at(F.col("__before"))).withColumn("n", at(F.col("__before") + F.col("total_ms")) - F.col("offset")).drop("__before")
+
+
+def overlay_runs(clips: DataFrame, chunks: DataFrame, rate_ms: int) -> DataFrame:
+    """Stretches of equal value [from_no, to_no) of each chunk's sum of clips, in the samples of ``chunk_samples``.
+
+    A sweep over the ends of clips: each adds its amplitude at its first sample and takes it away behind its last, so the
+    work goes with the clips, not with their length.  Amplitudes count to a billionth and add up exactly."""
+    sized = chunks.filter("n > 0").select(KEY, "chunk_index", "n")
+    sample = lambda c: F.ceil(F.col(c) / rate_ms).cast("long")
+    inside = clips.join(sized, [KEY, "chunk_index"]).withColumns({
+        "__a": F.greatest(sample("placed_start_ms"), F.lit(0)), "__b": F.least(sample("placed_end_ms"), F.col("n"))}).filter("__a < __b")
+    change = F.col("amplitude").cast("decimal(28,9)")
+    ends = inside.select(KEY, "chunk_index", F.inline(F.array(
+        F.struct(F.col("__a").alias("from_no"), change.alias("change")), F.struct(F.col("__b").alias("from_no"), (-change).alias("change")))))
+    border = F.struct(F.lit(0).cast("long").alias("from_no"), F.lit(0).cast("decimal(28,9)").alias("change"))
+    borders = sized.select(KEY, "chunk_index", F.inline(F.array(border, border.withField("from_no", F.col("n")))))
+    steps = ends.unionByName(borders).groupBy(KEY, "chunk_index", "from_no").agg(F.sum("change").alias("change"))
+    axis = Axis((KEY, "chunk_index"), ("from_no",), F.floor(F.col("from_no") / BLOCK).cast("long"))
+    runs = scan(steps, axis, RunSum("__sum", "change"), Lead("to_no", "from_no"))
+    return runs.filter("to_no is not null").select(KEY, "chunk_index", "from_no", "to_no", F.col("__sum").cast("double").alias("value"))
+
+
 def overlay(clips: DataFrame, chunks: DataFrame, rate_ms: int) -> DataFrame:
     """Sum of the clips on a silent grid per chunk (``clips``: video_id, chunk_index, placed_start_ms, placed_end_ms, amplitude;
     ``chunks``: video_id, chunk_index, total_ms).  A clip sounds at the grid points in [start, end)."""
-    n = F.floor(F.col("total_ms") / rate_ms).cast("long")
-    grid = chunks.filter(n > 0).select(KEY, "chunk_index", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("sample_no"))
-    first = F.ceil(F.col("placed_start_ms") / rate_ms).cast("long")
-    last = F.ceil(F.col("placed_end_ms") / rate_ms).cast("long") - 1
-    sound = clips.select(KEY, "chunk_index", "amplitude", F.explode(F.when(first <= last, F.sequence(first, last))).alias("sample_no"))
-    summed = sound.groupBy(KEY, "chunk_index", "sample_no").agg(F.sum("amplitude").alias("value"))
-    return grid.join(summed, [KEY, "chunk_index", "sample_no"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    runs = overlay_runs(clips, chunk_samples(chunks, rate_ms), rate_ms)
+    first, last = F.floor(F.col("from_no") / BLOCK), F.floor((F.col("to_no") - 1) / BLOCK)
+    blocks = runs.select("*", F.explode(F.sequence(first, last)).alias("__block"))
+    low, high = F.greatest("from_no", F.col("__block") * BLOCK), F.least("to_no", (F.col("__block") + 1) * BLOCK)
+    return blocks.select(KEY, "chunk_index", F.explode(F.sequence(low, high - 1)).alias("sample_no"), "value")
 
 
 def concat_chunks(samples: DataFrame, chunks: DataFrame, rate_ms: int) -> DataFrame:
     """Chunk samples moved to their place in the whole track, in chunk order."""
-    n = F.floor(F.col("total_ms") / rate_ms).cast("long")
-    axis = Axis((KEY,), ("chunk_index",), F.floor(F.col("chunk_index") / 64).cast("long"))
-    offsets = scan(chunks.withColumn("n", n), axis, RunSum("offset", "n", inclusive=False)).select(KEY, "chunk_index", "offset")
+    offsets = chunk_samples(chunks, rate_ms).select(KEY, "chunk_index", "offset")
     return samples.join(offsets, [KEY, "chunk_index"]).select(KEY, (F.col("offset") + F.col("sample_no")).alias("sample_no"), "value")
+
+
+def length_errors(samples: DataFrame, chunks: DataFrame, rate_ms: int) -> DataFrame:
+    """Chunks whose samples do not fill their place in the track: expected and found numbers of different samples.
+
+    Samples of a chunk that is not in ``chunks`` are an error of it, with none expected."""
+    want = chunk_samples(chunks, rate_ms).select(KEY, "chunk_index", F.col("n").alias("expected"))
+    have = samples.groupBy(KEY, "chunk_index").agg(F.countDistinct("sample_no").alias("found"))
+    both = want.join(have, [KEY, "chunk_index"], "full").fillna(0, ["expected", "found"])
+    return both.filter("expected <> found").select(KEY, "chunk_index", "expected", "found")

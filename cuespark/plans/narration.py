@@ -276,6 +276,14 @@ def sync_rollup(spark, d):
     return rollup(spark, d)
 
 
+@gate("sync_rollup_levels", oracle("np_rollup", """
+SELECT c.video_id, c.chunk_index, CASE WHEN grouping(c.video_id) = 1 THEN 'corpus' WHEN grouping(c.chunk_index) = 1 THEN 'video' ELSE 'chunk' END AS level, count(*) AS chunks, """ + ", ".join(
+    f"CAST(coalesce(sum(k.{n}), 0) AS BIGINT) AS {n}" for n in fit.SUMMARY) + """, coalesce(max(k.max_abs_drift_ms), 0) AS max_abs_drift_ms
+FROM seg_chunks c LEFT JOIN np_checks k ON k.video_id = c.video_id AND k.chunk_index = c.chunk_index GROUP BY ROLLUP (c.video_id, c.chunk_index)"""))
+def sync_rollup_levels(spark, d):
+    return fit.sync_levels(fit.sync_checks(narration_placed(spark, d), keys=CHUNKED), seg_chunks(spark, d))
+
+
 @gate("placed_on_video_time", oracle("np_placed", """SELECT video_id, chunk_index, id, planned_start_ms + chunk_index * 60000 AS planned_start_ms, planned_end_ms + chunk_index * 60000 AS planned_end_ms,
     placed_start_ms + chunk_index * 60000 AS placed_start_ms, placed_end_ms + chunk_index * 60000 AS placed_end_ms FROM np_placed"""))
 def placed_on_video_time(spark, d):

@@ -77,6 +77,17 @@ def overlay_and_concat(spark, d):
     return mix.concat_chunks(mix.overlay(clips, owner, 500), owner, 500)
 
 
+@gate("track_lengths", oracle("seg_chunks", """
+SELECT * FROM (SELECT video_id, chunk_index, count(*) AS expected, count(*) FILTER ((video_id + i) % 97 <> 0) AS found FROM (
+  SELECT video_id, chunk_index, unnest(range(CAST(round_even((end_sec - start_sec) * 1000, 0) AS BIGINT) // 500)) AS i FROM seg_chunks) GROUP BY ALL) WHERE expected <> found"""))
+def track_lengths(spark, d):
+    """Chunks of the joined track that are short, where every 97th sample got lost."""
+    owner = seg_chunks(spark, d).select(*CHUNKED, F.rint((F.col("end_sec") - F.col("start_sec")) * 1000).cast("long").alias("total_ms"))
+    clips = narration_placed(spark, d).select(*CHUNKED, "placed_start_ms", "placed_end_ms", (F.col("id") * 10.0).alias("amplitude"))
+    samples = mix.overlay(clips, owner, 500).filter((F.col("video_id") + F.col("sample_no")) % 97 != 0)
+    return mix.length_errors(samples, owner, 500)
+
+
 # ---------------------------------------------------------------- subtitles
 TRIM_SQL = f"regexp_replace(text, '^{WS_SQL}+|{WS_SQL}+$', '', 'g')"
 VIEWS["sents"] = f"""SELECT video_id, id, seg_start, seg_end, CAST(pos AS INTEGER) AS pos, parts[pos + 1] AS sentence, row_number() OVER (PARTITION BY video_id ORDER BY seg_start, id, pos) AS sentence_no FROM (
