@@ -17,6 +17,8 @@ from .registry import gate
 
 HOURS = "(unix_micros(CAST(ts AS TIMESTAMP)) - 1704067200000000) / 3600000D"
 STABLE_SEC, TIMEOUT_SEC = 12.0, 150.0
+DELAY_SEC, RETAIN_SEC = 60.0, 86_400.0  # of the watermark; of a finished job
+DELAY_LINES = 10_000
 
 
 def series_stream(spark, d):
@@ -33,7 +35,8 @@ SELECT video_id, ord AS line_no, greatest(opened, 0::DOUBLE) AS start_sec, t_sec
 FROM (SELECT *, lag(CASE WHEN ord % 4 = 0 THEN t_sec - 2 END) OVER (PARTITION BY video_id ORDER BY ord) AS opened
       FROM v_series WHERE ord % 4 IN (0, 1)) WHERE ord % 4 = 1 AND opened IS NOT NULL"""))
 def silence_stream(spark, d):
-    return drain_keyed(log_lines(series_stream(spark, d)), "silences", "video_id", lambda lines: logs.silences_from_log(lines, "video_id"))
+    return drain_keyed(log_lines(series_stream(spark, d)), "silences", "video_id", lambda lines: logs.silences_from_log(lines, "video_id"),
+                       life=jobs.silence_lifetime(DELAY_LINES, "video_id"))
 
 
 def snapshots(s):
@@ -69,7 +72,8 @@ DEPENDS.update({"snaps": ["v_series"], "snap_rows": ["snaps"], "snap_steps": ["s
 def response_settle(spark, d):
     """Judged at the time of the newest snapshot that the stream will bring."""
     now = v_series(spark, d).agg(F.max("t_sec")).first()[0]
-    return drain_keyed(snapshots(series_stream(spark, d)), "settled", "request_id", lambda s: jobs.settle(s, STABLE_SEC, TIMEOUT_SEC, now))
+    return drain_keyed(snapshots(series_stream(spark, d)), "settled", "request_id", lambda s: jobs.settle(s, STABLE_SEC, TIMEOUT_SEC, now),
+                       life=jobs.settle_lifetime(DELAY_SEC, TIMEOUT_SEC))
 
 
 @gate("response_settle_batch", oracle("snap_steps snaps", SETTLED_SQL))
@@ -97,7 +101,7 @@ DEPENDS.update({"job_rows": ["v_series"], "job_steps": ["job_rows"]})
 
 @gate("job_state_stream", oracle("job_steps", JOBS_SQL))
 def job_state_stream(spark, d):
-    return drain_keyed(job_events(series_stream(spark, d)), "jobs", "job_id", jobs.job_states)
+    return drain_keyed(job_events(series_stream(spark, d)), "jobs", "job_id", jobs.job_states, life=jobs.job_lifetime(DELAY_SEC, RETAIN_SEC))
 
 
 @gate("job_state_batch", oracle("job_steps", JOBS_SQL))
@@ -158,4 +162,4 @@ def activity_sessions(spark, d):
 @gate("activity_sessions_stream", f"SELECT {SESSION_COLUMNS} FROM ({SESSION_SQL})")
 def activity_sessions_stream(spark, d):
     table(spark, d, "events")
-    return session_columns(drain_keyed(read_table_stream(spark, f"{d}/events.parquet"), "sessions", "user_id", jobs.activity_sessions))
+    return session_columns(drain_keyed(read_table_stream(spark, f"{d}/events.parquet"), "sessions", "user_id", jobs.activity_sessions, life=jobs.session_lifetime(3600.0)))

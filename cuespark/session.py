@@ -6,10 +6,13 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = f"cuespark-{uuid.uuid4().hex[:12]}"
+_scopes: list[list[str]] = []
 
 
 def build_session(app: str = "cuespark", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -44,18 +47,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run, removed when the process ends."""
+    """A fresh folder for one run, removed at the end of the ``scratch`` block it was made in, or else of the process."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(remove_folder, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Frees the tables staged within the block at its end; what is to last must have been written elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below a folder, none if it does not exist."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(target) if f.isDirectory()] if files.exists(target) else []
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Writes an intermediate table as Parquet to the shared folder and reads it back, so that what follows reads only the
     columns it needs, several readers do the work once, and lost executors resume from files."""

@@ -1,6 +1,6 @@
-"""Stream jobs.  Each is a function over all rows of the keys it is given; ``runner.drain_keyed`` applies it, for every
-micro-batch, to the keys that the batch touches.  So a result depends on what has arrived, not on how it was cut into
-batches or in which order."""
+"""Stream jobs.  Each is a function over all rows of the keys it is given, with a rule (``Lifetime``) that says which rows
+are final, so that ``runner.drain_keyed`` can let them go.  A result depends on what has arrived within the delay of the
+watermark, not on how it was cut into batches or in which order."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from ..operators.ranges import attach, reset_ids
 from ..operators.responses import is_blank
 from ..operators.scan import Axis, Lag, RowNumber, RunLast, Total, scan
 from ..session import stage
+from ..sources import logs
+from .runner import FINAL, Lifetime
 
 
 # ---------------------------------------------------------------- rows that came late
@@ -122,3 +124,63 @@ def activity_sessions(events: DataFrame, gap_sec: float = 1800.0, key: str = "us
     chained = reset_ids(e, axis, ["__us"], lambda cur, prev: cur("__us") - prev("__us") >= gap, "__session")
     s = chained.groupBy(key, "__session").agg(F.min("__us").alias("a"), F.max("__us").alias("b"), F.count("*").alias("events"), F.sum("value").alias("value"))
     return s.select(key, F.timestamp_micros("a").alias("session_start"), F.timestamp_micros(F.col("b") + gap).alias("session_end"), "events", "value")
+
+
+# ---------------------------------------------------------------- when rows of a stream are final
+def _is(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def silence_lifetime(delay_lines: int, source: str = "source", line_no: str = "line_no", line: str = "line") -> Lifetime:
+    """Lines before the last start behind the watermark are final: an end pairs with nothing before that start.  Line
+    numbers count over all logs of the stream and grow along each."""
+
+    def final(lines: DataFrame, watermark: float) -> DataFrame:
+        starts = logs.silence_markers(lines, line).filter(F.col("start_at").isNotNull() & (F.col(line_no) < F.lit(watermark)))
+        cuts = starts.groupBy(source).agg(F.max(line_no).alias("__cut"))
+        return attach(lines, cuts, source).withColumn(FINAL, _is(F.col(line_no) < F.col("__cut")))
+
+    return Lifetime(F.col(line_no), delay_lines, final)
+
+
+def settle_lifetime(delay_sec: float, timeout: float, linger_sec: float = 86_400.0) -> Lifetime:
+    """A request is final when its total time is behind the watermark and it showed an answer, a banner or its lateness
+    within that time; one that fell silent before stays open until its next snapshot decides.  Requests do not come back
+    later than ``linger_sec`` after they began."""
+    appear_limit, total_limit = _limits(timeout)
+
+    def final(snaps: DataFrame, watermark: float) -> DataFrame:
+        first = snaps.groupBy("request_id").agg(F.min("t_sec").alias("__start"))
+        timed = attach(snaps, first, "request_id")
+        waited = F.col("t_sec") - F.col("__start")
+        told = _is((waited < total_limit) & ((F.col("count") > 0) | F.col("banner") | (waited > appear_limit)))
+        facts = timed.groupBy("request_id").agg((F.bool_or(told) & (F.any_value("__start") + total_limit <= watermark)).alias(FINAL))
+        return attach(snaps, facts.withColumn(FINAL, _is(F.col(FINAL))), "request_id")
+
+    return Lifetime(F.col("t_sec"), delay_sec, final, linger_sec)
+
+
+def job_lifetime(delay_sec: float, retain_sec: float) -> Lifetime:
+    """A job that does not run is final ``retain_sec`` after its last event; events that come still later are a job of
+    their own, with a row of its own."""
+
+    def final(events: DataFrame, watermark: float) -> DataFrame:
+        idle = job_states(events).filter(F.col("state") != RUNNING).select("job_id")
+        last = events.groupBy("job_id").agg(F.max("t_sec").alias("__last"))
+        old = last.filter(F.col("__last") + retain_sec <= watermark)
+        over = old.join(idle.withColumnRenamed("job_id", "__id"), F.col("job_id").eqNullSafe(F.col("__id")), "left_semi")
+        return attach(events, over.select("job_id", F.lit(True).alias(FINAL)), "job_id").withColumn(FINAL, _is(F.col(FINAL)))
+
+    return Lifetime(F.col("t_sec"), delay_sec, final)
+
+
+def session_lifetime(delay_sec: float, gap_sec: float = 1800.0, key: str = "user_id") -> Lifetime:
+    """Events are final when their session has ended at the watermark; later sessions of the key are still open."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+
+    def final(events: DataFrame, watermark: float) -> DataFrame:
+        ends = activity_sessions(events, gap_sec, key).filter(F.unix_micros("session_end") > F.lit(int(watermark)))
+        cuts = ends.groupBy(key).agg(F.min(F.unix_micros("session_start")).alias("__cut"))
+        return attach(events, cuts, key).withColumn(FINAL, _is(us < F.coalesce("__cut", F.lit(int(watermark)))))
+
+    return Lifetime(us, int(delay_sec * 1_000_000), final)
