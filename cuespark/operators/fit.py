@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scoring import seeded_uniform
 from ..functions.timecode import millis
 from ..params import FitParams, PauseParams
 from ..session import stage
-from ..sources.documents import write_documents
+from ..sources.documents import pack_documents, unpack_documents, write_documents
 from .ranges import FOLD_LIMIT, attach, reset_ids, split_by_size
 from .scan import Axis, Lead, RowNumber, scan
 
@@ -233,3 +233,13 @@ def report_lines(placed: DataFrame, checks: DataFrame) -> DataFrame:
 def write_reports(placed: DataFrame, checks: DataFrame, path: str) -> None:
     """One report file per video, whatever its length."""
     write_documents(report_lines(placed, checks), path, KEY, ["n"], "line")
+
+
+def pack_reports(placed: DataFrame, checks: DataFrame, path: str) -> None:
+    """The report documents of all videos, packed."""
+    pack_documents(report_lines(placed, checks), path, KEY, ["n"], "line")
+
+
+def read_reports(spark: SparkSession, path: str, videos: list | None = None) -> DataFrame:
+    """(video_id, document) of packed reports."""
+    return unpack_documents(spark, path, KEY, ["n"], "line", videos)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, tokens, wrap_two_lines
 from ..functions.timecode import srt_timestamp
 from ..session import stage
-from ..sources.documents import write_documents
+from ..sources.documents import pack_documents, unpack_documents, write_documents
 from .ranges import asof, attach
 from .scan import Axis, Lead, RowNumber, RunSum, Total, scan
 
@@ -101,3 +101,13 @@ def srt_blocks(cues: DataFrame, max_chars: int = 42) -> DataFrame:
 def write_srt(cues: DataFrame, path: str, max_chars: int = 42) -> None:
     """One SRT file per video, whatever its length."""
     write_documents(srt_blocks(cues, max_chars), path, KEY, ["cue_no"], "block")
+
+
+def pack_srt(cues: DataFrame, path: str, max_chars: int = 42) -> None:
+    """The SRT documents of all videos, packed."""
+    pack_documents(srt_blocks(cues, max_chars), path, KEY, ["cue_no"], "block")
+
+
+def read_srt(spark: SparkSession, path: str, videos: list | None = None) -> DataFrame:
+    """(video_id, srt) of packed SRT documents."""
+    return unpack_documents(spark, path, KEY, ["cue_no"], "block", videos, "srt")

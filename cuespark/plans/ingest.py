@@ -8,6 +8,7 @@ from ..operators.segments import coerce_segments
 from ..sources import logs, media, scripts
 from .carriers import oracle, table, v_formats, v_frames, v_lines, v_media_json, v_segments, v_series
 from ..functions.scoring import r6
+from ..session import new_folder
 from .registry import gate
 from .scalars import certainty_sql, clean_sql, clock_sql, tone_sql
 
@@ -86,8 +87,11 @@ SELECT video_id, chunk_index, row_number() OVER (PARTITION BY video_id ORDER BY
     round_even((end_sec - start_sec) * 1000, 0) / 1000::DOUBLE AS duration_sec, text, tone, certainty
 FROM (SELECT *, CAST(floor((start_sec + end_sec) / 2 / 60) AS INTEGER) AS chunk_index FROM v_segments)"""))
 def script_sink(spark, d):
+    """The script in its files, as a reader finds it."""
     seg = v_segments(spark, d).withColumn("chunk_index", F.floor((F.col("start_sec") + F.col("end_sec")) / 2 / 60).cast("int"))
-    return scripts.numbered_script(seg)
+    path = new_folder(spark, "script")
+    scripts.write_script(scripts.numbered_script(seg), path)
+    return scripts.read_script(spark, path)
 
 
 @gate("log_tail", oracle("v_lines", """

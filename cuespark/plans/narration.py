@@ -11,7 +11,6 @@ from ..operators import fit, highlights, retime, segments
 from ..operators.ranges import attach, merge_ranges
 from ..params import FitParams, HighlightParams, PauseParams, ScriptParams
 from ..session import new_folder, stage
-from ..sources.documents import read_documents
 from .carriers import DEPENDS, VIEWS, oracle, v_candidates, v_segments, v_series
 from .detection import media
 from .registry import gate
@@ -218,11 +217,11 @@ SELECT p.video_id, any_value(c.total_ms) AS total_video_ms, any_value(c.segments
     string_agg(CAST(p.id AS VARCHAR), ',' ORDER BY planned_start_ms, p.id) AS ids
 FROM placed p JOIN c USING (video_id) GROUP BY ALL""", [f"c AS ({checks_sql('placed')})"]))
 def sync_report_sink(spark, d):
-    """The report files, one per video, as a reader finds them."""
+    """The report documents, packed into files, as a reader finds them."""
     rows, path = stage(placed(spark, d)), new_folder(spark, "reports")
-    fit.write_reports(rows, fit.sync_checks(rows), path)
+    fit.pack_reports(rows, fit.sync_checks(rows), path)
     schema = "struct<total_video_ms:bigint,summary:struct<segments:bigint,overruns:bigint>,segments:array<struct<id:bigint,placed_start_ms:bigint,placed_end_ms:bigint>>>"
-    r = read_documents(spark, path, "video_id").withColumn("r", F.from_json("document", schema))
+    r = fit.read_reports(spark, path).withColumn("r", F.from_json("document", schema))
     spoken = F.aggregate("r.segments", F.lit(0).cast("long"), lambda acc, s: acc + s["placed_end_ms"] - s["placed_start_ms"])
     return r.select(F.col("video_id").cast("long").alias("video_id"), F.col("r.total_video_ms"), F.col("r.summary.segments").alias("all_segments"), F.col("r.summary.overruns"),
                     F.size("r.segments").cast("long").alias("listed_segments"), spoken.alias("spoken_ms"),

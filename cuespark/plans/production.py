@@ -9,7 +9,6 @@ from ..operators import ledger, mix, signal, subtitles
 from ..operators.scan import Axis, RowNumber, scan
 from ..params import MixParams
 from ..session import new_folder, stage
-from ..sources.documents import read_documents
 from .carriers import DEPENDS, VIEWS, WS_SQL, oracle, table, v_candidates, v_frames, v_ledger, v_segments, v_series, v_words
 from .narration import CHUNKED, narration_placed, six
 from .registry import gate
@@ -163,10 +162,10 @@ def cue_source(spark, d):
 SELECT video_id, string_agg(cue_no || chr(10) || {clock_sql('start_sec', ',')} || ' --> ' || {clock_sql('end_sec', ',')} || chr(10) || wrapped || chr(10) || chr(10), '' ORDER BY cue_no) AS srt
 FROM (SELECT *, {WRAP_SQL.format(toks='toks', t='text', fit='fit')} AS wrapped FROM (SELECT *, {FIT_SQL} AS fit FROM (SELECT *, {tokens_sql('text')} AS toks FROM cues))) GROUP BY ALL"""))
 def srt_render(spark, d):
-    """The SRT files, one per video, as a reader finds them."""
+    """The SRT documents, packed into files, as a reader finds them."""
     path = new_folder(spark, "srt")
-    subtitles.write_srt(subtitles.cue_repair(subtitles.split_cues(v_segments(spark, d))), path)
-    return read_documents(spark, path, "video_id", "srt").withColumn("video_id", F.col("video_id").cast("long"))
+    subtitles.pack_srt(subtitles.cue_repair(subtitles.split_cues(v_segments(spark, d))), path)
+    return subtitles.read_srt(spark, path)
 
 
 # ---------------------------------------------------------------- ledger

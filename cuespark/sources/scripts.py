@@ -12,6 +12,9 @@ RAW_FIELDS = ("id", "start_time", "start", "end_time", "end", "text", "tone", "e
 RAW_SCHEMA = "struct<" + ",".join(f"`{f}`:string" for f in RAW_FIELDS) + ">"
 
 
+SCRIPT_FIELDS = "id long, start_time string, end_time string, duration_sec double, text string, tone string, certainty string"
+
+
 def read_script_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("doc"))
 
@@ -51,3 +54,8 @@ def numbered_script(segments: DataFrame, key: str = "video_id", chunk: str = "ch
 def write_script(rows: DataFrame, path: str, key: str = "video_id", by_video: bool = False) -> None:
     writer = rows.write.mode("overwrite")
     (writer.partitionBy(key) if by_video else writer).json(path)
+
+
+def read_script(spark: SparkSession, path: str, key: str = "video_id", chunk: str = "chunk_index") -> DataFrame:
+    """The rows that ``write_script`` left."""
+    return spark.read.schema(f"`{key}` long, `{chunk}` int, {SCRIPT_FIELDS}").json(path)
