@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timecode import format_timestamp
 from .planning import batch_fixed, sparse_pick
-from .ranges import attach
+from .ranges import attach, overlapping
 
 KEY = "video_id"
 
@@ -41,6 +41,51 @@ def highlight_requests(samples: DataFrame, per_batch: int) -> DataFrame:
     return rows.select(KEY, "batch", "n", text.alias("prompt"))
 
 
+def _span(t0: Column, t1: Column) -> Column:
+    return F.concat(format_timestamp(t0), F.lit(" - "), format_timestamp(t1))
+
+
+def _word_cap(t0: Column, t1: Column, words_per_sec: float) -> Column:
+    cap = F.greatest(F.lit(1), F.floor((t1 - t0) * words_per_sec).cast("int"))
+    return F.concat(F.lit("At most "), cap.cast("string"), F.lit(" words."))
+
+
+def continuous_requests(samples: DataFrame, per_batch: int, words_per_sec: float) -> DataFrame:
+    """One request per batch of images for a single flowing paragraph over the whole batch; t0 and t1 are its range.
+
+    The answer has one element with exactly this range, so the steps after it treat it as any segment."""
+    rows = _listing(batch_fixed(samples, per_batch), [KEY, "batch"], f"(row_no - 1) % {per_batch} + 1")
+    t0, t1 = F.col("t0"), F.col("t1")
+    text = F.concat_ws("\n", F.lit("Write one flowing paragraph over all images, with full punctuation."), F.col("images"),
+                       F.concat(F.lit("Range: "), _span(t0, t1)), _word_cap(t0, t1, words_per_sec),
+                       F.lit("Answer with a JSON array of one element that has just this range: start_time, end_time, text, tone, certainty."))
+    return rows.select(KEY, "batch", "n", "t0", "t1", text.alias("prompt"))
+
+
+def link_requests(chunks: DataFrame, words_per_sec: float, url: str = "url") -> DataFrame:
+    """One request per chunk of a video that the model watches by its link (``chunks``: video_id, chunk_index, start_sec,
+    end_sec and the link).  The range is that of the whole chunk, no images go along; without a link there is no request."""
+    t0, t1 = F.col("start_sec"), F.col("end_sec")
+    text = F.concat_ws("\n", F.concat(F.lit("Watch "), F.col(url)), F.concat(F.lit("Narrate all of "), _span(t0, t1)), _word_cap(t0, t1, words_per_sec),
+                       F.when(F.col("chunk_index") == 0, F.lit("Open with a hook.")).otherwise(F.lit("Continue the story.")),
+                       F.lit("Answer with a JSON array: start_time, end_time, text, tone, certainty."))
+    return chunks.filter(F.coalesce(F.col(url), F.lit("")) != "").select(KEY, "chunk_index", text.alias("prompt"))
+
+
+def with_outline(prompts: DataFrame, outline: DataFrame, part: str = "batch") -> DataFrame:
+    """Adds to each prompt (with its range t0, t1) the parts of the outline that overlap it, in order of time (``outline``:
+    video_id, start_sec, end_sec, summary); blank summaries are left out, and a prompt without parts stays as it is."""
+    given = outline.filter(F.coalesce(F.trim("summary"), F.lit("")) != "").select(
+        KEY, F.col("start_sec").alias("o_start"), F.col("end_sec").alias("o_end"), "summary")
+    meets = (F.col("o_start") < F.col("t1")) & (F.col("o_end") > F.col("t0"))
+    pairs = overlapping(prompts.select(KEY, part, "t0", "t1"), given, KEY, ("t0", "t1"), ("o_start", "o_end"), meets)
+    line = F.concat(_span(F.col("o_start"), F.col("o_end")), F.lit(": "), F.col("summary")).alias("line")
+    lines = pairs.groupBy(KEY, part).agg(F.array_sort(F.collect_list(F.struct("o_start", "o_end", "summary", line))).alias("__parts"))
+    joined = prompts.join(lines, [KEY, part], "left")
+    shown = F.when(F.col("__parts").isNotNull(), F.concat(F.lit("Outline here:\n"), F.array_join(F.transform("__parts", lambda p: p["line"]), "\n")))
+    return joined.withColumn("prompt", F.concat_ws("\n", "prompt", shown)).drop("__parts")
+
+
 def rewrite_requests(budgeted: DataFrame) -> DataFrame:
     """One request for each line over its budget (the columns of ``segments.word_budget``)."""
     text = F.concat_ws("\n", F.concat(F.lit("Shorten to at most "), F.col("max_words").cast("string"), F.lit(" words, same language and meaning.")),

@@ -8,7 +8,7 @@ from ..operators import planning, prompts, signal
 from ..params import ChunkParams, SilenceParams, WindowParams
 from ..session import stage
 from ..sources.media import media_catalog
-from .carriers import DEPENDS, VIEWS, oracle, v_frames, v_media_json, v_series
+from .carriers import DEPENDS, VIEWS, oracle, v_frames, v_media_json, v_segments, v_series
 from ..functions.scoring import r6
 from .registry import gate
 from .scalars import clock_sql
@@ -247,3 +247,32 @@ SELECT video_id, batch, count(*) AS n, 'Find the moments worth keeping.' || chr(
   || 'Answer with a JSON array: start_time, end_time, score from 1 to 10.' AS prompt FROM (SELECT *, (rn - 1) // 8 AS batch, (rn - 1) % 8 + 1 AS k FROM ({NUMBERED_SQL})) GROUP BY video_id, batch"""))
 def prompt_highlight(spark, d):
     return prompts.highlight_requests(v_series(spark, d), 8)
+
+
+CONTINUOUS_SQL = f"""SELECT video_id, batch, count(*) AS n, min(t_sec) AS t0, max(t_sec) AS t1,
+    'Write one flowing paragraph over all images, with full punctuation.' || chr(10) || {LIST_SQL} || chr(10) || 'Range: ' || min(clock) || ' - ' || max(clock) || chr(10)
+    || 'At most ' || greatest(1, CAST(floor((max(t_sec) - min(t_sec)) * 3) AS INTEGER)) || ' words.' || chr(10)
+    || 'Answer with a JSON array of one element that has just this range: start_time, end_time, text, tone, certainty.' AS prompt
+  FROM (SELECT *, (rn - 1) // 8 AS batch, (rn - 1) % 8 + 1 AS k FROM ({NUMBERED_SQL})) GROUP BY video_id, batch"""
+
+
+@gate("prompt_continuous", oracle("v_series v_segments", f"""
+SELECT p.video_id, p.batch, n, prompt || coalesce(chr(10) || 'Outline here:' || chr(10) || parts, '') AS prompt
+FROM ({CONTINUOUS_SQL}) p LEFT JOIN (
+  SELECT p.video_id, p.batch, string_agg({clock_sql('start_sec')} || ' - ' || {clock_sql('end_sec')} || ': ' || text, chr(10) ORDER BY start_sec, end_sec, text) AS parts
+  FROM ({CONTINUOUS_SQL}) p JOIN v_segments s ON s.video_id = p.video_id AND s.start_sec < p.t1 AND s.end_sec > p.t0 WHERE trim(text, ' ') <> '' GROUP BY p.video_id, p.batch
+) o ON o.video_id = p.video_id AND o.batch = p.batch"""))
+def prompt_continuous(spark, d):
+    """One paragraph per batch; the segments of the video with the same id stand for its outline."""
+    outline = v_segments(spark, d).withColumnRenamed("text", "summary")
+    asked = stage(prompts.continuous_requests(v_series(spark, d), 8, 3.0))
+    return prompts.with_outline(asked, outline).drop("t0", "t1")
+
+
+@gate("prompt_link", oracle("chunks", f"""
+SELECT video_id, chunk_index, 'Watch https://video.example/' || video_id || chr(10) || 'Narrate all of ' || {clock_sql('start_sec')} || ' - ' || {clock_sql('end_sec')} || chr(10)
+  || 'At most ' || greatest(1, CAST(floor((end_sec - start_sec) * 3) AS INTEGER)) || ' words.' || chr(10) || CASE WHEN chunk_index = 0 THEN 'Open with a hook.' ELSE 'Continue the story.' END || chr(10)
+  || 'Answer with a JSON array: start_time, end_time, text, tone, certainty.' AS prompt FROM chunks"""))
+def prompt_link(spark, d):
+    url = F.concat(F.lit("https://video.example/"), F.col("video_id").cast("string"))
+    return prompts.link_requests(chunks(spark, d).withColumn("url", url), 3.0)
