@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left, bisect_right, insort
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import clamp
@@ -14,6 +18,8 @@ from .ranges import FOLD_LIMIT, asof, attach, chain_ids, split_by_size, spread
 from .scan import Axis, RunSum, scan
 
 KEY = "video_id"
+ROW = "__row"
+BLOCK_ROWS = 50_000  # candidates of a long chain that one task settles at a time
 
 
 def coerce_highlights(raw: DataFrame, score: Column, t0: Column, t1: Column, start: str = "start_time", end: str = "end_time") -> DataFrame:
@@ -31,7 +37,7 @@ def best_disjoint(cands: DataFrame, slack: float, fold_limit: int = FOLD_LIMIT)
     """Best-first choice of candidates (video_id, ord, start_sec, end_sec, score) that do not overlap those chosen before.
 
     Candidates of different overlap chains do not meet, so each chain decides for itself: short ones by a fold, those
-    above ``fold_limit`` in rounds that are distributed over time buckets."""
+    above ``fold_limit`` in rounds that are distributed over time buckets and blocks."""
     cols = [KEY, "ord", "start_sec", "end_sec", "score"]
     chained = chain_ids(cands.select(*cols), Axis.time(KEY, ("start_sec", "end_sec", "ord")), "start_sec", "end_sec",
                         lambda s, reach: s >= reach - slack)
@@ -50,26 +56,122 @@ def _by_fold(chained: DataFrame, slack: float) -> DataFrame:
     return lists.select(KEY, F.inline(kept)).select(KEY, "ord", "start_sec", "end_sec", (-F.col("neg")).alias("score"))
 
 
-def _by_rounds(cands: DataFrame, slack: float, width: float = 5.0) -> DataFrame:
-    """Each round accepts the candidates that are best in every time bucket they touch and drops what overlaps them.
-
-    Buckets only make the test stricter, so an accepted candidate is one the best-first order would take; the best
-    candidate left in a video is always accepted, so the rounds end.  Per bucket only one row is ever gathered."""
-    accepted = None
-    active = stage(cands)
-    rank = F.struct((-F.col("score")).alias("neg"), "ord")
-    while not active.isEmpty():
-        placed = spread(active.withColumn("rank", rank), "start_sec", "end_sec", width)
-        best = placed.groupBy(KEY, "__bucket").agg(F.min("rank").alias("best"))
-        held = placed.join(best, [KEY, "__bucket"])
-        won = held.groupBy(KEY, "ord").agg(F.bool_and(F.col("rank") == F.col("best")).alias("won")).filter("won").select(KEY, "ord")
-        winners = stage(active.join(won, [KEY, "ord"], "left_semi"))
-        wall = spread(winners.select(KEY, F.col("start_sec").alias("w_s"), F.col("end_sec").alias("w_e"), F.col("ord").alias("w_ord")), "w_s", "w_e", width)
-        meets = (F.col("start_sec") < F.col("w_e") - slack) & (F.col("end_sec") > F.col("w_s") + slack)
-        gone = placed.join(wall, [KEY, "__bucket"]).filter(meets | (F.col("ord") == F.col("w_ord"))).select(KEY, "ord").distinct()
-        active = stage(active.join(gone, [KEY, "ord"], "left_anti").join(winners.select(KEY, "ord"), [KEY, "ord"], "left_anti"))
-        accepted = winners if accepted is None else accepted.unionByName(winners)
-    return cands.limit(0) if accepted is None else accepted
+def _by_rounds(cands: DataFrame, slack: float, width: float = 5.0, block_rows: int | None = None) -> DataFrame:
+    """Long chains.  While that settles half of what is left, the candidates that are best around them are accepted and
+    what overlaps them goes; then blocks of time are settled whole.  Every row has a number of its own, so repeated rows
+    are told apart; no row without a video gets here."""
+    numbered = stage(cands.withColumn(ROW, F.monotonically_increasing_id()))
+    active, left = numbered, numbered.count()
+    accepted = numbered.limit(0)
+    while left:
+        winners, active = _local_winners(active, slack, width)
+        accepted = accepted.unionByName(winners)
+        before, left = left, active.count()
+        if left > before / 2:
+            accepted = accepted.unionByName(_by_blocks(active, slack, block_rows or BLOCK_ROWS))
+            break
+    return accepted.drop(ROW)
+
+
+def _local_winners(active: DataFrame, slack: float, width: float) -> tuple[DataFrame, DataFrame]:
+    """(candidates that are best in every time bucket they touch, those neither accepted nor overlapping one of these).
+
+    Buckets only make the test stricter, so what is accepted the best-first order would take.  Of a bucket only one row
+    is ever gathered."""
+    placed = spread(active.withColumn("rank", F.struct((-F.col("score")).alias("neg"), "ord", ROW)), "start_sec", "end_sec", width)
+    best = placed.groupBy(KEY, "__bucket").agg(F.min("rank").alias("best"))
+    held = placed.join(best, [KEY, "__bucket"])
+    won = held.groupBy(ROW).agg(F.bool_and(F.col("rank") == F.col("best")).alias("won")).filter("won").select(ROW)
+    winners = stage(active.join(won, ROW, "left_semi"))
+    wall = spread(winners.select(KEY, F.col("start_sec").alias("w_s"), F.col("end_sec").alias("w_e"), F.col(ROW).alias("w_row")), "w_s", "w_e", width)
+    meets = (F.col("start_sec") < F.col("w_e") - slack) & (F.col("end_sec") > F.col("w_s") + slack)
+    gone = placed.join(wall, [KEY, "__bucket"]).filter(meets | (F.col(ROW) == F.col("w_row"))).select(ROW).distinct()
+    return winners, stage(active.join(gone, ROW, "left_anti"))
+
+
+def _by_blocks(active: DataFrame, slack: float, block_rows: int) -> DataFrame:
+    """Accepted candidates of ``active``, settled in rounds over blocks of about ``block_rows`` candidates each.
+
+    A block settles every candidate whose fate depends on candidates inside it alone, however long the chain of rivals.
+    One that reaches over a border is accepted if no block it touches holds a better rival that is accepted or open, and
+    then comes first in the next round, where it drives out its rivals.  Borders move by half a block between rounds.
+    So scores that rise or fall along a whole chain take a round per block, others a few rounds."""
+    columns = active.columns
+    active = active.withColumn("fixed", F.lit(False))
+    kept, shift = [], 0
+    while not active.filter("NOT fixed").isEmpty():
+        rows = stage(_in_blocks(active, block_rows, shift))
+        votes = _votes(rows, slack).groupBy(ROW).agg(F.min("vote").alias("vote"))
+        voted = stage(rows.join(votes, ROW).filter("NOT fixed AND vote >= 0"))
+        won = F.col("vote") == 1
+        kept.append(voted.filter(won).select(*columns))
+        again = voted.filter(~won | (F.col("__first") < F.col("__last")))
+        active, shift = again.select(*columns, won.alias("fixed")), block_rows // 2 - shift
+    return reduce(DataFrame.unionByName, kept) if kept else active.select(*columns)
+
+
+def _in_blocks(active: DataFrame, block_rows: int, shift: int) -> DataFrame:
+    """Adds the first and the last block of each candidate; borders lie between whole seconds of a video, where the count
+    of candidates that start before passes a multiple of ``block_rows``."""
+    second = F.floor("start_sec")
+    order = Window.partitionBy(KEY).orderBy("__second")
+    counts = active.groupBy(KEY, second.alias("__second")).agg(F.count("*").alias("__n"))
+    part = F.floor((F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + shift) / block_rows)
+    parts = counts.withColumn("__part", part)
+    starts = parts.filter(F.col("__part") > 0).groupBy(KEY, "__part").agg(F.min("__second").cast("double").alias("__at"))
+    borders = starts.groupBy(KEY).agg(F.collect_list("__at").alias("__borders"))
+
+    def block(t: str) -> Column:
+        return F.coalesce(F.size(F.filter("__borders", lambda at: at <= F.col(t))), F.lit(0))
+
+    found = attach(active, borders, KEY)
+    return found.withColumns({"__first": block("start_sec"), "__last": block("end_sec")}).drop("__borders")
+
+
+def _votes(rows: DataFrame, slack: float) -> DataFrame:
+    """What each block a candidate touches says of it: -1 a better rival is accepted, 1 no better rival is left, 0 open."""
+    touched = rows.select(KEY, ROW, F.explode(F.sequence("__first", "__last")).alias("__block"), "start_sec", "end_sec",
+                          (F.col("__first") == F.col("__last")).alias("inner"), "fixed", (-F.col("score")).alias("neg"), "ord")
+    return touched.groupBy(KEY, "__block").applyInPandas(lambda block: _settle(block, slack), f"{ROW} long, vote int")
+
+
+def _settle(block: pd.DataFrame, slack: float) -> pd.DataFrame:
+    """Best-first order over one block.  Those accepted hardly overlap, so the last of them that start before the end of a
+    candidate decide; the open ones are kept as a union of ranges."""
+    ranked = block.sort_values(["fixed", "neg", "ord", ROW], ascending=[False, True, True, True])
+    taken: list[tuple[float, float]] = []
+    open_from: list[float] = []
+    open_to: list[float] = []
+    votes = []
+    for start, end, inner, fixed in zip(*(ranked[c].tolist() for c in ("start_sec", "end_sec", "inner", "fixed"))):
+        if not fixed and _meets_taken(taken, start, end, slack):
+            votes.append(-1)
+            continue
+        at = bisect_left(open_from, end) - 1
+        clear = fixed or at < 0 or open_to[at] <= start
+        votes.append(int(clear))
+        if fixed or (clear and inner):
+            insort(taken, (start, end))
+            continue
+        lo, hi = bisect_left(open_to, start), bisect_right(open_from, end)
+        if lo < hi:
+            start, end = min(start, open_from[lo]), max(end, open_to[hi - 1])
+        open_from[lo:hi], open_to[lo:hi] = [start], [end]
+    return pd.DataFrame({ROW: ranked[ROW], "vote": votes})
+
+
+def _meets_taken(taken: list[tuple[float, float]], start: float, end: float, slack: float) -> bool:
+    """Of accepted ranges longer than twice the slack only the last that starts in time can meet; shorter ones are passed."""
+    at = bisect_left(taken, (end,)) - 1
+    while at >= 0:
+        s, e = taken[at]
+        if end > s + slack:
+            if start < e - slack:
+                return True
+            if e - s > 2 * slack:
+                return False
+        at -= 1
+    return False
 
 
 def select_highlights(cands: DataFrame, budgets: DataFrame, params: HighlightParams = HighlightParams(),

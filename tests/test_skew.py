@@ -145,6 +145,48 @@ def test_highlights_with_one_crowded_video(spark, fold_limit):
     assert sorted((r.video_id, round(r.start_sec, 6), round(r.end_sec, 6)) for r in got.collect()) == sorted(want)
 
 
+def best_first(rows, slack):
+    """Plain best-first choice over (ord, start, end, score); accepted ranges are looked up in whole seconds."""
+    kept, by_second = set(), {}
+    for o, s, e, _ in sorted(rows, key=lambda r: (-r[3], r[0])):
+        near = {k for t in range(int(s), int(e) + 1) for k in by_second.get(t, ())}
+        if not any(s < b - slack and e > a + slack for a, b in near):
+            kept.add(o)
+            for t in range(int(s), int(e) + 1):
+                by_second.setdefault(t, []).append((s, e))
+    return kept
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "random", "long"])
+def test_one_long_chain_of_candidates(spark, monkeypatch, shape):
+    """20,000 candidates, each overlapping the next, in at most 20 rounds."""
+    rng = random.Random(11)
+    score = {"rising": lambda i: i / 100, "falling": lambda i: -i / 100}.get(shape, lambda i: float(rng.randint(1, 500)))
+    length = (lambda: rng.choice([1.5, 1.5, 40.0, 900.0])) if shape == "long" else (lambda: 1.5)
+    rows = [(i, float(i), i + length(), score(i)) for i in range(20_000)]
+    blocks, bucket_rounds = [], []
+    in_blocks, winners = highlights._in_blocks, highlights._local_winners
+    monkeypatch.setattr(highlights, "BLOCK_ROWS", 3000)
+    monkeypatch.setattr(highlights, "_in_blocks", lambda *a: blocks.append(1) or in_blocks(*a))
+    monkeypatch.setattr(highlights, "_local_winners", lambda *a: bucket_rounds.append(1) or winners(*a))
+    c = spark.createDataFrame([(0, *r) for r in rows], "video_id long, ord long, start_sec double, end_sec double, score double")
+    got = highlights.best_disjoint(c, 1e-3).collect()
+    assert len(got) == len({r.ord for r in got})
+    assert {r.ord for r in got} == best_first(rows, 1e-3)
+    assert len(blocks) + len(bucket_rounds) <= 20
+
+
+def test_blocks_of_candidates_alone(spark):
+    """Candidates of all lengths in small blocks, some equal but for their number, some shorter than the slack."""
+    rng = random.Random(4)
+    rows = [(i, s, s + rng.choice([0.0005, 0.5, 3.0, 3.001, 60.0]), float(rng.randint(1, 9))) for i in range(1500) for s in [round(rng.uniform(0, 300), 3)]]
+    c = spark.createDataFrame([(0, *r) for r in rows], "video_id long, ord long, start_sec double, end_sec double, score double")
+    numbered = c.withColumn(highlights.ROW, F.col("ord"))
+    for block_rows in (40, 300, 5000):
+        got = [r.ord for r in highlights._by_blocks(numbered, 1e-3, block_rows).collect()]
+        assert sorted(got) == sorted(best_first(rows, 1e-3))
+
+
 @pytest.mark.parametrize("fold_limit, block", [(2000, 5000), (0, 7)])
 def test_pauses_in_a_crowded_video(spark, scripts, monkeypatch, fold_limit, block):
     monkeypatch.setattr(fit, "BLOCK_CLIPS", block)
