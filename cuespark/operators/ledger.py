@@ -9,6 +9,18 @@ KEY = "video_id"
 CHUNK = (KEY, "chunk_index")
 # The four stages in order.
 STAGES = ("01_extracted", "02_script", "03_tts_done", "04_assembled")
+#: Rows that one task gets to group, sort and join.
+TASK_ROWS = 1_000_000
+
+
+def by_chunk(rows: DataFrame, task_rows: int | None = None) -> DataFrame:
+    """Rows dealt out by chunk to as many tasks as their number asks for, so that a task's memory does not follow the input.
+
+    What groups or joins by chunk afterwards needs no further exchange, and adaptive execution, which goes by the bytes
+    before a chunk becomes a row for each stage, does not put the parts together again.  The rows are counted for it: from
+    the footers alone where they are a Parquet table."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // (task_rows or TASK_ROWS)))
+    return rows.repartition(tasks, *CHUNK)
 
 
 def fingerprint(fields: dict[str, Column]) -> Column:

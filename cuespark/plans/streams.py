@@ -136,9 +136,9 @@ def ledger_stream(spark, d):
 
     def increment(batch):
         stages = F.explode(F.slice(F.array(*map(F.lit, ledger.STAGES)), F.lit(1), F.col("n_stages"))).alias("stage")
-        return batch.groupBy(*CHUNKED).agg(F.max("n_stages").alias("n_stages")).select(*CHUNKED, stages)
+        return ledger.by_chunk(batch).groupBy(*CHUNKED).agg(F.max("n_stages").alias("n_stages")).select(*CHUNKED, stages)
 
-    book = drain_batches(arrived, "ledger", each=increment).drop("batch_id")
+    book = ledger.by_chunk(drain_batches(arrived, "ledger", each=increment).drop("batch_id"))
     return ledger.status_summary(ledger.status_matrix(book, book.select(*CHUNKED).distinct()))
 
 
