@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS
+from ..operators import ledger
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +69,8 @@ def v_candidates(spark, d) -> DataFrame:
 
 def v_ledger(spark, d) -> DataFrame:
     """Stages 1..n recorded per chunk of a video."""
-    return (
-        table(spark, d, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("chunk_index"))
-        .agg(F.ceil(F.max("l_quantity") / F.lit(12.5)).cast("int").alias("n_stages"))
-    )
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("chunk_index"), "l_quantity")
+    return ledger.by_chunk(items).groupBy(*ledger.CHUNK).agg(F.ceil(F.max("l_quantity") / F.lit(12.5)).cast("int").alias("n_stages"))
 
 
 def v_lines(spark, d) -> DataFrame:

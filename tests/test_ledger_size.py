@@ -7,6 +7,7 @@ import math
 import pytest
 
 from cuespark.operators import ledger
+from cuespark.plans.production import invalidate_from
 from cuespark.plans.streams import ledger_stream
 
 ROWS = [(None if n % 97 == 0 else n // 4, n % 4, float(1 + n * 7 % 50)) for n in range(4000)] + [(5, 1, 50.0), (5, 1, 3.0)]
@@ -42,3 +43,16 @@ def test_ledger_stream(spark, folder, monkeypatch):
     assert got == {v: (len(ns), 0 if v is None else ns.count(4)) for v, ns in whole.items()}
     sizes = parts(seen[0])
     assert sum(sizes) == sum(planned().values()) and len(sizes) > 40 and max(sizes) < 500
+
+
+def test_invalidate_from(spark, folder, monkeypatch):
+    seen, cut = [], ledger.invalidate_from
+    monkeypatch.setattr(ledger, "invalidate_from", lambda book, orders: seen.append(book) or cut(book, orders))
+    got = [(r.video_id, r.chunk_index, r.stage) for r in invalidate_from(spark, folder).collect()]
+    want = set()
+    for (video, chunk), n in planned().items():
+        first = 2 if video is not None and video % 5 == 0 and chunk <= 2 else 3 if video is not None and video % 5 == 1 else 5
+        want |= {(video, chunk, ledger.STAGES[i - 1]) for i in range(1, n + 1) if i < first}
+    assert len(got) == len(set(got)) and set(got) == want
+    sizes = parts(seen[0])
+    assert sum(sizes) == sum(planned().values()) and len(sizes) > 30 and max(sizes) < 500
